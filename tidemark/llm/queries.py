@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from .chat import OP5_SQL, op5_chat_formatting
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .media import op2_media_columns
+from .packing import op1_packing
+from .secrets import op6_secret_scans
+from .url_filter import op3_url_filters
+from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_media_columns": op2_media_columns,
+    "op3_url_filters": op3_url_filters,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_secret_scans": op6_secret_scans,
+    "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op5_chat_formatting": OP5_SQL,
+    "op9_warc": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
