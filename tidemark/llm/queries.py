@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op7_byte_bpe
 from .chat import OP5_SQL, op5_chat_formatting
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .media import op2_media_columns
+from .ngram_join import op8_ngram_jaccard_join
 from .packing import op1_packing
 from .secrets import op6_secret_scans
+from .toxicity import op4_toxicity
 from .url_filter import op3_url_filters
 from .warc import OP9_SQL, op9_warc
 
@@ -14,12 +17,16 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_media_columns": op2_media_columns,
     "op3_url_filters": op3_url_filters,
+    "op4_toxicity": op4_toxicity,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_secret_scans": op6_secret_scans,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+#: Those that SQL can express; the tests hold the others against brute force, a round trip or held-out rows.
 ORACLE_SQL = {
     "op5_chat_formatting": OP5_SQL,
     "op9_warc": OP9_SQL,
