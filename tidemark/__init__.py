@@ -1,0 +1 @@
+"""A temporal knowledge graph engine on Spark DataFrames."""
