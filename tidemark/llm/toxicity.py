@@ -38,12 +38,12 @@ from .common import map_rows, materialize, table, text_or_empty
 #: Bound of the labelled sample the model is fitted on (documents).
 SAMPLE = 20_000
 MAX_TERMS, MAX_EXCEPTIONS = 2_000, 20_000
-#: A term needs so many toxic documents, and so large log odds.
-MIN_TOXIC, MIN_ODDS = 3, 2.5
+#: A term needs so many toxic documents, such a share of all of them, and so large log odds.
+MIN_TOXIC, MIN_SHARE, MIN_ODDS = 3, 0.02, 2.5
 STEM_CHARS = (4, 5, 6)
 WINDOW = 6
 QUOTED, ADDRESSED = 0.15, 1.3
-REMEMBERED, MAX_STATES = 400_000, 20_000
+REMEMBERED, MAX_STATES = 200_000, 20_000
 
 # Words and marks of context, in the languages of the table.
 REPORTING = frozenset("said says wrote called calls quote quoted quotes reported term word insult slur sagte schrieb nannte zitat dit écrit appelé citation dijo escribió llamó cita".split())
@@ -223,7 +223,10 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """text, toxic and part (0: counts, 1: weights) of at most *size* training documents, by a hash of doc_id."""
+    """text, toxic and part (0: counts, 1: weights) of at most *size* training documents, by a hash of doc_id.
+
+    Copies count once, or the rare words of a copied text would look like terms.
+    """
     usable = labels.filter(~held_out()).filter("doc_id is not null and toxic is not null")
     share = min(1.0, 1.1 * size / max(1, usable.count()))  # by hash, so that few rows over *size* are ever sorted
     chosen = (
@@ -234,7 +237,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
         .limit(size)
     )
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most *size* rows
-    return materialize(rows.select("text", "toxic", F.when(F.xxhash64("doc_id", F.lit(1)) % 3 == 0, 1).otherwise(0).alias("part")), "toxic-sample")
+    part = F.when(F.pmod(F.xxhash64("text"), F.lit(3)) == 0, 1).otherwise(0)
+    return materialize(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("text", "toxic", part.alias("part")), "toxic-sample")
 
 
 def _counted(rows: DataFrame, of_text) -> DataFrame:
@@ -271,16 +275,17 @@ def _pruned(rows: list) -> tuple[dict[str, float], dict[str, float]]:
     """The words and stems worth keeping: a stem only if no single longer term does its work."""
     odds = {r.term: r.odds for r in rows}
     toxic = {r.term: r.toxic for r in rows}
-    best_below: Counter = Counter()
-    for t, n in toxic.items():
+    below: dict[str, list[str]] = {}
+    for t in toxic:
         body = t.rstrip("*")
         for k in STEM_CHARS:
             if k < len(body) or (k == len(body) and not t.endswith("*")):
-                best_below[body[:k] + "*"] = max(best_below[body[:k] + "*"], n)
+                below.setdefault(body[:k] + "*", []).append(t)
     stems: dict[str, float] = {}
     for t in sorted((t for t in toxic if t.endswith("*")), key=lambda t: (len(t), t)):
         covered = any(t[:k] in stems for k in STEM_CHARS if k < len(t) - 1)
-        if not covered and best_below[t] < 0.95 * toxic[t]:
+        enough = any(toxic[u] >= 0.95 * toxic[t] or (toxic[u] >= 0.5 * toxic[t] and odds[u] > odds[t] + 0.5) for u in below.get(t, ()))
+        if not covered and not enough:
             stems[t[:-1]] = odds[t]
     words = {t: odds[t] for t in toxic if not t.endswith("*") and not any(t[:k] in stems for k in STEM_CHARS)}
     return words, stems
@@ -300,7 +305,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 3
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    """Lexicon and exceptions from two thirds of the sample, the score's weights from the other third."""
+    """Lexicon from two thirds of the sample, the score's weights from the other third, exceptions from all of it."""
     sample = labelled_sample(docs, labels, size)
     sizes = {(r.part, r.toxic > 0): r.n for r in sample.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get((0, True), 0), sizes.get((0, False), 0)
@@ -311,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     rows = (
         _counted(first, _terms)
-        .filter(F.col("toxic") >= MIN_TOXIC)
+        .filter(F.col("toxic") >= max(MIN_TOXIC, MIN_SHARE * n_toxic))
         .withColumn("odds", odds)
         .filter(F.col("odds") >= MIN_ODDS)
         .orderBy(F.desc(F.col("odds") * F.col("toxic")), "term")
@@ -327,8 +332,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
         return {w for w in seen if (hit := lexicon.lookup(w)) and hit[1]}
 
     exceptions = (
-        _counted(first, misspelled)
-        .filter(F.col("clean") * n_toxic >= F.col("toxic") * n_clean)
+        _counted(sample, misspelled)
+        .filter((F.col("clean") > 0) & (odds < MIN_ODDS))
         .orderBy(F.desc("clean"), "term")
         .limit(MAX_EXCEPTIONS)
         .collect()
@@ -337,8 +342,10 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     found = with_features(second.select(F.col("toxic").cast("long").alias("doc_id"), "text"), model).collect()
     if not found or not any(r.doc_id for r in found):
         return Model(words, stems, model.exceptions, (base, 1.0, 0.5, 0.5))
-    x = np.array([[r.exact, r.near, r.dense] for r in found])
-    model.weights = _logistic(x, np.array([float(r.doc_id > 0) for r in found]))
+    # every toxic document a second time with its hits taken as misspelled, against the near hits of clean ones
+    rows = [((r.exact, r.near, r.dense), r.doc_id > 0) for r in found]
+    rows += [((0.0, math.log1p(math.expm1(x[0]) + math.expm1(x[1])), x[2]), y) for x, y in rows if y]
+    model.weights = _logistic(np.array([x for x, _ in rows]), np.array([float(y) for _, y in rows]))
     return model
 
 
