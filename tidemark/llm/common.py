@@ -59,6 +59,23 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def most_frequent(counts: DataFrame, n: str, key: str, limit: int) -> DataFrame:
+    """The *limit* rows of the largest ``n``, ties by *key*, without every task sending its own *limit* rows.
+
+    A histogram of ``n`` by eighths of powers of two (some hundred rows) tells which
+    rows can be among them; only those are sorted.
+    """
+    stored = materialize(counts, "counts")
+    bucket = F.floor(F.log2(n) * 8).cast("int")
+    held, least = 0, None
+    for row in sorted(stored.groupBy(bucket.alias("bucket")).count().collect(), reverse=True):
+        held, least = held + row["count"], row["bucket"]
+        if held >= limit:
+            break
+    rows = stored if least is None else stored.filter(bucket >= least)
+    return rows.orderBy(F.desc(n), key).limit(limit)
+
+
 def map_rows(
     df: DataFrame,
     row_batch: Callable[[list[list]], list[list]],

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import map_rows, most_frequent, table
 
 #: (verdict, host and path), as fixed by the task.
 RULES = (
@@ -67,15 +67,13 @@ def matching_rule(rules: Sequence[tuple[str, str]] = RULES) -> Column:
 def word_counts(pages: DataFrame, limit: int = MAX_WORDS) -> dict[str, int]:
     """The most frequent words of the visible text of all pages (at most *limit*)."""
     visible = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>|<[^>]*>", " ")
-    rows = (
+    counts = (
         pages.select(F.explode(F.split(F.lower(visible), "[^a-z]+")).alias("word"))
         .filter(F.length("word").between(2, MAX_WORD_CHARS))
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "word")
-        .limit(limit)
     )
-    return {r.word: r.n for r in rows.collect()}
+    return {r.word: r.n for r in most_frequent(counts, "n", "word", limit).collect()}
 
 
 class Segmenter:
@@ -149,14 +147,12 @@ def train(tokens: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds=SEE
     marked = tokens.select("tokens", label.alias("label")).filter("label is not null")
     sizes = {r.label: r.n for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = math.log((sizes.get("block", 0) + 1) / (sizes.get("allow", 0) + 1))
-    counted = (
+    counts = (
         marked.select(F.explode("tokens").alias("token"), "label")
         .groupBy("token")
         .agg(F.count_if(F.col("label") == "block").alias("block"), F.count_if(F.col("label") == "allow").alias("allow"))
-        .orderBy(F.desc(F.col("block") + F.col("allow")), "token")
-        .limit(limit)
-        .collect()
     )
+    counted = most_frequent(counts.withColumn("n", F.col("block") + F.col("allow")), "n", "token", limit).collect()
     block, allow, v = sum(r.block for r in counted), sum(r.allow for r in counted), max(1, len(counted))
     return prior, {r.token: math.log((r.block + 1) / (block + v)) - math.log((r.allow + 1) / (allow + v)) for r in counted}
 
