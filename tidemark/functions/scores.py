@@ -22,10 +22,11 @@ def judged(score: Column) -> Column:
 
 
 def judged_by_words(answer: Column) -> Column:
-    """A judge's words: partially first, then incorrect, then correct."""
+    """A number in a judge's words (1.0, then 0.5, then 0.0), else a one or "correct", else "partial"."""
     a = F.lower(answer)
     has = lambda w: F.contains(a, F.lit(w))
-    return F.when(has("partial"), 0.5).when(has("incorrect"), 0.0).when(has("correct"), 1.0).otherwise(0.0)
+    number = F.when(has("1.0"), 1.0).when(has("0.5"), 0.5).when(has("0.0"), 0.0)
+    return F.coalesce(number, F.when(has("1") | has("correct"), 1.0).when(has("partial"), 0.5).otherwise(0.0))
 
 
 def does_not_know(answer: Column) -> Column:

@@ -86,7 +86,7 @@ def normalize_answer(answer: Column) -> Column:
 def answers_match(predicted: Column, label: Column) -> Column:
     """Equal but for case, or equal as comma-separated lists."""
     p, g = normalize_answer(predicted), normalize_answer(label)
-    parts = lambda x: F.transform(F.split(x, ","), F.trim)
+    parts = lambda x: F.transform(F.split(x, ","), lambda v: F.trim(v))
     return F.coalesce(F.when(F.lower(p) == F.lower(g), True).when(F.contains(g, F.lit(",")), parts(p) == parts(g)), F.lit(False))
 
 

@@ -49,7 +49,7 @@ def scored_paths(edges: DataFrame, seeds: DataFrame, hops: int = 2, wanted_types
         ends = frontier.withColumn("node", F.element_at("nodes", -1))
         grown = ends.join(sides, "node")
         if same_type:
-            grown = grown.filter((F.size("types") == 0) | (F.col("type") == F.element_at("types", -1)))
+            grown = grown.filter((F.size("types") == 0) | (F.col("type") == F.try_element_at("types", F.lit(-1))))
         if used is not None:
             grown = grown.join(used, "edge", "left_anti")
         factor = F.when(F.col("type").isin(*wanted_types), 1.0).otherwise(0.3) if wanted_types else F.lit(1.0)
