@@ -554,8 +554,8 @@ def scored_paths(spark, sf):
 WITH {T}, s AS (SELECT entity_id AS node, count(*) AS n, min(us) / 1e6 AS first_seen, max(us) / 1e6 AS last_seen FROM t GROUP BY entity_id),
 p AS (SELECT a.node AS a, b.node AS b FROM s a JOIN s b ON b.node = a.node + 1)
 SELECT a.node AS a, b.node AS b,
-       round(0.8 * greatest(0.3, 1 - ({NOW_US / 1e6} - a.last_seen) / 86400 / 180) * greatest(0.3, 1 - ({NOW_US / 1e6} - b.last_seen) / 86400 / 180), 12) AS recency,
-       round(0.8 * least(1 + a.n * 0.1, 2) * least(1 + b.n * 0.1, 2), 12) AS evolution
+       round(CAST(0.8 AS DOUBLE) * greatest(0.3, 1 - ({NOW_US / 1e6} - a.last_seen) / 86400 / 180) * greatest(0.3, 1 - ({NOW_US / 1e6} - b.last_seen) / 86400 / 180), 12) AS recency,
+       round(CAST(0.8 AS DOUBLE) * least(1 + a.n * CAST(0.1 AS DOUBLE), 2) * least(1 + b.n * CAST(0.1 AS DOUBLE), 2), 12) AS evolution
 FROM p JOIN s a ON a.node = p.a JOIN s b ON b.node = p.b
 """)
 def path_score(spark, sf):
