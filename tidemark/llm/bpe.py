@@ -3,9 +3,11 @@ r"""Byte-level BPE by a global distinct-word shuffle.
 1. Texts are split by the pattern into pre-tokens.  Documents are taken together in
    *blocks* of bounded text; a block lists its distinct words once and keeps the
    positions as numbers into that list, so a word's occurrences cost a number each.
+   Blocks are written bucketed by their number and do not move again.
 2. The words of all blocks are shuffled by a hash of the word.  Equal words meet in
    one bucket and are encoded there once.
-3. The ids go back to the blocks and every document is put together by position.
+3. The ids are joined back to the blocks (only they are shuffled) and every document
+   is put together by position.
 4. Decoding joins each id with the token-byte table (as long as the vocabulary, so
    of fixed size) and joins the bytes by position.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
+from .common import scratch_path, table, text_or_empty
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 24_000_000
 #: Buckets of words, per shuffle partition.
 BUCKETS_PER_PARTITION = 4
 REMEMBERED = 500_000
@@ -54,18 +57,41 @@ def split_pattern() -> str:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zlib.compress(values.astype("<u4").tobytes(), 1)
+    """Unsigned 32-bit integers, byte plane by byte plane, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), "<u4")
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _pack_words(words: list[str]) -> tuple[bytes, bytes]:
+    """The lengths, and the words end to end."""
+    import zstandard
+
+    return _pack(np.array([len(w) for w in words], np.uint32)), zstandard.ZstdCompressor(level=3).compress("".join(words).encode())
+
+
+def _unpack_words(lengths: bytes, blob: bytes) -> list[str]:
+    import zstandard
+
+    text, at, out = zstandard.ZstdDecompressor().decompress(blob).decode(), 0, []
+    for n in _unpack(lengths).tolist():
+        out.append(text[at : at + n])
+        at += n
+    return out
 
 
 # -- blocks ---------------------------------------------------------------------------------
 
-_WORDS = pa.struct([("bucket", pa.int32()), ("first", pa.int64()), ("words", pa.list_(pa.string()))])
+_WORDS = pa.struct([("bucket", pa.int32()), ("first", pa.int64()), ("sizes", pa.binary()), ("words", pa.binary())])
 _BLOCKS = pa.schema([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("codes", pa.binary()), ("lists", pa.list_(_WORDS))])
-_BLOCKS_DDL = "doc_ids array<long>, lengths binary, codes binary, lists array<struct<bucket:int,first:long,words:array<string>>>"
+_BLOCKS_DDL = "doc_ids array<long>, lengths binary, codes binary, lists array<struct<bucket:int,first:long,sizes:binary,words:binary>>"
 
 
 class _Block:
@@ -95,6 +121,8 @@ class _Block:
             if not lists or lists[-1]["bucket"] != of[i]:
                 lists.append({"bucket": of[i], "first": at, "words": []})
             lists[-1]["words"].append(words[i])
+        for x in lists:
+            x["sizes"], x["words"] = _pack_words(x["words"])
         return {
             "doc_ids": self.ids,
             "lengths": _pack(np.array(self.lengths, np.uint32)),
@@ -121,14 +149,19 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int = BLOCK
             yield pa.RecordBatch.from_pylist([block.row(buckets)], _BLOCKS)
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, _BLOCKS_DDL)
-    return materialize(rows.withColumn("block", F.monotonically_increasing_id()), "bpe-blocks")
+    rows = rows.withColumn("block", F.monotonically_increasing_id())
+    spark = docs.sparkSession
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    writer = rows.write.format("parquet").option("path", scratch_path(spark, "bpe-blocks")).option("compression", "uncompressed")
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
+    return spark.table(name)
 
 
 # -- words to ids -------------------------------------------------------------------------------
 
 
 def encoded_words(lists: DataFrame, path: str, pattern: str) -> DataFrame:
-    """lists: bucket, block, first, words; returns block, first, counts and ids of those words, each distinct word encoded once."""
+    """lists: bucket, block, first, sizes, words; returns block, first, counts and ids of those words, each distinct word encoded once."""
     schema = pa.schema([("block", pa.int64()), ("first", pa.int64()), ("counts", pa.binary()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +171,8 @@ def encoded_words(lists: DataFrame, path: str, pattern: str) -> DataFrame:
         known: dict[str, list[int]] = {}
         now = None
         for batch in batches:
-            for bucket, block, first, words in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, block, first, sizes, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                words = _unpack_words(sizes, blob)
                 if bucket != now or len(known) > REMEMBERED:
                     known, now = {}, bucket
                 found = []
@@ -152,7 +186,7 @@ def encoded_words(lists: DataFrame, path: str, pattern: str) -> DataFrame:
                 row = [[block], [first], [_pack(counts)], [_pack(flat)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema)], schema=schema)
 
-    dealt = lists.select("bucket", "block", "first", "words").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = lists.select("bucket", "block", "first", "sizes", "words").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "block long, first long, counts binary, ids binary")
 
 
@@ -170,38 +204,29 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
     spark = docs.sparkSession
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored = blocks(docs, pattern, buckets, block_chars)
-    lists = stored.select("block", F.explode("lists").alias("x")).select("x.bucket", "block", "x.first", "x.words")
-    words = encoded_words(lists, path, pattern)
-    none, no_ids = F.lit(None).cast("binary"), F.lit(None).cast("array<bigint>")
-    joined = words.select("block", "first", F.col("counts").alias("a"), F.col("ids").alias("b"), no_ids.alias("doc_ids")).unionByName(
-        stored.select("block", F.lit(1 << 62).alias("first"), F.col("lengths").alias("a"), F.col("codes").alias("b"), "doc_ids")
-    )
+    lists = stored.select("block", F.explode("lists").alias("x")).select("x.bucket", "block", "x.first", "x.sizes", "x.words")
+    back = encoded_words(lists, path, pattern)
+    by_block = back.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("first", "counts", "ids"))).alias("parts"))  # its own words
+    joined = stored.select("block", "doc_ids", "lengths", "codes").join(by_block, "block", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, ids = [], []  # of the words of one block, in their order
         for batch in batches:
             for i in range(batch.num_rows):
-                doc_ids = batch.column(4)[i].as_py()
-                a, b = _unpack(batch.column(2)[i].as_py()), _unpack(batch.column(3)[i].as_py())
-                if doc_ids is None:
-                    counts.append(a)
-                    ids.append(b)
-                    continue
+                doc_ids, lengths, codes, parts = (batch.column(c)[i].as_py() for c in range(4))
+                counts, ids = ([_unpack(p[k]) for p in parts or ()] for k in ("counts", "ids"))
                 n = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
                 flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-                counts, ids = [], []
-                starts, at, out = np.cumsum(n) - n, 0, []
-                for length in a.tolist():
-                    codes = b[at : at + length]
+                starts, codes, at, out = np.cumsum(n) - n, _unpack(codes), 0, []
+                for length in _unpack(lengths).tolist():
+                    own = codes[at : at + length]
                     at += length
-                    out.append(gathered(flat, starts[codes], n[codes]).astype("<u4").tobytes())
+                    out.append(gathered(flat, starts[own], n[own]).astype("<u4").tobytes())
                 for k in range(0, len(out), 500):
                     part = [doc_ids[k : k + 500], out[k : k + 500]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, schema)], schema=schema)
 
-    ordered = joined.repartition("block").sortWithinPartitions("block", "first")
-    return ordered.mapInArrow(run, "doc_id long, ids binary")
+    return joined.select("doc_ids", "lengths", "codes", "parts").mapInArrow(run, "doc_id long, ids binary")
 
 
 # -- ids to text -----------------------------------------------------------------------------
