@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, times, vectors
-from ..operators import batching, bitemporal, deals, facts, graph, history, process, quality, resolve, retrieve, scoring
+from ..operators import batching, bitemporal, conversations, deals, facts, graph, history, memory, negotiation, process, quality, resolve, retrieve, scoring
 from ..operators import compile as narrate
 from . import views
 from .views import load
@@ -881,6 +881,64 @@ def session_window(spark, sf):
     return windows.sessions(load(spark, sf, "events"))
 
 
+@query("conversation_stats", """
+WITH c AS (SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)
+SELECT count(*) AS n_conversations, CAST(sum(n_turns) AS BIGINT) AS n_turns_sum, avg(n_turns) AS n_turns_mean, min(n_turns) AS n_turns_min, max(n_turns) AS n_turns_max,
+       CAST(sum(n_chars) AS BIGINT) AS n_chars_sum, avg(n_chars) AS n_chars_mean, min(n_chars) AS n_chars_min, max(n_chars) AS n_chars_max FROM c
+""")
+def conversation_stats(spark, sf):
+    t = views.turns(load(spark, sf, "conversations"))
+    return conversations.statistics(t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("text")).alias("n_chars")))
+
+
+@query("budgeted_conversation_texts", """
+WITH t AS (SELECT conv_id, turn, upper(role) || ':' || chr(10) || substring(text, 1, 300) AS line FROM conversations WHERE role IN ('user', 'assistant')),
+h AS (SELECT *, sum(length(line)) OVER (PARTITION BY conv_id ORDER BY turn) AS held FROM t)
+SELECT conv_id, md5(string_agg(line, chr(10) || chr(10) ORDER BY turn)) AS text_md5, count(*) AS n_kept FROM h WHERE held <= 800 GROUP BY conv_id
+""")
+def budgeted_conversation_texts(spark, sf):
+    out = conversations.budgeted_texts(views.turns(load(spark, sf, "conversations")), 800, 300)
+    return out.select("conv_id", F.md5("text").alias("text_md5"), "n_kept")
+
+
+@query("activity_preamble", f"""
+WITH {T}, r AS (SELECT * FROM t WHERE us BETWEEN {NOW_US - 13 * DAY_US} AND {NOW_US - 10 * DAY_US}),
+a AS (SELECT entity_id, row_number() OVER (ORDER BY entity_id) AS position FROM (SELECT DISTINCT entity_id FROM r)),
+c AS (SELECT entity_id, event_type, transition_type, row_number() OVER (ORDER BY us DESC, ord DESC) AS position FROM r)
+SELECT 'entities' AS section, CAST(position AS INT) AS position, 'user ' || entity_id || ' (person): none' AS line FROM a WHERE position <= 20
+UNION ALL SELECT 'changes', CAST(position AS INT), 'user ' || entity_id || ': ' || event_type || CASE WHEN transition_type = 'contradiction' THEN ' ⚠ CONTRADICTION' ELSE '' END FROM c WHERE position <= 10
+""")
+def activity_preamble(spark, sf):
+    t = _transitions(spark, sf).withColumn("summary", F.col("event_type"))
+    e = t.select("entity_id").distinct().select("entity_id", F.concat(F.lit("user "), F.col("entity_id").cast("string")).alias("name"), F.lit("person").alias("type"), F.lit(0.5).alias("importance"), F.lit("none").alias("description"))
+    return conversations.preamble(e, t, NOW_US - 10 * DAY_US)
+
+
+@query("negotiation_rollup", """
+SELECT o_orderpriority AS scenario, o_orderstatus AS condition, count(*) AS n, avg(CAST(o_totalprice > 100000 AS INT)) AS closure_rate,
+       avg(o_custkey) AS avg_turns, avg(CASE WHEN o_totalprice > 100000 THEN o_orderkey END) AS avg_payoff FROM orders GROUP BY ALL
+""")
+def negotiation_rollup(spark, sf):
+    o = load(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("scenario"), F.col("o_orderstatus").alias("condition"), (F.col("o_totalprice") > 100_000).alias("deal_reached"),
+        F.col("o_custkey").alias("num_turns"), F.col("o_orderkey").alias("joint_payoff"),
+    )
+    return negotiation.by_condition(o)
+
+
+@query("keyword_recall", """
+WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9_]+'))) AS word FROM benchmark WHERE item_id % 10 = 0),
+n AS (SELECT doc_id AS note_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9_]+'))) AS word FROM documents WHERE lang = 'en'),
+m AS (SELECT query_id, note_id, count(*) AS shared FROM q JOIN n USING (word) WHERE length(word) > 3 GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, note_id) AS INT) AS rank FROM m)
+SELECT query_id, note_id, shared, rank FROM r WHERE rank <= 5
+""")
+def keyword_recall(spark, sf):
+    q = load(spark, sf, "benchmark").filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    n = load(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("note_id"), F.col("text").alias("note"))
+    return memory.recalled(q, n, 5)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return entity_velocity_topk(spark, sf)
 
