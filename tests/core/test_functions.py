@@ -93,3 +93,9 @@ def test_providers(spark):
     assert len(vectors_[1]) == 8 and vectors_[1] != vectors_[2]
     one = spark.createDataFrame([("FalkorDB - Redis graph", "falkordb", "Acme Solar", ["x"])], "t string, n string, c string, d array<string>")
     assert one.select(providers.canonical_name(F.col("t"), F.col("n")), providers.industry(F.col("c"), F.col("d"))).first() == ("FalkorDB", "Energy & Utilities")
+
+
+def test_email_templates(spark):
+    note = 'Intro\n1st TOUCH - A\nSubject line: "Hello {{name}}"\n\nHi {{name}},\nbuy.\n2nd TOUCH - B\nSubject lines: Again\nBye\n3rd TOUCH - C\nno subject'
+    got = [tuple(t) for t in values(spark, text.email_templates(F.col("t")), [(note,)], "t string")[0]]
+    assert got == [("1st TOUCH - A", "Hello {{name}}", "Hi [PERSONALIZE],\nbuy."), ("2nd TOUCH - B", "Again", "Bye")]

@@ -105,3 +105,22 @@ def parsed_facts(text: Column) -> Column:
         )
 
     return F.transform(sentences, fact)
+
+
+def email_templates(note: Column, max_body: int = 1500) -> Column:
+    """Array of (touch, subject, body) of a sales note: one per "1st TOUCH - A" heading that has a subject line.
+
+    Placeholders in double braces become [PERSONALIZE].
+    """
+    sections = F.split(note, r"(?i)(?=\b\d+(?:st|nd|rd|th) TOUCH - [A-Z])")
+    subject = r"(?im)^\s*subject lines?[^:\n]*:[ \t]*([^\n]+)$"
+
+    def template(s: Column) -> Column:
+        body = F.regexp_extract(s, r"(?is)subject lines?[^:\n]*:[^\n]*\n(.*)$", 1)
+        return F.struct(
+            F.regexp_extract(s, r"(?i)^(\d+(?:st|nd|rd|th) TOUCH - [A-Z])", 1).alias("touch"),
+            F.trim(F.translate(F.regexp_extract(s, subject, 1), '"“”', "")).alias("subject"),
+            F.substring(F.trim(F.regexp_replace(F.regexp_replace(body, r"\{\{[^}]+\}\}", "[PERSONALIZE]"), r"^\s+|\s+$", "")), 1, max_body).alias("body"),
+        )
+
+    return F.filter(F.transform(sections, template), lambda t: (t["touch"] != "") & (t["subject"] != ""))
