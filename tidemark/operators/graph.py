@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Tasks over which the neighbours of one node are dealt while components are found.
+SALTS = 8
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """node, other, type: every edge seen from both ends."""
     out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "type")
@@ -116,7 +120,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        salted = both.filter("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+        every = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        large = salted.join(every, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = _settled(small.unionByName(joined.select("u", F.col("m").alias("v"))).distinct())
