@@ -42,7 +42,7 @@ NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9995
 MAX_HASHES = 400
 BLOCK = 256
 SEED = 11
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _WORD = re.compile(r"\w+")
 _ODD = np.random.default_rng(SEED).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
