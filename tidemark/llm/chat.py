@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 BUDGET, HISTORY = 1024, 256
@@ -92,7 +92,7 @@ def placed_turns(conversations: DataFrame, tokens=token_estimate) -> DataFrame:
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=token_estimate) -> DataFrame:
     """conv_id, window, formatted, n_system, n_history, n_new, loss: array of (start, length) in code points."""
-    turns = placed_turns(conversations, tokens)
+    turns = materialize(placed_turns(conversations, tokens), "chat-turns")  # read several times below
     is_system = (F.col("pos") == 1) & (F.col("role") == "system") & (F.col("turns") > 1)
     system = turns.filter(is_system).select(
         "conv", F.col("tokens").alias("system_tokens"), F.concat(F.lit(f"{START}system\n"), "text", F.lit(END)).alias("system")

@@ -33,8 +33,8 @@ END_ID = 1
 #: Axes of the curve and bits of each; buckets of the hashed vectors.
 DIMENSIONS, BITS, BUCKETS = 4, 12, 1024
 SEED = 7
-#: Words a worker remembers the ids of; it forgets all when full.
-REMEMBERED = 400_000
+#: Strings a worker remembers the ids of, in each of two generations; their longest.
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 
 
 # -- the curve -----------------------------------------------------------------------
@@ -49,10 +49,9 @@ _PROJECTION = _axes()
 
 def hashed_vector(text: str) -> np.ndarray:
     """Counts of hashed byte 4-grams, at unit length."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    if b.size < 4:
-        b = np.concatenate([b, np.zeros(4 - b.size, np.uint32)])
-    grams = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
+    raw = text.encode("utf-8", "surrogatepass")
+    raw += bytes(max(0, 4 - len(raw)))
+    grams = np.ndarray(len(raw) - 3, "<u4", raw, strides=(1,))  # every four bytes, overlapping
     counts = np.bincount((grams * np.uint32(2654435761)) >> np.uint32(22), minlength=BUCKETS).astype(np.float64)
     return counts / np.sqrt((counts * counts).sum())
 
@@ -108,8 +107,40 @@ def with_curve_keys(docs: DataFrame, max_chars: int = 4_000_000) -> DataFrame:
 # -- tokens --------------------------------------------------------------------------------
 
 
+class Memory:
+    """A bounded memory in two generations: what was asked for again outlives the turn to a new one."""
+
+    def __init__(self, size: int = REMEMBERED):
+        self.size, self.young, self.old = size, {}, {}
+
+    def recalled(self, keys: set[str]) -> tuple[dict[str, bytes], set[str]]:
+        """What either generation knows of *keys* (the old one's goes to the young), and the others."""
+        young, old = self.young, self.old
+        found, unknown = {}, set()
+        for k in keys:
+            x = young.get(k)
+            if x is None:
+                x = old.get(k)
+                if x is None:
+                    unknown.add(k)
+                    continue
+                young[k] = x
+            found[k] = x
+        return found, unknown
+
+    def learn(self, new: dict[str, bytes]) -> None:
+        """Remember short strings; called after use, as it may start a generation."""
+        self.young.update((k, x) for k, x in new.items() if len(k) <= LONGEST_REMEMBERED)
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 class WordEncoder:
-    """The ids of the word-level BPE file, each distinct word encoded once per worker."""
+    """The ids of the word-level BPE file, each distinct string between white space encoded once per worker.
+
+    White space always ends a word and gives no ids, so a text's ids are those of
+    its parts between white space, one after the other.
+    """
 
     # Fixed value: the file's own splitting pattern (white space is dropped).
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -121,25 +152,47 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.tokenizer.normalizer = normalizers.Sequence([])  # done in split()
+        self.tokenizer.normalizer = normalizers.Sequence([])  # done in words()
         self.find = regex.compile(self.PATTERN).findall
-        self.ids: dict[str, bytes] = {}
+        self.separators = regex.compile(r"[\x1c-\x1f]").search  # white space to str.split() only
+        self.spaces = regex.compile(r"\s+").split
+        self.memory = Memory()
 
-    def split(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
         """Composed, lower-cased letter by letter (so no final sigma), then split into words."""
+        if text.isascii():
+            if text.isalpha():
+                return [text.lower()]
+            if text[-1:] in ",.;:!?" and text[:-1].isalpha():
+                return [text[:-1].lower(), text[-1]]
         return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        words = self.split(text)
-        new = [w for w in set(words) if w not in self.ids]
+        parts = self.spaces(text) if self.separators(text) else text.split()
+        held = list(map(self.memory.young.get, parts))
+        if None not in held:
+            return b"".join(held)
+        found, new = self.memory.recalled({p for p, x in zip(parts, held) if x is None})
         if new:
-            if len(self.ids) > REMEMBERED:
-                self.ids.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.ids[w] = array("I", e.ids).tobytes()
-        return b"".join([self.ids[w] for w in words])
+            words = {p: self.words(p) for p in new}  # a word is a part of its own, so one memory serves both
+            ids, unknown = self.memory.recalled({w for ws in words.values() for w in ws})
+            order = list(unknown)
+            ids |= {w: array("I", e.ids).tobytes() for w, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False))}
+            found |= {p: b"".join([ids[w] for w in ws]) for p, ws in words.items()}
+            self.memory.learn(ids)
+            self.memory.learn(found)
+        return b"".join([found[p] if x is None else x for p, x in zip(parts, held)])
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder, kept from task to task with what it remembers."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 # -- sequences -------------------------------------------------------------------------------
@@ -199,7 +252,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId() << 40, max_tokens)
         end = array("I", [END_ID]).tobytes()
 
