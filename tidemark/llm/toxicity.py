@@ -1,7 +1,8 @@
 r"""Toxicity: a fuzzy lexicon automaton and context windows.
 
 *Lexicon.* Words and word beginnings (stems) that the labelled documents of the
-training folds hold far more often where they are toxic.  *Matching.* The
+training folds hold far more often where they are toxic, and more clearly so than
+the best of as many terms would by chance.  *Matching.* The
 Levenshtein automata of all terms, intersected with the trie of the lexicon and
 made deterministic as texts ask for it, read a word once and give the term within
 the allowed distance.  Words of clean training documents that happen to lie that
@@ -40,6 +41,8 @@ SAMPLE = 20_000
 MAX_TERMS, MAX_EXCEPTIONS = 2_000, 20_000
 #: A term needs so many toxic documents, such a share of all of them, and so large log odds.
 MIN_TOXIC, MIN_SHARE, MIN_ODDS = 3, 0.02, 2.5
+#: The chance that any term at all gets into the lexicon without cause.
+FALSE_TERMS = 0.05
 STEM_CHARS = (4, 5, 6)
 WINDOW = 6
 QUOTED, ADDRESSED = 0.15, 1.3
@@ -242,28 +245,52 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
 
 
 def _counted(rows: DataFrame, of_text) -> DataFrame:
-    """term, clean and toxic: the documents of either label whose text gives the term; summed in the task first."""
-    ddl, most = "term string, clean long, toxic long", 200_000
-    schema = pa.schema([("term", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
+    """term and n0 to n3, the documents of each class (2 * part + toxic) whose text gives the term; summed in the task first."""
+    names, most = ["n0", "n1", "n2", "n3"], 200_000
+    ddl = "term string, " + ", ".join(f"{n} long" for n in names)
+    schema = pa.schema([("term", pa.string()), *((n, pa.int64()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
+        counts = tuple(Counter() for _ in names)
 
         def flush() -> pa.RecordBatch:
-            terms = list(counts[0].keys() | counts[1].keys())
+            terms = list(set().union(*counts))
             out = [terms, *([c[t] for t in terms] for c in counts)]
             for c in counts:
                 c.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[bool(toxic)].update(of_text(text))
-                if len(counts[0]) + len(counts[1]) > most:
+            for text, toxic, part in zip(*(c.to_pylist() for c in batch.columns)):
+                counts[2 * part + bool(toxic)].update(of_text(text))
+                if sum(map(len, counts)) > most:
                     yield flush()
         yield flush()
 
-    return rows.select("text", "toxic").mapInArrow(run, ddl).groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    summed = rows.select("text", "toxic", "part").mapInArrow(run, ddl).groupBy("term")
+    return summed.agg(*(F.sum(n).alias(n) for n in names))
+
+
+def _telling(counts: DataFrame, sizes: list[int], parts: tuple[int, ...]) -> list:
+    """term, toxic (documents), odds of the terms that speak for toxicity in *parts*.
+
+    A term's evidence bounds the log chance that its documents are toxic so often
+    (Chernoff); it has to hold against all the terms that are tested (``FALSE_TERMS``).
+    """
+    n_clean, n_toxic = (sum(sizes[2 * p + y] for p in parts) for y in (0, 1))
+    clean, toxic = (sum((F.col(f"n{2 * p + y}") for p in parts), F.lit(0)) for y in (0, 1))
+    tested = counts.select("term", clean.alias("clean"), toxic.alias("toxic")).filter(F.col("toxic") >= max(MIN_TOXIC, MIN_SHARE * n_toxic))
+    n, base = F.col("clean") + F.col("toxic"), n_toxic / max(1, n_clean + n_toxic)
+    share = F.col("toxic") / n
+    evidence = F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / max(1e-9, 1 - base))).otherwise(0)
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    return (
+        tested.withColumn("odds", odds)
+        .filter((F.col("odds") >= MIN_ODDS) & (evidence >= math.log(max(1, tested.count()) / FALSE_TERMS)))
+        .orderBy(F.desc(F.col("odds") * F.col("toxic")), "term")
+        .limit(MAX_TERMS)
+        .collect()
+    )
 
 
 def _terms(text: str) -> set[str]:
@@ -305,25 +332,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 3
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    """Lexicon from two thirds of the sample, the score's weights from the other third, exceptions from all of it."""
+    """Weights from a third of the sample by a lexicon of the others, then the lexicon and its exceptions from all of it."""
     sample = labelled_sample(docs, labels, size)
-    sizes = {(r.part, r.toxic > 0): r.n for r in sample.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = sizes.get((0, True), 0), sizes.get((0, False), 0)
-    base = math.log((sizes.get((1, True), 0) + n_toxic + 0.5) / (sizes.get((1, False), 0) + n_clean + 1))
-    if not n_toxic:
+    sizes = [0] * 4
+    for r in sample.groupBy("part", (F.col("toxic") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[2 * r.part + r.y] = r.n
+    base = math.log((sizes[1] + sizes[3] + 0.5) / (sizes[0] + sizes[2] + 1))
+    if not sizes[1] + sizes[3]:
         return Model(weights=(base, 0.0, 0.0, 0.0))
-    first, second = sample.filter("part = 0"), sample.filter("part = 1")
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    rows = (
-        _counted(first, _terms)
-        .filter(F.col("toxic") >= max(MIN_TOXIC, MIN_SHARE * n_toxic))
-        .withColumn("odds", odds)
-        .filter(F.col("odds") >= MIN_ODDS)
-        .orderBy(F.desc(F.col("odds") * F.col("toxic")), "term")
-        .limit(MAX_TERMS)
-        .collect()
-    )
-    words, stems = _pruned(rows)
+    counts = materialize(_counted(sample, _terms).filter(F.col("n1") + F.col("n3") >= MIN_TOXIC), "toxic-terms")
+    weights = _weights(_model(sample, counts, sizes, (0,)), sample.filter("part = 1"), base)
+    model = _model(sample, counts, sizes, (0, 1))
+    model.weights = weights
+    return model
+
+
+def _model(sample: DataFrame, counts: DataFrame, sizes: list[int], parts: tuple[int, ...]) -> Model:
+    """Lexicon and exceptions by the documents of *parts*."""
+    words, stems = _pruned(_telling(counts, sizes, parts))
     model = Model(words, stems)
 
     def misspelled(text: str) -> set[str]:
@@ -331,22 +357,28 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
         seen = {w for t in set(text.lower().split()) if (w := plain(t))}
         return {w for w in seen if (hit := lexicon.lookup(w)) and hit[1]}
 
+    n_clean, n_toxic = (sum(sizes[2 * p + y] for p in parts) for y in (0, 1))
+    clean, toxic = (sum((F.col(f"n{2 * p + y}") for p in parts), F.lit(0)) for y in (0, 1))
+    odds = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
     exceptions = (
-        _counted(sample, misspelled)
-        .filter((F.col("clean") > 0) & (odds < MIN_ODDS))
-        .orderBy(F.desc("clean"), "term")
+        _counted(sample.filter(F.col("part").isin(*parts)), misspelled)
+        .filter((clean > 0) & (odds < MIN_ODDS))
+        .orderBy(F.desc(clean), "term")
         .limit(MAX_EXCEPTIONS)
         .collect()
     )
-    model = Model(words, stems, frozenset(r.term for r in exceptions))
-    found = with_features(second.select(F.col("toxic").cast("long").alias("doc_id"), "text"), model).collect()
-    if not found or not any(r.doc_id for r in found):
-        return Model(words, stems, model.exceptions, (base, 1.0, 0.5, 0.5))
+    return Model(words, stems, frozenset(r.term for r in exceptions))
+
+
+def _weights(model: Model, sample: DataFrame, base: float) -> tuple[float, ...]:
+    """The intercept and slopes of the score, by documents that the lexicon has not seen."""
+    found = with_features(sample.select(F.col("toxic").cast("long").alias("doc_id"), "text"), model).collect()
+    if not any(r.doc_id for r in found):
+        return (base, 1.0, 0.5, 0.5)
     # every toxic document a second time with its hits taken as misspelled, against the near hits of clean ones
     rows = [((r.exact, r.near, r.dense), r.doc_id > 0) for r in found]
     rows += [((0.0, math.log1p(math.expm1(x[0]) + math.expm1(x[1])), x[2]), y) for x, y in rows if y]
-    model.weights = _logistic(np.array([x for x, _ in rows]), np.array([float(y) for _, y in rows]))
-    return model
+    return _logistic(np.array([x for x, _ in rows]), np.array([float(y) for _, y in rows]))
 
 
 _held: list = []
