@@ -45,6 +45,12 @@ def test_quotation_weakens_and_address_strengthens():
     assert weight("he said idiot once") < 1
 
 
+def test_terms_of_a_rare_language_count_however_many_toxic_documents_there_are(spark):
+    rows = [("raro", 0, 12, 0, 0), ("often", 10, 300, 0, 0), ("chance", 40, 3, 0, 0)]
+    counts = spark.createDataFrame(rows, "term string, n0 long, n1 long, n2 long, n3 long")
+    assert {r.term for r in m._telling(counts, [9_000, 1_000, 0, 0], (0,))} == {"raro", "often"}
+
+
 def corpus(n=900):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(3, 8))) for _ in range(400)]

@@ -39,8 +39,8 @@ from .common import map_rows, materialize, table, text_or_empty
 #: Bound of the labelled sample the model is fitted on (documents).
 SAMPLE = 20_000
 MAX_TERMS, MAX_EXCEPTIONS = 2_000, 20_000
-#: A term needs so many toxic documents, such a share of all of them, and so large log odds.
-MIN_TOXIC, MIN_SHARE, MIN_ODDS = 3, 0.02, 2.5
+#: A term needs so many toxic documents and so large log odds; no share of them, or rare languages would have no terms.
+MIN_TOXIC, MIN_ODDS = 3, 2.5
 #: The chance that any term at all gets into the lexicon without cause.
 FALSE_TERMS = 0.05
 STEM_CHARS = (4, 5, 6)
@@ -279,7 +279,7 @@ def _telling(counts: DataFrame, sizes: list[int], parts: tuple[int, ...]) -> lis
     """
     n_clean, n_toxic = (sum(sizes[2 * p + y] for p in parts) for y in (0, 1))
     clean, toxic = (sum((F.col(f"n{2 * p + y}") for p in parts), F.lit(0)) for y in (0, 1))
-    tested = counts.select("term", clean.alias("clean"), toxic.alias("toxic")).filter(F.col("toxic") >= max(MIN_TOXIC, MIN_SHARE * n_toxic))
+    tested = counts.select("term", clean.alias("clean"), toxic.alias("toxic")).filter(F.col("toxic") >= MIN_TOXIC)
     n, base = F.col("clean") + F.col("toxic"), n_toxic / max(1, n_clean + n_toxic)
     share = F.col("toxic") / n
     evidence = F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / max(1e-9, 1 - base))).otherwise(0)
