@@ -70,6 +70,31 @@ def test_salvage_of_plain_records_with_a_wrong_length_or_digest():
     assert len(gaps) == 2 and gaps[1]["reason"] == "block digest"
 
 
+def test_urls_of_any_length_come_back(spark, tmp_path):
+    urls = ["http://x/" + "a" * 200_000, "http://x/" + "漢" * 8_000, "http://x/WARC/1.1"]
+    frame(spark, [(i, u, BIG) for i, u in enumerate(urls)]).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in m.op9_warc(spark, str(tmp_path)).collect()}
+    assert got == {0: ("revisit", 2), 1: ("revisit", 2), 2: ("response", None)}
+    (found,) = m.salvage(m.gzip_member(m.record_bytes(0, urls[0], "x", "response", None)))
+    assert found["target_uri"] == urls[0]
+
+
+def test_a_header_ends_before_the_next_version_line():
+    good = m.record_bytes(1, "http://x/", "x", "response", None)
+    gap, record = m.salvage(b"WARC/1.1\r\nWARC-Type: resp\r\n" + good)
+    assert gap["kind"] == "gap" and record["page_id"] == 1
+
+
+def test_records_that_are_not_read_back_fail_the_query(spark, tmp_path, monkeypatch):
+    import pytest
+
+    frame(spark, ROWS[:3]).write.parquet(f"{tmp_path}/pages.parquet")
+    read = m.read_archives
+    monkeypatch.setattr(m, "read_archives", lambda *a: read(*a).filter("page_id > 1"))
+    with pytest.raises(RuntimeError, match="3 records were written, 2 read back"):
+        m.op9_warc(spark, str(tmp_path))
+
+
 def test_empty_table(spark):
     folder = scratch_path(spark, "warc-test")
     assert m.write_archives(m.with_record_types(frame(spark, [])), folder).collect() == []

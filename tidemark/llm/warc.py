@@ -33,6 +33,9 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
+VERSION_LINE = re.compile(rb"WARC/1\.\d{1,3}\r\n")
+#: Where a header of any length ends: its empty line, or the version line of another record before it.
+HEAD_END = re.compile(rb"\r\n(?:\r\n|WARC/1\.)")
 SUFFIX = ".warc.gz"
 
 
@@ -114,10 +117,10 @@ class Damaged(ValueError):
 
 def parse_record(data, at: int) -> tuple[dict, int]:
     """The record whose version line starts at *at*, and its end; every check must hold."""
-    head_end = data.find(b"\r\n\r\n", at, at + 65_536)
-    if data[at : at + 7] != VERSION or head_end < 0:
+    ends = HEAD_END.search(data, at) if VERSION_LINE.match(data, at) else None
+    if not ends or ends[0].endswith(VERSION):
         raise Damaged("no record header")
-    fields = {}
+    head_end, fields = ends.start(), {}
     for line in bytes(data[at:head_end]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
@@ -284,11 +287,12 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     manifest = write_archives(with_record_types(table(spark, sf_dir, "pages")), folder)
     if not manifest.head(1):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return (
-        read_archives(spark, folder, manifest)
-        .filter("kind = 'record'")
-        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    )
+    found = read_archives(spark, folder, manifest).filter("kind = 'record'")
+    found = materialize(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-read")
+    written, read = manifest.agg(F.sum("records")).first()[0], found.count()
+    if written != read:
+        raise RuntimeError(f"{written} records were written, {read} read back")
+    return found
 
 
 OP9_SQL = """
