@@ -95,6 +95,36 @@ def test_records_that_are_not_read_back_fail_the_query(spark, tmp_path, monkeypa
         m.op9_warc(spark, str(tmp_path))
 
 
+def test_salvage_inside_a_member_of_many_records():
+    parts = members(pack=bytes)
+    found = list(m.salvage(m.gzip_member(b"".join(parts)) + m.gzip_member(parts[0])))
+    assert [f["page_id"] for f in found] == [0, 1, 2, 3, 4, 5, 0]
+    flipped = parts[1].replace(b"abc abc", b"abd abc", 1)
+    cut = parts[1].replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9", 1)
+    for bad, reason in ((flipped, "block digest"), (cut, "record does not end where it says"), (b"junk", "no record header")):
+        data = m.gzip_member(b"".join([parts[0], bad, *parts[2:]]))
+        found = list(m.salvage(data))
+        assert [f.get("page_id") for f in found] == [0, None, 2, 3, 4, 5]
+        assert found[1]["reason"] == reason and found[1]["inner"] == len(parts[0]) and found[2]["inner"] == len(parts[0] + bad)
+        assert {(f["start"], f["end"]) for f in found} == {(0, len(data))}
+
+
+def test_salvage_keeps_what_a_broken_member_gave():
+    import random
+
+    rng = random.Random(0)
+    parts = [m.record_bytes(i, "http://x/", "".join(rng.choices("abcdefgh", k=50_000)), "response", None) for i in range(6)]
+    for level in (0, 6):
+        whole = m.gzip_member(b"".join(parts), level)
+        flipped = bytearray(whole)
+        flipped[-6] ^= 0xFF  # the sum of the whole
+        for data, n in ((whole[: len(whole) * 2 // 3], 3), (bytes(flipped), 6)):
+            found = list(m.salvage(data + m.gzip_member(parts[5])))
+            kept = [f["page_id"] for f in found if f["kind"] == "record"]
+            assert kept[:n] == list(range(n)) and kept[-1] == 5 and len(kept) <= n + 2 and len(kept) == len(set(kept[:-1])) + 1
+            assert [f["start"] for f in found if f["kind"] == "gap"] == [0]
+
+
 def test_empty_table(spark):
     folder = scratch_path(spark, "warc-test")
     assert m.write_archives(m.with_record_types(frame(spark, [])), folder).collect() == []

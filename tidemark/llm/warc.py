@@ -4,7 +4,9 @@ r"""WARC archives: writing with revisit records, and a reader that salvages.
 folder; a manifest, committed as a table, names the files of the attempts that
 count.  :func:`read_archives` reads them back through Spark.  After a failed
 check the reader looks for the next member or version line that parses, goes on
-there, and logs the bytes between as a gap.
+there, and logs the bytes between as a gap.  It does the same inside a member, whose
+records and gaps have their offset in the inflated bytes as ``inner``; what a broken
+member gave before its break is read too.
 
 Defined cases: null html is empty; of equal payloads of at least
 ``MIN_REVISIT`` bytes the rows with the largest page_id are responses and all
@@ -37,6 +39,7 @@ VERSION_LINE = re.compile(rb"WARC/1\.\d{1,3}\r\n")
 #: Where a header of any length ends: its empty line, or the version line of another record before it.
 HEAD_END = re.compile(rb"\r\n(?:\r\n|WARC/1\.)")
 SUFFIX = ".warc.gz"
+CUT = "cut gzip member"
 
 
 # -- which records are revisits -------------------------------------------------
@@ -151,58 +154,88 @@ def parse_record(data, at: int) -> tuple[dict, int]:
     }, end + 4
 
 
-def inflate_member(data, at: int, step: int = 65_536) -> tuple[bytes, int]:
-    """The member that starts at *at*, its CRC checked, and its end."""
+def inflate_member(data, at: int, step: int = 65_536) -> tuple[bytes, int, str]:
+    """What the member that starts at *at* inflates to, where it ends or breaks, and why it breaks ('' if it is whole)."""
     unpacker, out, here = zlib.decompressobj(31), [], at
-    try:
-        while not unpacker.eof:
-            part = data[here : here + step]
-            if not part:
-                raise Damaged("cut gzip member")
+    while not unpacker.eof:
+        part = data[here : here + step]
+        if not part:
+            return b"".join(out), here, CUT
+        try:
             out.append(unpacker.decompress(part))
-            here += len(part)
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    return b"".join(out), here - len(unpacker.unused_data)
-
-
-def _entry(data, at: int) -> tuple[list[dict], int]:
-    """The records of the member or plain record at *at*, and where it ends."""
-    if data[at : at + 3] == MEMBER:
-        inner, end = inflate_member(data, at)
-        found, here = [], 0
-        while here < len(inner):
-            try:
-                record, here = parse_record(inner, here)
-            except Damaged as e:
-                raise Damaged(str(e), end) from None
-            found.append(record)
-        return found, end
-    record, end = parse_record(data, at)
-    return [record], end
+        except zlib.error as e:
+            if step > 1:  # byte by byte from the last whole part, to keep what comes before the break
+                unpacker, step = zlib.decompressobj(31), 1
+                out = [unpacker.decompress(data[at:here])]
+                continue
+            return b"".join(out), here, f"gzip: {e}"
+        here += len(part)
+    return b"".join(out), here - len(unpacker.unused_data), ""
+
+
+def _inside(inner: bytes) -> Iterator[dict]:
+    """Records and gaps of a member's inflated bytes, in their order, by their offset ``inner``."""
+    at, gap, why = 0, None, ""
+    while at < len(inner):
+        try:
+            record, end = parse_record(inner, at)
+        except Damaged as e:
+            if gap is None:
+                gap, why = at, str(e)
+            start = inner.find(VERSION, at + 1) if e.end is None else e.end
+            at = len(inner) if start < 0 else start
+            continue
+        if gap is not None:
+            yield {"kind": "gap", "inner": gap, "reason": why}
+            gap = None
+        yield {"kind": "record", "inner": at} | record
+        at = end
+    if gap is not None:
+        yield {"kind": "gap", "inner": gap, "reason": why}
 
 
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records and gaps of an archive: every byte is in one of them."""
+    """Records and gaps of an archive: every byte is in one of them.
+
+    Those inside a member have the member's start and end; the records of a broken
+    member come before the gap that it is, without one that ends where a cut is.
+    """
     at, gap, why = 0, None, ""
 
     def quarantined(end: int) -> dict:
         return {"kind": "gap", "start": gap, "end": end, "reason": why}
 
     while at < len(data):
+        saved = []
         try:
-            records, end = _entry(data, at)
+            if data[at : at + 3] == MEMBER:
+                inner, end, broken = inflate_member(data, at)
+                found = list(_inside(inner))
+                if broken == CUT and found and found[-1]["kind"] == "record":
+                    found.pop()  # it ends at the cut
+                saved = [f for f in found if f["kind"] == "record"]
+                if broken:
+                    raise Damaged(broken)
+                if found and not saved:
+                    raise Damaged(found[0]["reason"], end)
+            else:
+                record, end = parse_record(data, at)
+                found = [{"kind": "record"} | record]
         except Damaged as e:
+            if saved and gap is not None:
+                yield quarantined(at)
+                gap = None
+            yield from ({"start": at, "end": end} | f for f in saved)
             if gap is None:
                 gap, why = at, str(e)
-            starts = [p for p in (data.find(MEMBER, at + 1), data.find(VERSION, at + 1)) if p >= 0]
+            # text that the member gave already is not read a second time
+            starts = [p for p in (data.find(MEMBER, at + 1), data.find(VERSION, end if saved else at + 1)) if p >= 0]
             at = min(starts, default=len(data)) if e.end is None else e.end
             continue
         if gap is not None:
             yield quarantined(at)
             gap = None
-        for r in records:
-            yield {"kind": "record", "start": at, "end": end} | r
+        yield from ({"start": at, "end": end} | f for f in found)
         at = end
     if gap is not None:
         yield quarantined(len(data))
@@ -254,11 +287,11 @@ def write_archives(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES
 
 
 FIELDS = pa.schema(
-    [("archive", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()),
+    [("archive", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("inner", pa.int64()), ("reason", pa.string()),
      ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()),
      ("payload_digest", pa.string()), ("target_uri", pa.string())]
 )
-DDL = "archive string, kind string, start long, end long, reason string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, target_uri string"
+DDL = "archive string, kind string, start long, end long, inner long, reason string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, target_uri string"
 
 
 def read_archives(spark, folder: str, manifest: DataFrame | None = None) -> DataFrame:
