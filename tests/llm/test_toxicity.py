@@ -38,6 +38,17 @@ def test_stems_and_exceptions():
     assert lexicon.lookup("oron") is None and lexicon.lookup("moran") == ("moron", 1)
 
 
+def test_words_under_a_stem_are_found_misspelled():
+    from types import SimpleNamespace as Row
+
+    rows = [Row(term=t, odds=4.0, toxic=n) for t, n in (("kretz*", 40), ("kretzwarg", 20), ("kretzbold", 18), ("scum", 9))]
+    words, stems = m._pruned(rows)
+    assert list(stems) == ["kretz"] and "scum" in words
+    lexicon = m.FuzzyLexicon(words, stems)
+    assert lexicon.lookup("kretzfink") == ("kretz*", 0) and lexicon.lookup("kretzwarg")[1] == 0
+    assert lexicon.lookup("krezwarg") == ("kretzwarg", 1) and lexicon.lookup("kretwbold") == ("kretzbold", 1)
+
+
 def test_quotation_weakens_and_address_strengthens():
     lexicon = m.FuzzyLexicon({"idiot": 4.0}, {})
     weight = lambda t: sum(h[3] for h in m.hits(t, lexicon))

@@ -299,7 +299,7 @@ def _terms(text: str) -> set[str]:
 
 
 def _pruned(rows: list) -> tuple[dict[str, float], dict[str, float]]:
-    """The words and stems worth keeping: a stem only if no single longer term does its work."""
+    """All words, for stems match without edits only; and the stems worth keeping: one only if no single longer term does its work."""
     odds = {r.term: r.odds for r in rows}
     toxic = {r.term: r.toxic for r in rows}
     below: dict[str, list[str]] = {}
@@ -314,8 +314,7 @@ def _pruned(rows: list) -> tuple[dict[str, float], dict[str, float]]:
         enough = any(toxic[u] >= 0.95 * toxic[t] or (toxic[u] >= 0.5 * toxic[t] and odds[u] > odds[t] + 0.5) for u in below.get(t, ()))
         if not covered and not enough:
             stems[t[:-1]] = odds[t]
-    words = {t: odds[t] for t in toxic if not t.endswith("*") and not any(t[:k] in stems for k in STEM_CHARS)}
-    return words, stems
+    return {t: odds[t] for t in toxic if not t.endswith("*")}, stems
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> tuple[float, ...]:
