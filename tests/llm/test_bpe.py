@@ -35,6 +35,7 @@ def test_awkward_rows(spark):
 def test_many_blocks(spark):
     rows = [(i, " ".join(words(i * 13 % 300, i % 7))) for i in range(200)]
     assert got(spark, rows, block_chars=3000) == want(rows)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("bpe_")]  # nothing stays in the catalogue
 
 
 @settings(max_examples=300, deadline=None)

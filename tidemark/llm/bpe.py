@@ -5,13 +5,16 @@ r"""Byte-level BPE by a global distinct-word shuffle.
    positions as numbers into that list, so a word's occurrences cost a number each.
    Blocks are written bucketed by their number and do not move again.
 2. The words of all blocks are shuffled by a hash of the word.  Equal words meet in
-   one bucket and are encoded there once.
-3. The ids are joined back to the blocks (only they are shuffled) and every document
-   is put together by position.
-4. Decoding joins each id with the token-byte table (as long as the vocabulary, so
-   of fixed size) and joins the bytes by position.
+   one bucket and are encoded there once; a bucket's distinct words are remembered, so
+   a table with more of them wants more shuffle partitions (four buckets each).
+3. The ids are joined back to the blocks (only they are shuffled), one block at a time,
+   and every document is put together by position.
+4. Decoding joins each id with the token-byte table and the bytes by position.  That
+   table is as long as the vocabulary, so this is a broadcast join on an index: every
+   task holds the table as an array and looks ids up in it, without a row per token.
 
-The blocks are a written table, so retries see the same numbering.
+The blocks are written files, so retries see the same numbering; the catalogue entry
+that lets Spark know their buckets is dropped as soon as they are planned.
 
 Defined cases: a null text is empty and has no ids; a text longer than a block is a
 block of its own; repeated rows are encoded each; null doc_ids are kept.
@@ -32,10 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, table, text_or_empty
 
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 4_000_000
 #: Buckets of words, per shuffle partition.
 BUCKETS_PER_PARTITION = 4
-REMEMBERED = 500_000
+#: Documents in one batch of assembled ids.
+BATCH = 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -154,7 +158,9 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int = BLOCK
     name = f"bpe_blocks_{uuid.uuid4().hex}"
     writer = rows.write.format("parquet").option("path", scratch_path(spark, "bpe-blocks")).option("compression", "uncompressed")
     writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
-    return spark.table(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay, and the plan knows them
+    return stored
 
 
 # -- words to ids -------------------------------------------------------------------------------
@@ -171,12 +177,12 @@ def encoded_words(lists: DataFrame, path: str, pattern: str) -> DataFrame:
         known: dict[str, list[int]] = {}
         now = None
         for batch in batches:
-            for bucket, block, first, sizes, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                words = _unpack_words(sizes, blob)
-                if bucket != now or len(known) > REMEMBERED:
+            for i in range(batch.num_rows):
+                bucket, block, first, sizes, blob = (c[i].as_py() for c in batch.columns)
+                if bucket != now:
                     known, now = {}, bucket
                 found = []
-                for w in words:
+                for w in _unpack_words(sizes, blob):
                     ids = known.get(w)
                     if ids is None:
                         ids = known[w] = encoding.encode_ordinary(w)
@@ -206,27 +212,29 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
     stored = blocks(docs, pattern, buckets, block_chars)
     lists = stored.select("block", F.explode("lists").alias("x")).select("x.bucket", "block", "x.first", "x.sizes", "x.words")
     back = encoded_words(lists, path, pattern)
-    by_block = back.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("first", "counts", "ids"))).alias("parts"))  # its own words
-    joined = stored.select("block", "doc_ids", "lengths", "codes").join(by_block, "block", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc_ids, lengths, codes, parts = (batch.column(c)[i].as_py() for c in range(4))
-                counts, ids = ([_unpack(p[k]) for p in parts or ()] for k in ("counts", "ids"))
-                n = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
-                flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-                starts, codes, at, out = np.cumsum(n) - n, _unpack(codes), 0, []
-                for length in _unpack(lengths).tolist():
-                    own = codes[at : at + length]
-                    at += length
-                    out.append(gathered(flat, starts[own], n[own]).astype("<u4").tobytes())
-                for k in range(0, len(out), 500):
-                    part = [doc_ids[k : k + 500], out[k : k + 500]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, schema)], schema=schema)
-
-    return joined.select("doc_ids", "lengths", "codes", "parts").mapInArrow(run, "doc_id long, ids binary")
+    def assembled(block: pa.Table, parts: pa.Table) -> pa.Table:
+        """The documents of one block, from the parts that hold its words' ids."""
+        parts = parts.sort_by("first")
+        counts, ids = ([_unpack(p.as_py()) for p in parts.column(k)] for k in ("counts", "ids"))
+        n = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
+        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        starts, batches = np.cumsum(n) - n, []
+        for i in range(block.num_rows):  # one
+            doc_ids, lengths, codes = (block.column(k)[i].as_py() for k in ("doc_ids", "lengths", "codes"))
+            codes, at, out = _unpack(codes), 0, []
+            for length in _unpack(lengths).tolist():
+                own = codes[at : at + length]
+                at += length
+                out.append(gathered(flat, starts[own], n[own]).astype("<u4").tobytes())
+            for k in range(0, len(out), BATCH):
+                part = [doc_ids[k : k + BATCH], out[k : k + BATCH]]
+                batches.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, schema)], schema=schema))
+        return pa.Table.from_batches(batches, schema)
+
+    kept = stored.select("block", "doc_ids", "lengths", "codes").groupBy("block")
+    return kept.cogroup(back.groupBy("block")).applyInArrow(assembled, "doc_id long, ids binary")
 
 
 # -- ids to text -----------------------------------------------------------------------------
