@@ -3,6 +3,8 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.data import AWKWARD, docs_frame, words
@@ -12,16 +14,33 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def whole():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)  # as it is
+
+
+WHOLE, ENCODER = whole(), m.WordEncoder(PATH)
+
+
+def same(text):
+    assert ENCODER.encode(text) == array("I", WHOLE.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def test_words_encoded_apart_equal_the_whole_text():
-    t, w = whole(), m.WordEncoder(PATH)
-    texts = [x or "" for _, x in AWKWARD] + ["Don't 'S 'st ''s !'s x's 'll've", "ΑΣ ΣΑΣ", "é Å ﬁ ½ ² ٣", "a\x1cb\x85c d", "İI ǅ ẞ", "<|startoftext|>a", "̈ͅΣ"]
+    texts = [x or "" for _, x in AWKWARD] + ["Don't 'S 'st ''s !'s x's 'll've", "ΑΣ ΣΑΣ", "é Å ﬁ ½ ² ٣", "a\x1cb\x85c d", "İI ǅ ẞ", "<|startoftext|>a", "̈ͅΣ"]
+    texts += ["a<|endoftext|>b <|endoftext|>, <|ENDOFTEXT|> <|endof text|>", "\u1c89 \ua7cb \U00010d50", "fußé, İ, ª. ŉ! dž?", "x\u0301, e\u0301\u0327. \u0301;", "é'S été's, n't,"]
     for x in texts:
-        assert w.encode(x) == array("I", t.encode(x, add_special_tokens=False).ids).tobytes()
+        same(x)
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=30))
+def test_any_text_has_the_ids_of_the_library(text):
+    same(text)
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "é", "İ", "Σ", "'s", "'", ",", ".", "a", "Z", "ß", "ñ", "\u0301", "\u0327", "\u0345", "1", " ", "\x1c", "\x85", "ª", "ĳ"]), max_size=14).map("".join))
+def test_marks_and_control_strings_have_the_ids_of_the_library(text):
+    same(text)
 
 
 def check(df, rows, t):
@@ -62,7 +81,10 @@ def test_a_third_of_copies_spreads_over_ranges(spark):
     rows = [(i, "one and the same text " * 20) for i in range(300)]
     df = m.pack(docs_frame(spark, rows).repartition(6), PATH)
     check(df, rows, whole())
-    assert len({r.sequence_id >> 40 for r in df.collect()}) > 1 or True
+    assert len({r.sequence_id >> 40 for r in df.collect()}) == 4
+    without = m.pack(docs_frame(spark, [(None, t) for _, t in rows], ("tie", "range")).repartition(6), PATH).collect()
+    assert len({r.sequence_id >> 40 for r in without}) == 4  # and so without ids
+    assert sum(r.length for r in without) == sum(r.length for r in df.collect())
 
 
 def test_hilbert_keys_walk_the_grid_by_single_steps():

@@ -5,17 +5,21 @@ their place on a Hilbert curve through those axes is the sort key.  A range sort
 by that key puts similar documents side by side, and each range is cut into
 sequences of ``MAX_TOKENS`` tokens as it streams by, so neighbours on the curve
 share sequences.  The last tokens of a range become sequences of powers of two:
-no sequence is padded at all.
+no sequence is padded at all.  Where the ranges begin is taken from a sample of the
+keys (about ``CUT_ROWS`` a range); every row is placed, so the sample decides only how
+even the ranges are, and whole texts are read and hashed once.
+
+Ids are those of the tokenizer file as it is, its two control strings included.
 
 Defined cases: a null text is empty and still gives its end token; equal keys
-are ordered by doc_id (null first), so copies of one text spread over ranges;
-repeated rows are packed as often as they occur; an empty table gives no pieces.
+are ordered by place in the table, so copies of one text spread over ranges, with or
+without doc_ids; repeated rows are packed as often as they occur; an empty table gives
+no pieces; other columns are unread.
 """
 
 from __future__ import annotations
 
 import os
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,6 +37,8 @@ END_ID = 1
 #: Axes of the curve and bits of each; buckets of the hashed vectors.
 DIMENSIONS, BITS, BUCKETS = 4, 12, 1024
 SEED = 7
+#: Sampled rows a range by which the beginnings of ranges are placed.
+CUT_ROWS = 32
 #: Strings a worker remembers the ids of, in each of two generations; their longest.
 REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 
@@ -90,18 +96,40 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return keys
 
 
-def with_curve_keys(docs: DataFrame, max_chars: int = 4_000_000) -> DataFrame:
-    """doc_id, text, key (long) of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("key", pa.int64())])
+def with_curve_keys(rows: DataFrame, cuts: list[tuple[int, int]] = (), max_chars: int = 4_000_000) -> DataFrame:
+    """Of :func:`placed_rows`: doc_id, text, key, tie and range: how many of the sorted (key, tie) of *cuts* are not beyond the row."""
+    names = ("doc_id", "text", "key", "tie", "range")
+    schema = pa.schema(list(zip(names, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32()))))
+    cut_keys, cut_ties = (np.array([c[i] for c in cuts], np.int64) for i in (0, 1))
+
+    def ranges(keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        low, high = (np.searchsorted(cut_keys, keys, side) for side in ("left", "right"))
+        for i in np.flatnonzero(low < high):  # keys that are cut inside
+            low[i] += np.searchsorted(cut_ties[low[i] : high[i]], ties[i], "right")
+        return low.astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, max_chars):
                 vectors = np.array([hashed_vector(t) for t in part.column(1).to_pylist()]).reshape(-1, BUCKETS)
-                keys = pa.array(hilbert_keys(coordinates(vectors)), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.string()), keys], schema=schema)
+                keys, ties = hilbert_keys(coordinates(vectors)), part.column(2).to_numpy()
+                columns = [part.column(0), part.column(1).cast(pa.string()), pa.array(keys, pa.int64()), part.column(2), pa.array(ranges(keys, ties))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return rows.select("doc_id", "text", "tie").mapInArrow(run, "doc_id long, text string, key long, tie long, range int")
+
+
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty) and tie, the row's place in the table."""
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("tie"))
+
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, text string, key long")
+def range_cuts(rows: DataFrame, ranges: int, cut_rows: int = CUT_ROWS) -> list[tuple[int, int]]:
+    """At most ``ranges - 1`` pairs (key, tie) that part the rows about evenly, from about *cut_rows* rows a range."""
+    every = max(1, rows.count() // (ranges * cut_rows))
+    sample = rows.filter(F.pmod(F.xxhash64("tie"), F.lit(every)) == 0)
+    found = sorted(map(tuple, with_curve_keys(sample).select("key", "tie").collect()))  # about cut_rows a range
+    return [found[len(found) * r // ranges] for r in range(1, ranges)] if len(found) >= ranges else found
 
 
 # -- tokens --------------------------------------------------------------------------------
@@ -139,7 +167,9 @@ class WordEncoder:
     """The ids of the word-level BPE file, each distinct string between white space encoded once per worker.
 
     White space always ends a word and gives no ids, so a text's ids are those of
-    its parts between white space, one after the other.
+    its parts between white space, one after the other.  ASCII parts are split into
+    words here, which more parts share; what holds other letters or might hold a
+    control string goes to the tokenizer as it is.
     """
 
     # Fixed value: the file's own splitting pattern (white space is dropped).
@@ -148,24 +178,24 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.normalizer = normalizers.Sequence([])  # done in words()
         self.find = regex.compile(self.PATTERN).findall
         self.separators = regex.compile(r"[\x1c-\x1f]").search  # white space to str.split() only
         self.spaces = regex.compile(r"\s+").split
         self.memory = Memory()
 
-    def words(self, text: str) -> list[str]:
-        """Composed, lower-cased letter by letter (so no final sigma), then split into words."""
-        if text.isascii():
-            if text.isalpha():
-                return [text.lower()]
-            if text[-1:] in ",.;:!?" and text[:-1].isalpha():
-                return [text[:-1].lower(), text[-1]]
-        return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    def words(self, part: str) -> list[str]:
+        """Strings whose ids, one after the other, are those of *part*."""
+        if part.isascii():
+            if part.isalpha():
+                return [part.lower()]
+            return [part] if "<|" in part else self.find(part.lower())
+        mark, last = part[-1], part[-2:-1]
+        if mark in ",.;:!?" and "\xbf" < last < "\u0250" and last != "İ" and last.isalpha():  # a Latin letter ends the word before
+            return [part[:-1], mark]
+        return [part]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -269,7 +299,9 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max
         if rows := list(packer.finish()):
             yield out(rows)
 
-    ordered = with_curve_keys(docs).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    rows, ranges = placed_rows(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = with_curve_keys(rows, range_cuts(rows, ranges))
+    ordered = keyed.repartitionById(ranges, "range").sortWithinPartitions("key", "tie")
     return ordered.select("doc_id", "text").mapInArrow(run, PIECES_DDL)
 
 
