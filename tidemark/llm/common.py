@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where ``spark.checkpoint.dir`` is unset (tests on one machine).
+#: Where ``spark.checkpoint.dir`` is unset, on one machine (as in tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tidemark"
+#: A key is hot with over 1/HOT_SHARE of the rows: fewer than HOT_SHARE keys.
+HOT_SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the session has none."""
+    """The folder all executors share; set here only where the session has none and runs on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset: on {master} it has to name a folder that all executors share")
         found = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -59,21 +65,18 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def most_frequent(counts: DataFrame, n: str, key: str, limit: int) -> DataFrame:
-    """The *limit* rows of the largest ``n``, ties by *key*, without every task sending its own *limit* rows.
+def skew_join(rows: DataFrame, lookup: DataFrame, key: str, hot_share: int = HOT_SHARE) -> DataFrame:
+    """Inner join of *rows* with *lookup* (one row a key), whatever a key's share of *rows*.
 
-    A histogram of ``n`` by eighths of powers of two (some hundred rows) tells which
-    rows can be among them; only those are sorted.
+    Keys with over one in *hot_share* of the rows, fewer than *hot_share* at any size,
+    meet their rows by broadcast; all others by a shuffle.
     """
-    stored = materialize(counts, "counts")
-    bucket = F.floor(F.log2(n) * 8).cast("int")
-    held, least = 0, None
-    for row in sorted(stored.groupBy(bucket.alias("bucket")).count().collect(), reverse=True):
-        held, least = held + row["count"], row["bucket"]
-        if held >= limit:
-            break
-    rows = stored if least is None else stored.filter(bucket >= least)
-    return rows.orderBy(F.desc(n), key).limit(limit)
+    total = rows.count()
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(counts.filter(F.col("n") * hot_share > total).select(key), "hot-keys")
+    near = F.broadcast(lookup.join(F.broadcast(hot), key, "left_semi"))
+    far = rows.join(F.broadcast(hot), key, "left_anti").join(lookup.hint("merge"), key)
+    return rows.join(near, key).unionByName(far)
 
 
 def map_rows(
