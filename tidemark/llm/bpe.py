@@ -36,8 +36,6 @@ from pyspark.sql import functions as F
 from .common import scratch_path, table, text_or_empty
 
 BLOCK_CHARS = 4_000_000
-#: Buckets of words, per shuffle partition.
-BUCKETS_PER_PARTITION = 4
 #: Documents in one batch of assembled ids.
 BATCH = 500
 
@@ -166,7 +164,7 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int = BLOCK
 # -- words to ids -------------------------------------------------------------------------------
 
 
-def encoded_words(lists: DataFrame, path: str, pattern: str) -> DataFrame:
+def encoded_words(lists: DataFrame, path: str, pattern: str, buckets: int) -> DataFrame:
     """lists: bucket, block, first, sizes, words; returns block, first, counts and ids of those words, each distinct word encoded once."""
     schema = pa.schema([("block", pa.int64()), ("first", pa.int64()), ("counts", pa.binary()), ("ids", pa.binary())])
 
@@ -175,12 +173,9 @@ def encoded_words(lists: DataFrame, path: str, pattern: str) -> DataFrame:
 
         encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
         known: dict[str, list[int]] = {}
-        now = None
         for batch in batches:
             for i in range(batch.num_rows):
-                bucket, block, first, sizes, blob = (c[i].as_py() for c in batch.columns)
-                if bucket != now:
-                    known, now = {}, bucket
+                block, first, sizes, blob = (c[i].as_py() for c in batch.columns)
                 found = []
                 for w in _unpack_words(sizes, blob):
                     ids = known.get(w)
@@ -192,8 +187,8 @@ def encoded_words(lists: DataFrame, path: str, pattern: str) -> DataFrame:
                 row = [[block], [first], [_pack(counts)], [_pack(flat)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema)], schema=schema)
 
-    dealt = lists.select("bucket", "block", "first", "sizes", "words").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "block long, first long, counts binary, ids binary")
+    dealt = lists.select("block", "first", "sizes", "words", "bucket").repartitionById(buckets, "bucket")
+    return dealt.drop("bucket").mapInArrow(run, "block long, first long, counts binary, ids binary")
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -208,10 +203,10 @@ def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.n
 def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) of every whole text."""
     spark = docs.sparkSession
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored = blocks(docs, pattern, buckets, block_chars)
     lists = stored.select("block", F.explode("lists").alias("x")).select("x.bucket", "block", "x.first", "x.sizes", "x.words")
-    back = encoded_words(lists, path, pattern)
+    back = encoded_words(lists, path, pattern, buckets)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def assembled(block: pa.Table, parts: pa.Table) -> pa.Table:
