@@ -167,7 +167,7 @@ class WordEncoder:
     """The ids of the word-level BPE file, each distinct string between white space encoded once per worker.
 
     White space always ends a word and gives no ids, so a text's ids are those of
-    its parts between white space, one after the other.  ASCII parts are split into
+    its parts between white space, one after the other.  Latin parts are split into
     words here, which more parts share; what holds other letters or might hold a
     control string goes to the tokenizer as it is.
     """
@@ -188,14 +188,9 @@ class WordEncoder:
 
     def words(self, part: str) -> list[str]:
         """Strings whose ids, one after the other, are those of *part*."""
-        if part.isascii():
-            if part.isalpha():
-                return [part.lower()]
-            return [part] if "<|" in part else self.find(part.lower())
-        mark, last = part[-1], part[-2:-1]
-        if mark in ",.;:!?" and "\xbf" < last < "\u0250" and last != "İ" and last.isalpha():  # a Latin letter ends the word before
-            return [part[:-1], mark]
-        return [part]
+        if "<|" in part or max(part, default="") >= "\u0250" or "İ" in part:
+            return [part]
+        return self.find(part.lower())  # composed Latin letters, which lower-case one by one
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
