@@ -46,10 +46,13 @@ CUT = "cut gzip member"
 
 
 def with_record_types(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html, record_type, refers_to."""
+    """page_id, url, html, record_type, refers_to.
+
+    Payloads are told apart by SHA-256 and size: of SHA-1, which records carry, collisions are public.
+    """
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select(
-        "page_id", "url", html.alias("html"), F.unhex(F.sha1(html)).alias("digest"), F.octet_length(html).alias("size")
+        "page_id", "url", html.alias("html"), F.unhex(F.sha2(html, 256)).alias("digest"), F.octet_length(html).alias("size")
     )
     shared = (
         keyed.filter(F.col("size") >= min_revisit)
