@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import AWKWARD, docs_frame, words
 from tidemark.llm import ngram_join as m
@@ -98,10 +100,53 @@ def test_bands_reach_the_recall():
     for _ in range(200):
         base = rng.integers(0, 2**63, 450, dtype=np.uint64)
         x, y = np.unique(base[:405]), np.unique(base[45:])  # 360 of 450: exactly 0.8
-        met += bool(set(banding.hashes(x)) & set(banding.hashes(y)))
+        (bands_x, sketch_x), (bands_y, sketch_y) = banding.hashes(x), banding.hashes(y)
+        met += bool(set(bands_x) & set(bands_y))
+        equal = np.unpackbits(np.frombuffer(sketch_x, np.uint8) ^ np.frombuffer(sketch_y, np.uint8), count=b * r)
+        assert 1 - equal.mean() >= m.least_estimate(0.8, b * r)
     assert met >= 198
 
 
+@pytest.mark.parametrize("threshold", [0.9, 0.5, 0.1, 0.018, 0.005])
+def test_any_threshold_reaches_the_recall(threshold):
+    b, r = m.choose_bands(threshold)
+    assert 1 - (1 - threshold**r) ** b >= 0.9995
+
+
+@pytest.mark.parametrize("threshold, recall", [(0, 0.9), (-1, 0.9), (1.1, 0.9), (0.8, 1), (0.8, 0)])
+def test_impossible_targets_are_refused(threshold, recall):
+    with pytest.raises(ValueError):
+        m.choose_bands(threshold, recall)
+
+
+def test_near_copies_without_ids(spark):
+    rng, base = random.Random(4), words(120, 5)
+    rows = [(None, edited(base, k % 3, rng)) for k in range(60)] * 2 + [(5, " ".join(base))]
+    found = m.near_duplicates(docs_frame(spark, rows)).collect()
+    want = brute(list(enumerate(t for _, t in rows)))
+    assert sorted((r.class_size, r.n_links) for r in found) == sorted((s, n) for _, s, n in want.values())
+    assert {r.class_id for r in found if r.class_size > 1} == {5}
+
+
+def test_looser_likeness_does_not_chain_candidates(spark):
+    """A long chain of texts, each like the next one by half only, stays in small pieces."""
+    vocabulary = [f"w{k}" for k in range(4000)]
+    rows = [(i, " ".join(vocabulary[10 * i : 10 * i + 34])) for i in range(300)]
+    b, r = m.choose_bands()
+    signed = m.signatures(docs_frame(spark, rows), b, r).withColumn("rep", F.col("doc_id"))
+    buckets = signed.select("rep", "sketch", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    loose = buckets.join(shared, "bucket")
+    met = m.met(m.dealt_over_cells(loose, "n", 8), m.least_estimate(0.8, b * r), b * r).collect()
+    assert loose.count() > 60 and len(met) < 5
+
+
+def test_recall_and_precision_on_a_data_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    assert got(m.near_duplicates(df)) == brute(rows)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (300, 301), (301, 300)]
     df = spark.createDataFrame(edges, "a long, b long")

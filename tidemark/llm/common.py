@@ -65,18 +65,18 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def skew_join(rows: DataFrame, lookup: DataFrame, key: str, hot_share: int = HOT_SHARE) -> DataFrame:
-    """Inner join of *rows* with *lookup* (one row a key), whatever a key's share of *rows*.
+def skew_join(rows: DataFrame, lookup: DataFrame, *keys: str, hot_share: int = HOT_SHARE) -> DataFrame:
+    """Inner join of *rows* with *lookup* (one row a key) on *keys*, whatever a key's share of *rows*.
 
     Keys with over one in *hot_share* of the rows, fewer than *hot_share* at any size,
     meet their rows by broadcast; all others by a shuffle.
     """
-    total = rows.count()
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot = materialize(counts.filter(F.col("n") * hot_share > total).select(key), "hot-keys")
-    near = F.broadcast(lookup.join(F.broadcast(hot), key, "left_semi"))
-    far = rows.join(F.broadcast(hot), key, "left_anti").join(lookup.hint("merge"), key)
-    return rows.join(near, key).unionByName(far)
+    on, total = list(keys), rows.count()
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(counts.filter(F.col("n") * hot_share > total).select(*on), "hot-keys")
+    near = F.broadcast(lookup.join(F.broadcast(hot), on, "left_semi"))
+    far = rows.join(F.broadcast(hot), on, "left_anti").join(lookup.hint("merge"), on)
+    return rows.join(near, on).unionByName(far)
 
 
 def map_rows(
