@@ -1,5 +1,11 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
 
 from tests.llm.data import AWKWARD, docs_frame
 from tidemark.llm import toxicity as m
@@ -56,6 +62,32 @@ def test_quotation_weakens_and_address_strengthens():
     assert weight("he said idiot once") < 1
 
 
+def test_marks_have_to_be_paired():
+    lexicon = m.FuzzyLexicon({"idiot": 4.0}, {})
+    weight = lambda t: sum(h[3] for h in m.hits(t, lexicon))
+    assert weight('"hello" he idiot "bye"') == weight('so "what idiot . !') == weight("an idiot") == 4
+    assert weight("an ' idiot thing") == weight("‹ idiot «") == weight("» idiot") == 4
+    for t in ('a "stupid idiot", so', "«vrai idiot»", "„so ein idiot“", "“idiot.”", '" idiot "', "›idiot‹", "'an idiot today'", '("idiot")'):
+        assert weight(t) == m.QUOTED * 4, t
+    far = '"' + "other " * m.QUOTE_WORDS + 'idiot"'
+    assert weight(far) == 4
+    assert weight("x" + '"' * 30_000 + " idiot") == 4
+
+
+def test_only_words_within_reach_are_read_and_no_hit_is_lost():
+    rng = random.Random(2)
+    terms = ["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 30))) for _ in range(60)]
+    lexicon = m.FuzzyLexicon({t: 1.0 for t in terms}, {})
+    for t in terms * 10:
+        w = list(t)
+        for _ in range(rng.randrange(5)):
+            at, op = rng.randrange(len(w) + 1), rng.randrange(3)
+            w[at : at + (op > 0)] = [rng.choice("abcde")] if op < 2 else []
+        w = "".join(w)
+        assert (lexicon.lookup(w) is not None) == any(distance(w, t) <= m.edits_allowed(t) for t in terms)
+    assert len(list(lexicon.near({"e" * n for n in range(1, 24)} | {"wxyz" * n for n in range(1, 6)}))) <= len(lexicon.long_sizes)
+
+
 def test_terms_of_a_rare_language_count_however_many_toxic_documents_there_are(spark):
     rows = [("raro", 0, 12, 0, 0), ("often", 10, 300, 0, 0), ("chance", 40, 3, 0, 0)]
     counts = spark.createDataFrame(rows, "term string, n0 long, n1 long, n2 long, n3 long")
@@ -103,9 +135,54 @@ def test_no_labels_and_empty_tables(spark):
     assert len(got) == len(AWKWARD) and {r.predicted for r in got} == {0}
 
 
-def test_query_on_held_out_rows(spark):
+def test_terms_and_weights_equal_a_plain_version(spark):
+    """Term counts and the chance test by loops over the sample; the logistic weights by their gradient."""
     sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    sample = m.labelled_sample(docs, labels)
+    rows = [(r.text, r.toxic) for r in sample.collect()]
+    texts, truth = {r.doc_id: r.text or "" for r in docs.collect()}, {}
+    for r in labels.collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.toxic is not None:
+            truth[texts[r.doc_id]] = max(truth.get(texts[r.doc_id], 0), r.toxic)
+    assert dict(rows) == truth
+    sizes = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
+    counts = (Counter(), Counter())
+    for text, y in rows:
+        found = {re.sub(r"^[\W_]+|[\W_]+$", "", t) for t in text.lower().split()}
+        found = {w for w in found if len(w) >= min(m.STEM_CHARS)}
+        counts[y].update(found | {w[:n] + "*" for w in found for n in m.STEM_CHARS if len(w) > n})
+    tested = [t for t in counts[1] if counts[1][t] >= m.MIN_TOXIC]
+    want = set()
+    for t in tested:
+        c, x = counts[0][t], counts[1][t]
+        share, base = x / (c + x), sizes[1] / sum(sizes)
+        evidence = x * math.log(share / base) + (c * math.log((1 - share) / (1 - base)) if c else 0)
+        odds = math.log((x + 0.5) / (sizes[1] + 1)) - math.log((c + 0.5) / (sizes[0] + 1))
+        if odds >= m.MIN_ODDS and evidence >= math.log(len(tested) / m.FALSE_TERMS):
+            want.add(t)
+    of_part = [sample.filter(f"part = {p} and toxic = {y}").count() for p in (0, 1) for y in (0, 1)]
+    assert want and {r.term for r in m._telling(m._counted(sample, m._terms), of_part, (0, 1))} == want
+
+
+def test_logistic_weights_are_where_the_gradient_vanishes():
+    rng = np.random.default_rng(0)
+    x = rng.exponential(1, (400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [1.5, 0.7, 0.4] - 2)))).astype(float)
+    w = np.array(m._logistic(x, y))
+    a = np.hstack([np.ones((400, 1)), x])
+    assert (w[1:] > 0).all() and np.abs(a.T @ (1 / (1 + np.exp(-a @ w)) - y) + 0.05 * w).max() < 1e-6
+
+
+@pytest.mark.parametrize("sf, recall", [("sf0.01", 0.6), ("sf0.1", 0.9)])
+def test_query_on_held_out_rows(spark, sf, recall):
+    sf = f"/root/testdata/{sf}"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
     rows = [r for r in m.op4_toxicity(spark, sf).collect() if r.held_out and r.doc_id in truth]
-    right = sum(r.predicted == truth[r.doc_id] for r in rows)
-    assert len(rows) > 40 and right / len(rows) >= 0.95
+    toxic, said = [r for r in rows if truth[r.doc_id]], [r for r in rows if r.predicted]
+    hit = [r for r in toxic if r.predicted]
+    assert len(hit) / len(toxic) >= recall and len(hit) / len(said) >= 0.9
+    for each in {lang[r.doc_id] for r in toxic}:
+        own = [r for r in toxic if lang[r.doc_id] == each]
+        assert len(own) < 5 or sum(r.predicted for r in own) / len(own) >= 0.7, each

@@ -5,14 +5,16 @@ training folds hold far more often where they are toxic, and more clearly so tha
 the best of as many terms would by chance.  *Matching.* The
 Levenshtein automata of all terms, intersected with the trie of the lexicon and
 made deterministic as texts ask for it, read a word once and give the term within
-the allowed distance.  Words of clean training documents that happen to lie that
-near to a term are exceptions.  *Context.* In a window around a hit, quotation
-marks and words of reporting weaken it, and words of address strengthen it.
+the allowed distance.  They read only words that share a spelling with deletions with
+some term, which every word within the distance does.  Words of clean training
+documents that happen to lie that near to a term are exceptions.  *Context.* A hit
+between paired quotation marks, or beside words of reporting, is weakened, one beside
+words of address strengthened.
 *Score.* A logistic model over a few sums of hits.
 
 All of it is fitted on a bounded sample of labelled rows, ``SAMPLE`` documents
-chosen by a hash of doc_id; the model is bounded by ``MAX_TERMS`` and
-``MAX_EXCEPTIONS``.  Every document is scored, as a whole.  Only ``text`` enters a
+chosen by a hash of doc_id, and that bounds the lexicon and its exceptions: they are
+words of the sample.  Every document is scored, as a whole.  Only ``text`` enters a
 score.
 
 Defined cases: a null text is empty; texts without hits share one low score; a
@@ -26,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,11 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, table, text_or_empty
+from .common import map_rows, materialize, slices, table, text_or_empty
 
 #: Bound of the labelled sample the model is fitted on (documents).
 SAMPLE = 20_000
-MAX_TERMS, MAX_EXCEPTIONS = 2_000, 20_000
 #: A term needs so many toxic documents and so large log odds; no share of them, or rare languages would have no terms.
 MIN_TOXIC, MIN_ODDS = 3, 2.5
 #: The chance that any term at all gets into the lexicon without cause.
@@ -46,12 +47,17 @@ FALSE_TERMS = 0.05
 STEM_CHARS = (4, 5, 6)
 WINDOW = 6
 QUOTED, ADDRESSED = 0.15, 1.3
-REMEMBERED, MAX_STATES = 200_000, 20_000
+#: A quotation has so many words at most; a longer stretch between two marks is none.
+QUOTE_WORDS = 40
+#: Longest term whose spellings with deletions are listed.
+LISTED = 24
+#: Bounds of what a worker remembers; beyond them it starts anew.
+REMEMBERED, MAX_STATES = 300_000, 100_000
 
 # Words and marks of context, in the languages of the table.
 REPORTING = frozenset("said says wrote called calls quote quoted quotes reported term word insult slur sagte schrieb nannte zitat dit écrit appelé citation dijo escribió llamó cita".split())
 ADDRESS = frozenset("you your youre u ur du dich dein ihr euch tu te toi vous ton votre tú ti usted vosotros".split())
-OPENING, CLOSING = "\"'“„«‹‘(", "\"'”“»›’)"
+CLOSING = {'"': '"', "'": "'’", "“": "”", "„": "“”", "‘": "’", "‚": "‘’", "«": "»", "»": "«", "‹": "›", "›": "‹"}
 MARKS = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -63,6 +69,50 @@ def edits_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
 
+BASE = 0x9E3779B97F4A7C15
+_POWERS = np.array([pow(BASE, i, 1 << 64) for i in range(64)], np.uint64)
+TABLE_BITS = 22
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    """A row of 64-bit codes for each of *words*, which are of one length."""
+    codes = np.array(words, f"<U{len(words[0])}").view("<u4").reshape(len(words), -1).astype(np.uint64)
+    return (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def spelling_hashes(words: list[str], most: int) -> Iterator[np.ndarray]:
+    """Polynomial hashes of *words*, which are of one length, with up to *most* (at most two) letters left out: an array for each way."""
+    letters = np.ascontiguousarray(_letters(words).T)
+    n, base = len(letters), np.uint64(BASE)
+    before = [np.zeros(len(words), np.uint64)]  # of the first i letters
+    for c in letters:
+        before.append(before[-1] * base + c)
+    after = [before[n] - before[j] * _POWERS[n - j] for j in range(n + 1)]  # of the letters from j on
+    yield before[n]
+    for i in range(n if most else 0):
+        yield before[i] * _POWERS[n - 1 - i] + after[i + 1]
+        if most > 1:
+            here = before[i]
+            for j in range(i + 1, n):
+                yield here * _POWERS[n - 1 - j] + after[j + 1]
+                here = here * base + letters[j]
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    mixed = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(BASE)
+    return mixed >> np.uint64(64 - TABLE_BITS)
+
+
+def by_length(words: Iterable[str], most: int = 50_000) -> Iterator[list[str]]:
+    """Groups of words of one length."""
+    groups: dict[int, list[str]] = {}
+    for w in words:
+        groups.setdefault(len(w), []).append(w)
+    for group in groups.values():
+        for at in range(0, len(group), most):
+            yield group[at : at + most]
+
+
 class FuzzyLexicon:
     """The trie of the terms, read through Levenshtein automata; states are made when first reached.
 
@@ -75,8 +125,7 @@ class FuzzyLexicon:
         self.exceptions = exceptions
         self.children: list[dict[str, int]] = [{}]
         self.word: list[str | None] = [None]
-        self.stem: list[str | None] = [None]
-        for term, ends, name in [(w, self.word, w) for w in words] + [(s, self.stem, s + "*") for s in stems]:
+        for term in words:
             node = 0
             for c in term:
                 nxt = self.children[node].get(c)
@@ -84,23 +133,70 @@ class FuzzyLexicon:
                     nxt = self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.word.append(None)
-                    self.stem.append(None)
                 node = nxt
-            ends[node] = name
+            self.word[node] = term
         self.letters = {c for kids in self.children for c in kids}
         self.reach = [0] * len(self.children)  # most edits of any term below
         for node in range(len(self.children) - 1, -1, -1):  # children come after their parents
             own = edits_allowed(self.word[node]) if self.word[node] else 0
             self.reach[node] = max([own, *(self.reach[k] for k in self.children[node].values())])
+        self.stem_chars = sorted({len(s) for s in stems}, reverse=True)
+        # which slots the spellings with deletions of the terms fall into, for each number of edits; and what lengths to read
+        self.slots = [np.zeros(1 << TABLE_BITS, bool) if any(edits_allowed(w) == k for w in words) else None for k in range(3)]
+        self.sizes: list[set[int]] = [set(), set(), set()]
+        self.long_sizes: set[int] = set()
+        for group in by_length(words):
+            n = len(group[0])
+            k = edits_allowed(group[0])
+            if k and n <= LISTED:
+                for hashes in spelling_hashes(group, k):
+                    self.slots[k][_slots(hashes)] = True
+                self.sizes[k].update(range(n - k, n + k + 1))
+            elif k:
+                self.long_sizes.update(range(n - k, n + k + 1))
+        self.found: dict[str, tuple[str, int] | None] = {}
         self._reset()
 
+    def near(self, words: Iterable[str]) -> Iterator[str]:
+        """Those of *words* that a term may be within its distance of; no other word is.
+
+        Two words within k edits have a spelling with at most k letters left out in common.
+        """
+        for group in by_length(words):
+            n = len(group[0])
+            if n in self.long_sizes:
+                yield from group
+                continue
+            hit = np.zeros(len(group), bool)
+            for k in (1, 2):
+                if n in self.sizes[k]:
+                    for hashes in spelling_hashes(group, k):
+                        hit |= self.slots[k][_slots(hashes)]
+            yield from (group[i] for i in np.flatnonzero(hit))
+
+    def learn(self, tokens: Iterable[str]) -> dict[str, tuple[str, int] | None]:
+        """The memory, which knows all *tokens* now: (term, distance) of the nearest term of each without its marks, a stem counting as distance 0."""
+        if len(self.found) > 4 * REMEMBERED:
+            self.found = {}
+        found, words, doubtful = self.found, {}, []
+        for t in tokens:
+            if t not in found:
+                w = words[t] = plain(t)
+                if w not in found:
+                    found[w] = hit = self._exact(w)
+                    if not hit and w not in self.exceptions:
+                        doubtful.append(w)
+        for w in self.near(doubtful):
+            found[w] = self._read(w)
+        for t, w in words.items():
+            found[t] = found[w]
+        return found
+
     def _reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.next: list[dict[str, int]] = []
         self.accepts: list[tuple[str, int] | None] = []
-        self.begins: list[str | None] = []
-        self.found: dict[str, tuple[str, int] | None] = {}
         self.start = self._state({0: 0})
 
     def _state(self, at: dict[int, int]) -> int:
@@ -124,7 +220,6 @@ class FuzzyLexicon:
             self.next.append({})
             ends = [(e, w) for node, e in key if (w := self.word[node]) and e <= edits_allowed(w)]
             self.accepts.append(min(ends)[::-1] if ends else None)
-            self.begins.append(max((s for node, e in key if e == 0 and (s := self.stem[node])), key=len, default=None))
         return known
 
     def _step(self, state: int, c: str) -> int:
@@ -141,29 +236,27 @@ class FuzzyLexicon:
         return self._state(at)
 
     def lookup(self, word: str) -> tuple[str, int] | None:
-        """(term, distance) of the nearest term of *word*, a stem counting as distance 0."""
-        known = self.found.get(word, 0)
-        if known != 0:
-            return known
-        if len(self.found) > REMEMBERED or len(self.states) > MAX_STATES:
+        return self.learn([word])[word]
+
+    def _exact(self, word: str) -> tuple[str, int] | None:
+        if word in self.weights:
+            return word, 0
+        stem = next((s for k in self.stem_chars if (s := word[:k] + "*") in self.weights and len(word) >= k), None)
+        return (stem, 0) if stem else None
+
+    def _read(self, word: str) -> tuple[str, int] | None:
+        if len(self.states) > MAX_STATES:
             self._reset()
-        state, stem = self.start, None
+        state = self.start
         for c in word:
             c = c if c in self.letters else "\0"
             nxt = self.next[state].get(c)
             if nxt is None:
                 nxt = self.next[state][c] = self._step(state, c)
+            if nxt < 0:
+                return None
             state = nxt
-            if state < 0:
-                break
-            stem = self.begins[state] or stem
-        hit = self.accepts[state] if state >= 0 else None
-        if stem and (hit is None or hit[1] > 0):
-            hit = (stem, 0)
-        if hit and hit[1] and word in self.exceptions:
-            hit = None
-        self.found[word] = hit
-        return hit
+        return self.accepts[state]
 
 
 def plain(token: str) -> str:
@@ -174,23 +267,51 @@ def plain(token: str) -> str:
 def hits(text: str, lexicon: FuzzyLexicon) -> list[tuple[int, str, int, float]]:
     """(token index, term, distance, weight) of every hit, the weight by its context."""
     tokens = text.lower().split()
-    cache = lexicon.found
-    found = []
+    known = lexicon.learn(set(tokens))
+    found = [(i, *hit) for i, t in enumerate(tokens) if (hit := known[t])]
+    if not found:
+        return []
+    inside = quoted(tokens)
+    return [(i, t, d, lexicon.weights[t] * context_factor(tokens, i, i in inside)) for i, t, d in found]
+
+
+def learn_all(texts: Iterable[str], lexicon: FuzzyLexicon) -> None:
+    """Look up the words of many texts at once, before :func:`hits` reads them one by one."""
+    if len(lexicon.found) > REMEMBERED:  # here, so that what a slice learns stays until it is read
+        lexicon.found = {}
+    lexicon.learn(set().union(*(set(t.lower().split()) for t in texts)))
+
+
+def quoted(tokens: list[str], most: int = QUOTE_WORDS) -> set[int]:
+    """The places of the tokens between paired quotation marks.
+
+    A mark before the letters of a token opens, one after them closes what it fits and
+    was opened last; a token of marks alone does what it can.  A mark without its partner does nothing.
+    """
+    opened: dict[str, int] = {}
+    out: set[int] = set()
     for i, token in enumerate(tokens):
-        if (hit := cache.get(token, 0)) == 0:  # tokens are remembered with their marks
-            hit = lexicon.lookup(plain(token))
-            cache[token] = hit
-        if hit:
-            found.append((i, *hit))
-    return [(i, t, d, lexicon.weights[t] * context_factor(tokens, i)) for i, t, d in found]
-
-
-def context_factor(tokens: list[str], i: int, window: int = WINDOW) -> float:
-    """QUOTED inside quotation or beside words of reporting, ADDRESSED beside words of address."""
-    before, after = tokens[max(0, i - window) : i + 1], tokens[i : i + window + 1]
-    opened = any(t[0] in OPENING for t in before) and any(t[-1] in CLOSING or t.rstrip(".,;:!?")[-1:] in CLOSING[:1] + CLOSING[2:] for t in after)
-    near = {plain(t) for t in before[:-1] + after[1:]}
-    if opened or near & REPORTING:
+        if token.isalnum():
+            continue
+        first = next((k for k, c in enumerate(token) if c.isalnum()), len(token))
+        last = next((k for k in range(len(token), 0, -1) if token[k - 1].isalnum()), 0)
+        for k, c in enumerate(token):
+            if first <= k < last:
+                continue  # inside the word
+            partners = [m for m in opened if c in CLOSING[m]] if k >= last else ()
+            if partners:
+                at = opened.pop(max(partners, key=opened.get))
+                if i - at < most:
+                    out.update(range(at, i + 1))
+            elif c in CLOSING and k < first:
+                opened[c] = i
+    return out
+
+
+def context_factor(tokens: list[str], i: int, inside: bool, window: int = WINDOW) -> float:
+    """QUOTED inside a quotation or beside words of reporting, ADDRESSED beside words of address."""
+    near = {plain(t) for t in tokens[max(0, i - window) : i] + tokens[i + 1 : i + window + 1]}
+    if inside or near & REPORTING:
         return QUOTED
     return ADDRESSED if near & ADDRESS else 1.0
 
@@ -288,7 +409,6 @@ def _telling(counts: DataFrame, sizes: list[int], parts: tuple[int, ...]) -> lis
         tested.withColumn("odds", odds)
         .filter((F.col("odds") >= MIN_ODDS) & (evidence >= math.log(max(1, tested.count()) / FALSE_TERMS)))
         .orderBy(F.desc(F.col("odds") * F.col("toxic")), "term")
-        .limit(MAX_TERMS)
         .collect()
     )
 
@@ -354,7 +474,8 @@ def _model(sample: DataFrame, counts: DataFrame, sizes: list[int], parts: tuple[
     def misspelled(text: str) -> set[str]:
         lexicon = _lexicon(model)
         seen = {w for t in set(text.lower().split()) if (w := plain(t))}
-        return {w for w in seen if (hit := lexicon.lookup(w)) and hit[1]}
+        known = lexicon.learn(seen)
+        return {w for w in seen if (hit := known[w]) and hit[1]}
 
     n_clean, n_toxic = (sum(sizes[2 * p + y] for p in parts) for y in (0, 1))
     clean, toxic = (sum((F.col(f"n{2 * p + y}") for p in parts), F.lit(0)) for y in (0, 1))
@@ -363,7 +484,6 @@ def _model(sample: DataFrame, counts: DataFrame, sizes: list[int], parts: tuple[
         _counted(sample.filter(F.col("part").isin(*parts)), misspelled)
         .filter((clean > 0) & (odds < MIN_ODDS))
         .orderBy(F.desc(clean), "term")
-        .limit(MAX_EXCEPTIONS)
         .collect()
     )
     return Model(words, stems, frozenset(r.term for r in exceptions))
@@ -395,10 +515,11 @@ def _lexicon(model: Model) -> FuzzyLexicon:
 
 def with_features(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, exact, near, dense."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_TERMS and MAX_EXCEPTIONS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words of a bounded sample
 
     def rows(columns: list[list]) -> list[list]:
         lexicon = _lexicon(shared.value)
+        learn_all(columns[1], lexicon)
         found = [features(t, lexicon) for t in columns[1]]
         return [columns[0], *(list(c) for c in zip(*found))]
 
@@ -420,14 +541,18 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of *docs*, with all their columns, whose text scores below *threshold*."""
-    model = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # words of a bounded sample
 
-    @F.udf("boolean", useArrow=True)
-    def clean(text):
-        return shared.value.score(features(text or "", _lexicon(shared.value))) < threshold
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        lexicon = _lexicon(model)
+        for batch in batches:
+            for part in slices(batch, 4_000_000):
+                texts = [t or "" for t in part.column(part.schema.names.index("text")).to_pylist()]
+                learn_all(texts, lexicon)
+                yield part.filter(pa.array([model.score(features(t, lexicon)) < threshold for t in texts], pa.bool_()))
 
-    return docs.filter(clean("text"))
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
