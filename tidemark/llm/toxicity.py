@@ -365,8 +365,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
     return materialize(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("text", "toxic", part.alias("part")), "toxic-sample")
 
 
-def _counted(rows: DataFrame, of_text) -> DataFrame:
-    """term and n0 to n3, the documents of each class (2 * part + toxic) whose text gives the term; summed in the task first."""
+def _counted(rows: DataFrame, of_text, before=None) -> DataFrame:
+    """term and n0 to n3, the documents of each class (2 * part + toxic) whose text gives the term; summed in the task first.
+
+    *before* is called with some texts before *of_text* is with each.
+    """
     names, most = ["n0", "n1", "n2", "n3"], 200_000
     ddl = "term string, " + ", ".join(f"{n} long" for n in names)
     schema = pa.schema([("term", pa.string()), *((n, pa.int64()) for n in names)])
@@ -382,10 +385,14 @@ def _counted(rows: DataFrame, of_text) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
         for batch in batches:
-            for text, toxic, part in zip(*(c.to_pylist() for c in batch.columns)):
-                counts[2 * part + bool(toxic)].update(of_text(text))
-                if sum(map(len, counts)) > most:
-                    yield flush()
+            for rows in slices(batch, 4_000_000):
+                columns = [c.to_pylist() for c in rows.columns]
+                if before:
+                    before(columns[0])
+                for text, toxic, part in zip(*columns):
+                    counts[2 * part + bool(toxic)].update(of_text(text))
+                    if sum(map(len, counts)) > most:
+                        yield flush()
         yield flush()
 
     summed = rows.select("text", "toxic", "part").mapInArrow(run, ddl).groupBy("term")
@@ -481,7 +488,7 @@ def _model(sample: DataFrame, counts: DataFrame, sizes: list[int], parts: tuple[
     clean, toxic = (sum((F.col(f"n{2 * p + y}") for p in parts), F.lit(0)) for y in (0, 1))
     odds = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
     exceptions = (
-        _counted(sample.filter(F.col("part").isin(*parts)), misspelled)
+        _counted(sample.filter(F.col("part").isin(*parts)), misspelled, lambda texts: learn_all(texts, _lexicon(model)))
         .filter((clean > 0) & (odds < MIN_ODDS))
         .orderBy(F.desc(clean), "term")
         .collect()
