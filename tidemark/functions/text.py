@@ -34,7 +34,11 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def match_score(mention: Column, known: Column) -> Column:
     """Ratio of the normalised names, at least 0.9 where one contains the other."""
-    a, b = normalize_name(mention), normalize_name(known)
+    return normal_score(normalize_name(mention), normalize_name(known))
+
+
+def normal_score(a: Column, b: Column) -> Column:
+    """:func:`match_score` of names that are normalised already."""
     score = ratio(a, b)
     return F.when(contains_either(a, b), F.greatest(score, F.lit(0.9))).otherwise(score)
 

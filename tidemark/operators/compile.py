@@ -45,12 +45,10 @@ def narratives(entities: DataFrame, transitions: DataFrame, relations: DataFrame
     return joined.select("entity_id", text.alias("context"))
 
 
-def succession_chains(facts: DataFrame, max_holders: int = 100) -> DataFrame:
-    """object, role, chain: the holders in order, "A → B → C" (the first *max_holders*)."""
-    w = Window.partitionBy("object", "role").orderBy("start", "end", "subject")
-    kept = facts.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= max_holders)
-    chain = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("subject").cast("string").alias("s")))), lambda x: x["s"]), " → ")
-    return kept.groupBy("object", "role").agg(chain.alias("chain"))
+def succession_chains(facts: DataFrame) -> DataFrame:
+    """object, role, chain: the holders in order, "A → B → C", all of them: the chain is the row."""
+    holders = F.array_sort(F.collect_list(F.struct("start", "end", "subject")))
+    return facts.groupBy("object", "role").agg(F.array_join(F.transform(holders, lambda x: x["subject"].cast("string")), " → ").alias("chain"))
 
 
 def temporal_groups(entities: DataFrame, reference: Column) -> DataFrame:

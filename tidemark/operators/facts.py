@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import settled
+
 FACT = ("start", "end", "subject", "role")
 
 
@@ -50,10 +54,27 @@ def capped_overlaps(facts: DataFrame, k: int) -> DataFrame:
     return both.unionByName(flip).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def holding_in(facts: DataFrame, years: DataFrame) -> DataFrame:
-    """Facts that hold in a year, both ends included; *years* is a small table of distinct years."""
-    spans = facts.withColumn("year", F.explode(F.sequence("start", "end")))
-    return spans.join(years.select("year"), "year")
+def holding_in(facts: DataFrame, years: Sequence[int]) -> DataFrame:
+    """Facts that hold in one of the given years, both ends included, once for each such ``year``."""
+    asked = F.array(*(F.lit(y) for y in sorted(set(years)))).cast("array<int>")
+    return facts.withColumn("year", F.explode(F.filter(asked, lambda y: y.between(F.col("start"), F.col("end")))))
+
+
+def in_order(facts: DataFrame) -> DataFrame:
+    """Each fact with its number (from 1) in the order of (start, end, subject, role, object) and the years since the previous one's start.
+
+    Sorted by range; a range adds the rows of the ranges before it, so no task sees them all.
+    """
+    keys = ["start", "end", "subject", "role", "object"]
+    sorted_ = facts.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    split = settled(sorted_).withColumn("_range", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = split.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.max_by("start", "_id").alias("_last"))  # a row for each range
+    before = Window.orderBy("_range")
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lag("_last").over(before).alias("_prev"))
+    inside = Window.partitionBy("_range").orderBy("_at")
+    joined = split.join(F.broadcast(offsets), "_range")
+    gap = F.col("start") - F.coalesce(F.lag("start").over(inside), F.col("_prev"))
+    return joined.select(*facts.columns, (F.col("_before") + F.col("_at") + 1).alias("number"), gap.alias("years_since"))
 
 
 def gaps(facts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +40,14 @@ def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
-def scored_paths(edges: DataFrame, seeds: DataFrame, hops: int = 2, wanted_types: tuple[str, ...] = (), same_type: bool = False, max_paths: int = 50) -> DataFrame:
+def scored_paths(edges: DataFrame, seeds: DataFrame, hops: int = 2, wanted_types: tuple[str, ...] = (), same_type: bool = False, max_paths: int | None = None) -> DataFrame:
     """nodes, types, score: paths from seeds (node, score), 0.8 per hop, 0.3 for a type that is not wanted.
 
     Every undirected edge is used once, by the first path in the order of (hop, score
-    descending, nodes); the type rule holds before that.  At most *max_paths* per start
-    of expansion, counted in the same order; paths of earlier hops come first.
+    descending, nodes); the type rule holds before that.  All paths, or with *max_paths*
+    the best of each hop (a beam), counted in the same order; paths of earlier hops come first.
     """
+    best = lambda df: df if max_paths is None else df.limit(max_paths)
     key = F.concat_ws(" ", F.least("node", "other"), F.greatest("node", "other"))
     sides = both_ways(edges).withColumn("edge", key)
     frontier = seeds.select(F.array("node").alias("nodes"), F.array().cast("array<string>").alias("types"), "score", F.lit(0).alias("hop"))
@@ -65,11 +68,20 @@ def scored_paths(edges: DataFrame, seeds: DataFrame, hops: int = 2, wanted_types
         )
         first = Window.partitionBy("edge").orderBy(F.desc("score"), "nodes", "types")
         grown = grown.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r")
-        grown = grown.orderBy(F.desc("score"), "nodes", "types").limit(max_paths)
+        grown = best(grown.orderBy(F.desc("score"), "nodes", "types")) if max_paths is not None else grown
         used = grown.select("edge") if used is None else used.unionByName(grown.select("edge"))
         frontier = grown.select("nodes", "types", "score", F.lit(h).alias("hop"))
         paths = paths.unionByName(frontier)
-    return paths.orderBy("hop", F.desc("score"), "nodes", "types").limit(max_paths)
+    return best(paths.orderBy("hop", F.desc("score"), "nodes", "types"))
+
+
+def described(path: DataFrame, names: DataFrame) -> DataFrame:
+    """nodes, types, score and text: "A --[type]--> B …", by the names (node, name) of the nodes, a node's own value where it has none."""
+    at = path.select("nodes", "types", "score", F.posexplode("nodes").alias("i", "node")).join(names, "node", "left")
+    step = F.struct("i", F.coalesce("name", F.col("node").cast("string")).alias("name"))
+    grouped = at.groupBy("nodes", "types", "score").agg(F.array_sort(F.collect_list(step)).alias("steps"))  # a path has few nodes
+    part = lambda s: F.when(s["i"] == 0, s["name"]).otherwise(F.concat(F.lit(" --["), F.try_element_at("types", s["i"]), F.lit("]--> "), s["name"]))
+    return grouped.select("nodes", "types", "score", F.array_join(F.transform("steps", part), "").alias("text"))
 
 
 def rescored(paths: DataFrame, entities: DataFrame, pattern: str, now: float, matches=None) -> DataFrame:
@@ -104,11 +116,14 @@ def best_nodes(paths: DataFrame, top: int = 15) -> DataFrame:
     return paths.select(F.explode("nodes").alias("node"), "score").groupBy("node").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "node").limit(top)
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage, in the folder all executors share."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir("/tmp/checkpoints/tidemark")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"spark.checkpoint.dir is unset: on {context.master} it has to name a folder that all executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints/tidemark")
     return df.checkpoint()
 
 
@@ -116,7 +131,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node): large and small stars in turn until no edge changes."""
     now = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct()
     loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
-    now, last = _settled(now), None
+    now, last = settled(now), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -125,7 +140,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = salted.join(every, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _settled(small.unionByName(joined.select("u", F.col("m").alias("v"))).distinct())
+        now = settled(small.unionByName(joined.select("u", F.col("m").alias("v"))).distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == last:
             break

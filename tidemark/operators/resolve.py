@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_either, match_score, normalize_name
+from ..functions.text import normal_score, normalize_name
 from .graph import connected_components
 
 STRING_ACCEPT, STRING_MATCH = 0.90, 0.85
@@ -26,25 +30,82 @@ def exact_matches(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return met.groupBy("mention_id").agg(best).select("mention_id", "x.entity_id", "x.is_alias")
 
 
-def blocks(normal, n: int = 3):
-    """Blocking keys of a name: its words and the n-grams of each, so one edit leaves others in common."""
-    words = F.filter(F.split(normal, r"\s+"), lambda w: w != "")
-    grams = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))))
-    return F.array_distinct(grams)
+#: Longest beginning by which a contained name is looked up.
+CONTAINED_CHARS = 8
+#: Letters from the rarest to the commonest, all others before them.  Any fixed order is exact; this one is selective.
+LETTER_ORDER = "zqxjkvbpygfwmucldrhsnioate "
 
 
-def fuzzy_matches(mentions: DataFrame, entities: DataFrame, threshold: float = STRING_MATCH) -> DataFrame:
-    """mention_id, entity_id, score: the best score over an entity's names, *threshold* or more.
+def near_keys(name: str, threshold: float) -> list[str]:
+    """Keys of which two names with a ratio of *threshold* or more share one.
 
-    Pairs come from shared blocks (keys of a third of all names and more are too common
-    to tell and are skipped unless a name has no other).
+    With M matched characters of S in both, 2 M / S is the ratio, so at least t S / 2
+    characters are common, and 3 M - S - 1 two-letter grams, as each matched block but one costs
+    an unmatched character.  If so many of a name's grams are common, one is among its first
+    ones in any fixed order that leave out one less.  Names too short for that, and those
+    as long as one of them can match, use single characters.
     """
-    known = names_of(entities).withColumn("block", F.explode(blocks(F.col("normal"))))
-    asked = mentions.select("mention_id", "mention", normalize_name("mention").alias("normal")).filter("normal <> ''")
-    asked = asked.withColumn("block", F.explode(blocks(F.col("normal"))))
-    pairs = asked.join(known.select("entity_id", "name", "block"), "block").select("mention_id", "mention", "entity_id", "name").distinct()
-    scored = pairs.withColumn("score", match_score(F.col("mention"), F.col("name")))
-    return scored.filter(F.col("score") >= threshold).groupBy("mention_id", "entity_id").agg(F.max("score").alias("score"))
+    n, share = len(name), threshold / (2 - threshold)  # a match is at least n * share long
+    slope = 1.5 * threshold - 1
+    short = float("inf") if slope <= 0 else (2 - threshold) / slope
+
+    def first(size: int, common: float) -> list[str]:
+        seen: Counter = Counter()
+        grams = []
+        for i in range(n - size + 1):
+            g = name[i : i + size]
+            seen[g] += 1
+            grams.append((min(LETTER_ORDER.find(c) for c in g), g, seen[g]))
+        return [f"{size}{g}{k}" for _, g, k in sorted(grams)[: n - size + 2 - math.ceil(common - 1e-9)]]
+
+    out = first(2, 2 * n / (2 - threshold) * slope - 1) if n >= short else []
+    return out + (first(1, n * share) if n <= short / share else [])
+
+
+def _keys(threshold: float):
+    """Columns of near_keys and of all beginnings that a contained name can have."""
+
+    @F.pandas_udf("array<string>")
+    def near(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: near_keys(x, threshold))
+
+    @F.pandas_udf("array<string>")
+    def parts(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: sorted({x[i : i + n] for n in range(1, CONTAINED_CHARS + 1) for i in range(len(x) - n + 1)}))
+
+    return near, parts
+
+
+def candidate_names(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """na, nb: the pairs of normalised names (normal) of *a* and *b* that can match, none left out: near in their letters, or one in the other."""
+    near, parts = _keys(threshold)
+    share = threshold / (2 - threshold)
+    x, y = a.select(F.col("normal").alias("na")).distinct(), b.select(F.col("normal").alias("nb")).distinct()
+    by_key = x.withColumn("key", F.explode(near("na"))).join(y.withColumn("key", F.explode(near("nb"))), "key").drop("key")
+    by_key = by_key.filter(F.least(F.length("na"), F.length("nb")) >= F.greatest(F.length("na"), F.length("nb")) * F.lit(share - 1e-9))
+    return by_key.unionByName(_contained(x, y, "na", "nb", parts)).unionByName(_contained(y, x, "nb", "na", parts)).distinct()
+
+
+def _contained(inner: DataFrame, outer: DataFrame, i: str, o: str, parts) -> DataFrame:
+    """The pairs whose *outer* name holds the *inner* one, looked up by the inner one's beginning."""
+    begun = inner.withColumn("key", F.substring(i, 1, CONTAINED_CHARS))
+    return begun.join(outer.withColumn("key", F.explode(parts(o))), "key").filter(F.contains(o, i)).select("na", "nb")
+
+
+def fuzzy_matches(mentions: DataFrame, entities: DataFrame, threshold: float = STRING_MATCH) -> DataFrame:
+    """mention_id, entity_id, score: the best score over an entity's names, *threshold* or more; no such pair is left out."""
+    known = names_of(entities).select("entity_id", F.col("normal").alias("nb"))
+    asked = mentions.select("mention_id", normalize_name("mention").alias("na")).filter("na <> ''")
+    names = candidate_names(asked.select(F.col("na").alias("normal")), known.select(F.col("nb").alias("normal")), threshold)
+    scored = names.withColumn("score", normal_score(F.col("na"), F.col("nb"))).filter(F.col("score") >= threshold)
+    met = asked.join(scored, "na").join(known, "nb")
+    return met.groupBy("mention_id", "entity_id").agg(F.max("score").alias("score"))
+
+
+def name_topk(mentions: DataFrame, entities: DataFrame, k: int, least: float = 0.3) -> DataFrame:
+    """mention_id, entity_id, score, rank: the *k* best entities by name with a score over *least*."""
+    w = Window.partitionBy("mention_id").orderBy(F.desc("score"), "entity_id")
+    return fuzzy_matches(mentions, entities, least).filter(F.col("score") > least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def best_candidate(matches: DataFrame, score: str) -> DataFrame:
@@ -78,11 +139,18 @@ def cascade(candidates: DataFrame) -> DataFrame:
 
 
 def duplicate_pairs(entities: DataFrame, threshold: float = STRING_MATCH) -> DataFrame:
-    """a, b, score: entities of one type (a < b) with names that match."""
-    known = entities.select("entity_id", "type", "name", normalize_name("name").alias("normal")).filter("normal <> ''").withColumn("block", F.explode(blocks(F.col("normal"))))
-    x, y = (known.select(F.col("entity_id").alias(i), "type", "block", F.col("name").alias(n)) for i, n in (("a", "na"), ("b", "nb")))
-    pairs = x.join(y, ["type", "block"]).filter("a < b").select("a", "b", "na", "nb").distinct()
-    return pairs.withColumn("score", match_score(F.col("na"), F.col("nb"))).filter(F.col("score") >= threshold)
+    """a, b, score: entities of one type (a < b) with names that match.
+
+    Of entities with one name the smallest id stands for all: it has the pairs with other
+    names, and one with each of them.
+    """
+    known = entities.select("entity_id", "type", normalize_name("name").alias("normal")).filter("normal <> ''")
+    heads = known.groupBy("type", "normal").agg(F.min("entity_id").alias("head"))
+    same = known.join(heads, ["type", "normal"]).filter("entity_id <> head").select(F.col("head").alias("a"), F.col("entity_id").alias("b"), F.lit(1.0).alias("score"))
+    names = candidate_names(heads, heads, threshold)
+    x, y = (heads.select(F.col("normal").alias("n" + p), "type", F.col("head").alias(p)) for p in "ab")
+    pairs = names.join(x, "na").join(y, ["nb", "type"]).filter("a < b").withColumn("score", normal_score(F.col("na"), F.col("nb")))
+    return pairs.filter(F.col("score") >= threshold).select("a", "b", "score").unionByName(same)
 
 
 def duplicate_clusters(entities: DataFrame, threshold: float = STRING_MATCH) -> DataFrame:
@@ -96,7 +164,24 @@ def duplicate_clusters(entities: DataFrame, threshold: float = STRING_MATCH) ->
 
 
 def containment_pairs(names: DataFrame) -> DataFrame:
-    """a, b: distinct names that share a word and where one contains the other."""
-    n = names.select("name", normalize_name("name").alias("normal")).distinct().withColumn("block", F.explode(F.split("normal", " ")))
-    x, y = (n.select(F.col("name").alias(p), F.col("normal").alias("n" + p), "block") for p in "ab")
-    return x.join(y, "block").filter("a < b").filter(contains_either(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    """a, b: distinct names (a < b) of which one contains the other, wherever."""
+    n = names.select("name", normalize_name("name").alias("normal")).filter("normal <> ''").distinct()
+    parts = _keys(1.0)[1]
+    x, y = (n.select(F.col("name").alias(p), F.col("normal").alias("n" + p)) for p in "ab")
+    held = _contained(x.select("na").distinct(), y.select("nb").distinct(), "na", "nb", parts)
+    both = held.join(x, "na").join(y, "nb").filter(F.col("a") != F.col("b"))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def in_batch(mentions: DataFrame, threshold: float = STRING_MATCH) -> DataFrame:
+    """mention_id, representative: mentions (mention_id, mention, type) of one batch and type that match, even by way of others, share the smallest id."""
+    pairs = duplicate_pairs(mentions.select(F.col("mention_id").alias("entity_id"), "type", F.col("mention").alias("name")), threshold)
+    found = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    joined = mentions.select("mention_id").join(found.withColumnRenamed("node", "mention_id"), "mention_id", "left")
+    return joined.select("mention_id", F.coalesce("component", "mention_id").alias("representative"))
+
+
+def report(decisions: DataFrame) -> DataFrame:
+    """method, n, share: the decisions of the cascade by the tier that made them."""
+    per = decisions.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    return per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("_all")))).select("method", "n", (F.col("n") / F.col("_all")).alias("share"))  # one row

@@ -2,30 +2,73 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
-
-#: Most query vectors that are sent to every task; beyond it the join shuffles.
-MAX_BROADCAST_QUERIES = 10_000
+#: Query vectors of one block.
+BLOCK_QUERIES = 4096
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, same_type: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, k: int, same_type: bool = False, block: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, item_id, similarity, rank: the k most similar items (id, vector[, type]) of each query (id, vector[, type]).
 
-    Each item meets all queries in its task, and a map-side top k (window group limit)
-    leaves k rows per query and task for the shuffle.
+    Exact.  Queries are dealt into blocks and items over tasks; a block and a share of the items
+    meet in one task, are scaled to unit length once, multiplied as matrices, and leave k rows a
+    query.  Nothing is broadcast, whatever the number of queries.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("qv"), *([F.col("type").alias("qt")] if same_type else []))
-    if queries.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES:
-        q = F.broadcast(q)
-    condition = F.col("id") != F.col("query_id")
-    if same_type:
-        condition = condition & (F.col("type") == F.col("qt"))
-    scored = items.join(q, condition).select("query_id", F.col("id").alias("item_id"), F.round(cosine("qv", "vector"), 9).alias("similarity"))
+    spark = queries.sparkSession
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, math.ceil(queries.count() / block))
+    kind = (lambda c: F.col(c).cast("string")) if same_type else (lambda c: F.lit(""))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), every(shares).alias("s"), F.col("id").alias("id"), F.col("vector").cast("array<double>").alias("vector"), kind("type").alias("type"))
+    i = items.select(every(blocks).alias("b"), F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("s"), F.col("id").alias("id"), F.col("vector").cast("array<double>").alias("vector"), kind("type").alias("type"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = _best_of_block(*(_unit(t) for t in (left, right)), k, same_type)
+        return pa.table(rows, names=["query_id", "item_id", "similarity"])
+
+    types = [queries.schema["id"].dataType.simpleString(), items.schema["id"].dataType.simpleString()]
+    found = q.groupBy("b", "s").cogroup(i.groupBy("b", "s")).applyInArrow(best, f"query_id {types[0]}, item_id {types[1]}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _unit(table: pa.Table) -> tuple[pa.Array, np.ndarray, list]:
+    """ids, unit vectors (zeros where a vector has no length; filled up with zeros to the longest), types."""
+    lists = table.column("vector").to_pylist()
+    width = max((len(v) for v in lists if v), default=0)
+    vectors = np.array([(v or []) + [0.0] * (width - len(v or [])) for v in lists], float).reshape(len(lists), width)
+    norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return table.column("id").combine_chunks(), np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0), table.column("type").to_pylist()
+
+
+def _best_of_block(left, right, k: int, same_type: bool, step: int = 256) -> list[pa.Array]:
+    (q_ids, q, q_types), (i_ids, i, i_types) = left, right
+    width = min(q.shape[1], i.shape[1])
+    order = pa.compute.sort_indices(i_ids).to_numpy()
+    i, i_types, ids = i[order], np.array(i_types, object)[order], i_ids.take(pa.array(order))
+    rows, columns, values = [], [], []
+    for at in range(0, len(q), step):
+        near = np.round(q[at : at + step, :width] @ i[:, :width].T, 9)
+        for r in range(len(near)):
+            allowed = ~np.asarray(pa.compute.equal(ids, q_ids[at + r]))
+            if same_type:
+                allowed &= i_types == q_types[at + r]
+            candidates = np.flatnonzero(allowed)
+            if len(candidates) > k:  # all that are as near as the k-th
+                least = np.partition(near[r, candidates], len(candidates) - k)[len(candidates) - k]
+                candidates = candidates[near[r, candidates] >= least]
+            chosen = candidates[np.argsort(-near[r, candidates], kind="stable")[:k]]
+            rows += [at + r] * len(chosen)
+            columns += chosen.tolist()
+            values += near[r, chosen].tolist()
+    return [q_ids.take(pa.array(rows, pa.int64())), ids.take(pa.array(columns, pa.int64())), pa.array(values, pa.float64())]
 
 
 def chronological(hits: DataFrame, items: DataFrame, key: str, time: str) -> DataFrame:
@@ -63,6 +106,15 @@ def merged(sources: list[DataFrame], k: int) -> DataFrame:
     return best.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 
+def sectioned(sections: list[tuple[str, DataFrame]]) -> DataFrame:
+    """query_id, section, position, line: lists of lines (query_id, position, line) one section after the other, in the given order."""
+    out = None
+    for i, (title, rows) in enumerate(sections):
+        part = rows.select("query_id", F.lit(i).alias("section_order"), F.lit(title).alias("section"), "position", "line")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def precision(hits: DataFrame, gold: DataFrame) -> DataFrame:
     """query_id, precision: the share of hits among the gold items."""
     g = gold.select("query_id", "item_id").distinct().withColumn("good", F.lit(1.0))

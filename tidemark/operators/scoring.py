@@ -24,6 +24,16 @@ def matrix(results: DataFrame, row: str, column: str, values: Sequence[str], sco
     return results.groupBy(row).pivot(column, list(values)).agg(F.avg(score))
 
 
+def pairwise(results: DataFrame, row: str, column: str, score: str) -> DataFrame:
+    """a, b, mean_delta (b less a), wins and losses of b, n: every two columns of the matrix of mean scores, over the rows that have both."""
+    cells = results.groupBy(row, column).agg(F.avg(score).alias("m")).filter("m is not null")
+    a, b = (cells.select(F.col(row).alias("r" + x), F.col(column).alias(x), F.col("m").alias("m" + x)) for x in "ab")
+    met = a.join(b, F.col("ra").eqNullSafe(F.col("rb")) & (F.col("a") < F.col("b")))  # means only: few columns a row
+    return met.groupBy("a", "b").agg(
+        F.avg(F.col("mb") - F.col("ma")).alias("mean_delta"), F.count_if(F.col("mb") > F.col("ma")).alias("wins"), F.count_if(F.col("mb") < F.col("ma")).alias("losses"), F.count(F.lit(1)).alias("n")
+    )
+
+
 def flips(results: DataFrame, before: str, after: str) -> DataFrame:
     """One row: accuracy of both runs, their difference, answers rescued and hurt."""
     a, b = F.col(before) == 1, F.col(after) == 1
