@@ -159,6 +159,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, ngram: int = NGRAM) -> Da
                     grams = ngram_set(text, ngram)
                     out.append((doc_id, text_hash, *set_key(grams), len(grams), *(banding.hashes(grams) if len(grams) else ([], b""))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), SIGNATURES)], schema=SIGNATURES)
+        _word_hashes.clear()  # workers outlive tasks
 
     return hashed_texts(docs).mapInArrow(run, SIGNATURES_DDL)
 
@@ -295,6 +296,7 @@ def verify(cells: DataFrame, ngram: int, threshold: float) -> DataFrame:
             out = verified_cell(reps, docs, blocks, [ngram_set(t, ngram) for t in texts], ci == cj, threshold) if len(reps) > 1 else []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+        _word_hashes.clear()
 
     keys = ["comp", "ci", "cj"]
     dealt = cells.select(*keys, "block", "rep", "docs", "text").repartition(*keys).sortWithinPartitions(*keys)

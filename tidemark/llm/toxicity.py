@@ -52,7 +52,7 @@ QUOTE_WORDS = 40
 #: Longest term whose spellings with deletions are listed.
 LISTED = 24
 #: Bounds of what a worker remembers; beyond them it starts anew.
-REMEMBERED, MAX_STATES = 300_000, 100_000
+REMEMBERED, MAX_STATES = 150_000, 50_000
 
 # Words and marks of context, in the languages of the table.
 REPORTING = frozenset("said says wrote called calls quote quoted quotes reported term word insult slur sagte schrieb nannte zitat dit écrit appelé citation dijo escribió llamó cita".split())
@@ -552,9 +552,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        lexicon = _lexicon(model)
+        _held.clear()  # what fitting remembered; the words of this task go with it
+        lexicon = model.lexicon()
         for batch in batches:
-            for part in slices(batch, 4_000_000):
+            for part in slices(batch, 2_000_000):
                 texts = [t or "" for t in part.column(part.schema.names.index("text")).to_pylist()]
                 learn_all(texts, lexicon)
                 yield part.filter(pa.array([model.score(features(t, lexicon)) < threshold for t in texts], pa.bool_()))
