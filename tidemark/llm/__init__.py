@@ -1,5 +1,5 @@
 """Training-data operators: packing, media columns, filters, secrets, dedup.
 
 Nothing outside this subpackage imports it.  Queries live in
-:mod:`tidemark.llm.queries`, their SQL in :mod:`tidemark.llm.sql`.
+:mod:`tidemark.llm.queries`, their SQL beside the operators.
 """
