@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -61,3 +62,39 @@ def test_hash_is_stable_under_small_changes():
 
 def test_empty_table(spark):
     assert m.read_png(m.encode_png(docs_frame(spark, []))).collect() == []
+
+
+def plain_hash(image):
+    """The cosine hash by plain loops."""
+    n, side, low = image.shape, m.SIDE, m.LOW
+
+    def cell(axis, i):
+        if n[axis] < side:
+            return [i * n[axis] // side]
+        return range(i * n[axis] // side, (i + 1) * n[axis] // side)
+
+    small = [[sum(float(image[r, c]) for r in cell(0, i) for c in cell(1, j)) / (len(cell(0, i)) * len(cell(1, j))) for j in range(side)] for i in range(side)]
+    wave = [[math.cos(math.pi * (2 * x + 1) * u / (2 * side)) for x in range(side)] for u in range(low)]
+    terms = [round(sum(wave[u][i] * wave[v][j] * small[i][j] for i in range(side) for j in range(side)), 6) for u in range(low) for v in range(low)]
+    middle = sorted(terms[1:])[(low * low - 1) // 2]
+    bits = "".join("1" if t > middle else "0" for t in terms)
+    return int(bits, 2).to_bytes(low * low // 8, "big")
+
+
+def test_cosine_hash_equals_plain_loops():
+    for seed, rows in enumerate((1, 7, 32, 45)):
+        image = np.random.default_rng(seed).integers(0, 256, (rows, m.WIDTH), dtype=np.uint8)
+        assert m.cosine_hash(image) == plain_hash(image)
+
+
+def test_query_equals_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = m.op2_media_columns(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r.doc_id]
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-64:]))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        assert r.feature == m.cosine_hash(np.frombuffer(payload, np.uint8).reshape(-1, 64)).hex()
