@@ -1,15 +1,30 @@
+import random
+from types import SimpleNamespace as Plain
+
 import pyarrow as pa
+import pytest
 
 from tidemark.llm import common as m
 
 
-def test_most_frequent_equals_a_full_sort(spark):
-    rows = [(f"w{i:03}", (i * 7919) % 50 + 1) for i in range(400)]
-    df = spark.createDataFrame(rows, "word string, n long")
-    for limit in (1, 37, 399, 1000):
-        want = sorted(rows, key=lambda r: (-r[1], r[0]))[:limit]
-        assert [(r.word, r.n) for r in m.most_frequent(df, "n", "word", limit).collect()] == want
-    assert m.most_frequent(df.limit(0), "n", "word", 5).collect() == []
+@pytest.mark.parametrize("hot_share", [1, 3, 1000])
+def test_skew_join_equals_a_plain_join(spark, hot_share):
+    rng = random.Random(0)
+    rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randrange(40)}", i % 2) for i in range(600)]
+    lookup = [(k, b, f"{k}{b}") for k in ["hot", "unused", *(f"k{i}" for i in range(30))] for b in (0, 1)]
+    left, right = spark.createDataFrame(rows, "i long, k string, b long"), spark.createDataFrame(lookup, "k string, b long, v string")
+    known = {(k, b): v for k, b, v in lookup}
+    want = sorted((i, known[k, b]) for i, k, b in rows if (k, b) in known)
+    assert sorted((r.i, r.v) for r in m.skew_join(left, right, "k", "b", hot_share=hot_share).collect()) == want
+    assert m.skew_join(left.limit(0), right, "k", "b").collect() == []
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    conf = Plain(get=lambda *a: None)
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,3000]"):
+        context = Plain(master=master, getConf=lambda: conf)
+        with pytest.raises(ValueError):
+            m.shared_dir(Plain(sparkContext=context, conf=conf))
 
 
 def test_slices_cut_by_text_and_keep_every_row():
