@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .json_text import json_body
+
 # The base chance of winning by stage.
 STAGE_CHANCE = {
     "lead": 0.05, "discovery": 0.15, "evaluation": 0.35, "proposal": 0.55, "negotiation": 0.75, "closed_won": 1.0, "closed_lost": 0.0,
@@ -52,3 +54,24 @@ def recommendation(chance: Column) -> Column:
 def reward(correct: Column, precision: Column, coherence: Column, retrieved: Column) -> Column:
     """Correctness, a part for precision and temporal coherence, less a little per retrieved item."""
     return correct * 1.0 + precision * 0.3 + coherence * 0.2 - retrieved * 0.1
+
+
+def judged_json(answer: Column) -> Column:
+    """The clamped ``score`` of a judge's JSON; 0 where there is none."""
+    return judged(F.get_json_object(json_body(answer), "$.score").try_cast("double"))
+
+
+def judged_overall(answer: Column) -> Column:
+    """The ``overall`` score of a judge's JSON; a half where there is none."""
+    return F.coalesce(F.get_json_object(json_body(answer), "$.overall").try_cast("double"), F.lit(0.5))
+
+
+def topic(fact: Column) -> Column:
+    """job, interests, family or background, by the first list of words that has one in the fact."""
+    return F.when(_has_any(fact, "work", "job", "career"), "job").when(_has_any(fact, "hobby", "like", "enjoy", "love"), "interests").when(
+        _has_any(fact, "family", "children", "married"), "family"
+    ).otherwise("background")
+
+
+def _has_any(text: Column, *words: str) -> Column:
+    return F.rlike(F.lower(text), F.lit("|".join(words)))

@@ -154,3 +154,13 @@ def temporal_bounds(query: Column, reference: Column) -> Column:
         F.coalesce(bound("before"), F.when(days.isNotNull(), ref), epoch_seconds(F.add_months(first, 1).cast("timestamp_ntz"))).alias("event_before"),
         epoch_seconds(parsed_date(found(r"as of\s+(\d{4}-\d{2}-\d{2}|\w+\s+\d+)"), reference)).alias("ingested_before"),
     )
+
+
+def worded_session_date(text: Column) -> Column:
+    """``May 20, 2023 at 02:21`` of a session's date; any other text as it is."""
+    return F.coalesce(F.date_format(parsed_session_date(text), "MMMM dd, yyyy 'at' HH:mm"), text)
+
+
+def worded_chat_date(text: Column) -> Column:
+    """``May 18, 2023 at 01:39 PM`` of a chat's date; any other text as it is."""
+    return F.coalesce(F.date_format(parsed_chat_date(text), "MMMM dd, yyyy 'at' hh:mm a"), text)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import lookup
+
 
 def pipeline_value(deals: DataFrame, order: Sequence[str], chance: dict[str, float]) -> DataFrame:
     """Per stage, in order and with zeros: n_deals, value and chance-weighted value (closed stages have none)."""
@@ -49,3 +51,23 @@ def uncertainties(prospects: DataFrame) -> DataFrame:
         unheard,
     )
     return prospects.select("id", F.explode(everything).alias("x")).select("id", "x.*")
+
+
+def summary(deals: DataFrame, chance: dict[str, float]) -> DataFrame:
+    """One row: deals, active ones, their value, chance-weighted value and mean size (0 without any).
+
+    *deals*: stage and value; closed stages are not active, an unknown stage counts with a chance of 0.1.
+    Sums are exact decimals, so the order of the rows does not matter.
+    """
+    active = ~F.startswith(F.coalesce("stage", F.lit("")), F.lit("closed"))
+    worth = F.when(active, F.col("value").cast("decimal(18,2)"))
+    weight = lookup({k: str(v) for k, v in chance.items()}, F.col("stage"), "0.1").cast("decimal(4,2)")
+    total = lambda c: F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    n = F.count_if(active)
+    return deals.agg(
+        F.count(F.lit(1)).alias("n_deals"),
+        n.alias("n_active"),
+        total(worth).alias("value"),
+        total(worth * weight).alias("weighted_value"),
+        F.when(n > 0, total(worth) / n).otherwise(0.0).alias("mean_value"),
+    )

@@ -65,3 +65,35 @@ def compared(totals: DataFrame, score: str, band: float = 0.5) -> DataFrame:
     x, y = (totals.select("prospect_id", F.col("sequence_id").alias(p), F.col(score).alias(f"s{p}")) for p in "ab")
     d = F.col("sa") - F.col("sb")
     return x.join(y, "prospect_id").filter("a < b").select("prospect_id", "a", "b", F.when(F.abs(d) <= band, "tie").when(d > 0, "a").otherwise("b").alias("winner"))
+
+
+def rated(totals: DataFrame) -> DataFrame:
+    """Sequences with a rating of strong, moderate, weak or risky, and the points behind it.
+
+    *totals*: objection_change (less is better), n_pains, n_risks, response (mean chance of an answer; null without steps).
+    """
+    change, pains, risks, response = (F.col(c) for c in ("objection_change", "n_pains", "n_risks", "response"))
+    points = (
+        F.when(change < -0.3, 2).when(change < -0.1, 1).when(change > 0.1, -1).otherwise(0)
+        + F.when(pains >= 3, 2).when(pains >= 1, 1).otherwise(0)
+        - F.when(risks > 2, 2).when(risks > 0, 1).otherwise(0)
+        + F.when(response > 0.5, 1).when(response < 0.2, -1).otherwise(0)
+    )
+    rating = F.when(F.col("points") >= 3, "strong").when(F.col("points") >= 1, "moderate").when(F.col("points") >= -1, "weak").otherwise("risky")
+    return totals.withColumn("points", points).withColumn("rating", rating)
+
+
+def advice(totals: DataFrame) -> DataFrame:
+    """sequence_id, advice: ghost_risk, preempt_concerns, cover_pains, tighten_timing or spread_timing, a row for each that holds.
+
+    *totals*: sequence_id, riskiest_response, n_risks, n_pains, days, n_steps.
+    """
+    days, steps = F.col("days"), F.col("n_steps")
+    rules = {
+        "ghost_risk": F.col("riskiest_response") < 0.2,
+        "preempt_concerns": F.col("n_risks") > 1,
+        "cover_pains": F.col("n_pains") < 2,
+        "tighten_timing": (days > 14) & (steps <= 3),
+        "spread_timing": (days < 5) & (steps >= 3),
+    }
+    return totals.select("sequence_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())))).alias("advice"))

@@ -83,3 +83,34 @@ def what_if(chance, rep_change: bool = False, speedup: float | None = None, remo
     """A chance under changes, 0.95 at most."""
     factor = (1.15 if rep_change else 1) * (1 + (1 - speedup) * 0.2 if speedup else 1) * (1.25 if remove_objection else 1) * (1.35 if add_champion else 1)
     return F.least(F.lit(0.95), chance * factor)
+
+
+def summary(visits: DataFrame, now_us: int, stall_days: float) -> DataFrame:
+    """One row from the last visits: deals, open ones, stalled ones and their share of all in percent (0 without deals)."""
+    is_open = F.col("outcome").isNull()
+    stalled = F.count_if(is_open & ((F.lit(now_us) - F.col("entered_us")) / 86_400e6 > stall_days))
+    n = F.count(F.lit(1))
+    last = visits.filter("is_last")
+    return last.agg(
+        n.alias("n_deals"),
+        F.count_if(is_open).alias("n_active"),
+        stalled.alias("n_stalled"),
+        F.when(n > 0, F.round(stalled * 100.0 / n, 1)).otherwise(0.0).cast("double").alias("stall_percent"),
+    )
+
+
+def current_stages(visits: DataFrame) -> DataFrame:
+    """stage, n_deals: the deals by the stage that they are in."""
+    return visits.filter("is_last").groupBy("stage").agg(F.count(F.lit(1)).alias("n_deals"))
+
+
+def analysis(visits: DataFrame, order: Sequence[str], now_us: int, stall_days: float) -> dict[str, DataFrame]:
+    """All reports on one set of visits, by name; cache the visits where several of them are read."""
+    return {
+        "summary": summary(visits, now_us, stall_days),
+        "transition_matrix": transition_matrix(visits),
+        "bottlenecks": bottlenecks(visits, stall_days),
+        "funnel": funnel(visits, order),
+        "current_stages": current_stages(visits),
+        "stalls": stalls(visits, now_us, stall_days),
+    }

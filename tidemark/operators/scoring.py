@@ -58,3 +58,39 @@ def shortest_first(rows: DataFrame, kind: str, text: str, key: str, n: int) -> D
     """The *n* shortest texts of each kind (a sampling operator)."""
     w = Window.partitionBy(kind).orderBy(F.length(text), key)
     return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
+
+
+def policy_loss(rollouts: DataFrame, group: str, reward: str, log_probs: str, baseline: str = "mean") -> DataFrame:
+    """One row: mean of -advantage x log chance over all steps (0 without steps), mean reward, mean advantage.
+
+    *log_probs* is an array per rollout; a rollout without steps counts for the two means only.
+    """
+    steps = F.filter(F.coalesce(log_probs, F.array().cast("array<double>")), lambda p: p.isNotNull())
+    scored = advantages(rollouts, group, reward, baseline)
+    loss = F.aggregate(steps, F.lit(0.0), lambda a, p: a - p * F.col("advantage"))
+    return scored.agg(
+        F.coalesce(F.sum(loss) / F.nullif(F.sum(F.size(steps)), F.lit(0)), F.lit(0.0)).alias("loss"),
+        F.avg(reward).alias("mean_reward"),
+        F.avg("advantage").alias("mean_advantage"),
+    )
+
+
+def overview(results: DataFrame, name: str, score: str) -> DataFrame:
+    """Each run with its mean score, n, its rank (ties by name) and how far it lies below the best."""
+    means = results.groupBy(name).agg(F.avg(score).alias("mean_score"), F.count(score).alias("n"))
+    w = Window.orderBy(F.desc_nulls_last("mean_score"), name)  # a row per run
+    best = F.max("mean_score").over(Window.partitionBy())
+    return means.select(name, "mean_score", "n", F.row_number().over(w).alias("rank"), (best - F.col("mean_score")).alias("below_best"))
+
+
+def query_grid(entities: DataFrame, templates: Sequence[tuple[str, str]], conditions: Sequence[str]) -> DataFrame:
+    """query_id, entity_id, query_type, condition, query_text: every template (type, wording with {name}) and condition for each entity.
+
+    *entities*: entity_id and name.  Templates and conditions are parameters, so the rows grow with the entities only.
+    """
+    asked = F.array(*(F.struct(F.lit(k).alias("query_type"), F.lit(t).alias("wording")) for k, t in templates))
+    rows = entities.select("entity_id", "name", F.explode(asked).alias("q")).withColumn("condition", F.explode(F.array(*map(F.lit, conditions))))
+    return rows.select(
+        F.concat_ws("_", F.col("entity_id").cast("string"), "q.query_type").alias("query_id"), "entity_id", "q.query_type", "condition",
+        F.replace(F.col("q.wording"), F.lit("{name}"), F.coalesce("name", F.lit("unknown"))).alias("query_text"),
+    )

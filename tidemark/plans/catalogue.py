@@ -972,6 +972,60 @@ def name_topk(spark, sf):
     return resolve.name_topk(asked, names.withColumn("aliases", F.lit(None).cast("array<string>")), 5).select("mention_id", "entity_id", F.round("score", 9).alias("score"), "rank")
 
 
+@query("pipeline_summary", """
+WITH d AS (SELECT CASE o_orderstatus WHEN 'O' THEN 'discovery' WHEN 'P' THEN 'proposal' WHEN 'F' THEN 'closed_won' END AS stage, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders),
+a AS (SELECT v, v * CAST(CASE stage WHEN 'discovery' THEN 0.15 ELSE 0.55 END AS DECIMAL(4,2)) AS w FROM d WHERE stage <> 'closed_won')
+SELECT (SELECT count(*) FROM d) AS n_deals, count(*) AS n_active, coalesce(CAST(sum(v) AS DOUBLE), 0) AS value,
+       coalesce(CAST(sum(w) AS DOUBLE), 0) AS weighted_value, coalesce(CAST(sum(v) AS DOUBLE) / nullif(count(*), 0), 0) AS mean_value FROM a
+""")
+def pipeline_summary(spark, sf):
+    o = load(spark, sf, "orders").select(scores.lookup(STATUS_STAGE, F.col("o_orderstatus")).alias("stage"), F.col("o_totalprice").alias("value"))
+    return deals.summary(o, scores.STAGE_CHANCE)
+
+
+@query("process_summary", f"""
+WITH {V}, l AS (SELECT *, outcome IS NULL AND ({NOW_US} - entered_us) / 86400e6 > 1 AS stalled FROM v WHERE is_last)
+SELECT count(*) AS n_deals, count(*) FILTER (outcome IS NULL) AS n_active, count(*) FILTER (stalled) AS n_stalled,
+       CAST(round(count(*) FILTER (stalled) * 100.0 / count(*), 1) AS DOUBLE) AS stall_percent FROM l
+""")
+def process_summary(spark, sf):
+    return process.summary(_visits(spark, sf), NOW_US, stall_days=1)
+
+
+@query("current_stages", f"""
+WITH {V} SELECT stage, count(*) AS n_deals FROM v WHERE is_last GROUP BY stage
+""")
+def current_stages(spark, sf):
+    return process.current_stages(_visits(spark, sf))
+
+
+@query("policy_loss", f"""
+WITH {T}, r AS (SELECT entity_id, k, avg(k) OVER (PARTITION BY entity_id) AS m, value FROM t)
+SELECT round(avg(-(k - m) * ln(1 / (1 + value))), 6) AS loss, round(avg(k), 6) AS mean_reward, round(abs(avg(k - m)), 6) AS mean_advantage FROM r
+""")
+def policy_loss(spark, sf):
+    t = _transitions(spark, sf).select("entity_id", F.col("k").cast("double").alias("k"), F.array(F.log(1 / (1 + F.col("value")))).alias("log_probs"))
+    out = scoring.policy_loss(t, "entity_id", "k", "log_probs")
+    return out.select(F.round("loss", 6).alias("loss"), F.round("mean_reward", 6).alias("mean_reward"), F.round(F.abs("mean_advantage"), 6).alias("mean_advantage"))
+
+
+@query("run_overview", """
+WITH m AS (SELECT source, avg(quality) AS mean_score, count(quality) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source)
+SELECT source, mean_score, n, row_number() OVER (ORDER BY mean_score DESC NULLS LAST, source) AS rank, max(mean_score) OVER () - mean_score AS below_best FROM m
+""")
+def run_overview(spark, sf):
+    return scoring.overview(_results(spark, sf), "source", "quality").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("query_grid", """
+SELECT c_custkey || '_' || q AS query_id, c_custkey AS entity_id, q AS query_type, condition, replace(w, '{name}', c_name) AS query_text
+FROM customer, (VALUES ('first', 'When did {name} first appear?'), ('trend', 'How has {name} changed?')) t(q, w), (VALUES ('raw'), ('relative')) c(condition)
+""")
+def query_grid(spark, sf):
+    named = load(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"))
+    return scoring.query_grid(named, [("first", "When did {name} first appear?"), ("trend", "How has {name} changed?")], ["raw", "relative"])
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return entity_velocity_topk(spark, sf)
 

@@ -124,3 +124,46 @@ def canonical_name(title: Column, name: Column) -> Column:
         fits = F.contains(title, F.lit(separator)) & F.contains(F.lower(head), F.lower(name)) & (F.length(head) < 50)
         out = F.when(fits, head) if out is None else out.when(fits, head)
     return out.otherwise(name)
+
+
+def best_url(urls: Column, name: Column, key_chars: int = 6) -> Column:
+    """The first address that holds the beginning of the name (without blanks and dashes), else the first, else nothing."""
+    squeezed = lambda c: F.translate(F.lower(c), " -", "")
+    key = F.substring(squeezed(name), 1, key_chars)
+    own = F.filter(urls, lambda u: F.contains(squeezed(u), key))
+    return F.coalesce(F.get(own, F.lit(0)), F.get(urls, F.lit(0)), F.lit(""))
+
+
+def profile_url(urls: Column, site: str = "linkedin.com") -> Column:
+    """The first address on a site, else nothing."""
+    return F.coalesce(F.get(F.filter(urls, lambda u: F.contains(u, F.lit(site))), F.lit(0)), F.lit(""))
+
+
+# The types of entities that are looked up, and names too general for it.
+GROUNDED_TYPES = ("tool", "organization", "concept")
+GENERAL_NAMES = ("python", "javascript", "html", "css", "sql", "git", "machine learning", "ai", "api", "database", "web")
+
+
+def grounded(entities: DataFrame, found: DataFrame) -> DataFrame:
+    """Entities with canonical, description, url and verified, from a table of search results.
+
+    *entities*: entity_id, name, type.  *found*: name (as searched), position, title, snippet, url; the
+    three first results of a name count, folded by an aggregate, and one join brings them to its entities.
+    General names stand as they are; other types, and names without results, are not verified.
+    """
+    key = F.lower("name")
+    kept = found.filter(F.col("position") <= 3).groupBy(key.alias("_key")).agg(F.array_sort(F.collect_list(F.struct("position", "title", "snippet", "url"))).alias("_found"))
+    general, kind = key.isin(*GENERAL_NAMES), F.col("type").isin(*GROUNDED_TYPES)
+    asked = entities.withColumn("_key", F.when(kind & ~general, key)).join(kept, "_key", "left")
+    first = lambda c: F.get(F.filter(F.transform("_found", lambda r: r[c]), lambda x: x != ""), F.lit(0))
+    names_it = lambda r: F.contains(F.lower(F.concat_ws(" ", r["title"], r["snippet"])), key)
+    title = F.element_at(F.filter("_found", names_it), -1)["title"]
+    known = kind & general
+    named = F.when(F.size(F.filter("_found", names_it)) > 0, canonical_name(title, F.col("name"))).otherwise(F.col("name"))
+    return asked.select(
+        *entities.columns,
+        F.when(known | F.col("_found").isNotNull(), F.when(known, F.col("name")).otherwise(named)).alias("canonical"),
+        F.when(known, F.concat(F.lit("Well-known "), F.col("type"))).otherwise(F.substring(first("snippet"), 1, 200)).alias("description"),
+        first("url").alias("url"),
+        (F.coalesce(known, F.lit(False)) | F.col("_found").isNotNull()).alias("verified"),
+    )
