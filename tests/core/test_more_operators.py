@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from tidemark.operators import memory, negotiation, process, quality, retrieve
+from tidemark.operators import batching, memory, negotiation, process, quality, retrieve
+from tidemark.sources import world_model
 
 
 def test_payoffs_and_time(spark):
@@ -44,3 +45,24 @@ def test_merged_sources_and_noise(spark):
     assert {r.name: (r.reasons, r.severity) for r in quality.noise(t, rules).collect()} == {"x": (["short"], "low"), "generic": (["generic_name"], "medium")}
     s = spark.createDataFrame([("Closed Won",), ("won",), ("LOST",), ("Pilot-Phase",)], "s string")
     assert [r[0] for r in s.select(process.stage_name(F.col("s"))).collect()] == ["closed_won", "closed_won", "closed_lost", "pilot_phase"]
+
+
+def test_extractions_apply_in_order(spark):
+    raw = [
+        (1, '{"entities": [{"name": "Ana-Maria", "state": "new"}, {"name": "ANA maria", "state": "again"}, {"name": ""}], "state_changes": [{"entity_name": "later", "to_state": "x"}, {"entity_name": "ana maria", "new_state": "y", "is_contradiction": true}]}'),
+        (2, '{"entities": [{"name": "Later"}], "relationships": [{"source": "later", "target": "Ana_Maria", "type": "uses"}, {"source": "later", "target": "nobody"}]}'),
+        (3, None),
+    ]
+    found = world_model.extraction(spark.createDataFrame(raw, "at long, text string"), "at", "text")
+    got = memory.upserted(found["entities"], found["state_changes"]).collect()
+    kinds = sorted((r.name, r.at, r.i, r.transition_type, r.summary) for r in got if r.summary is None)
+    assert kinds == [("ana maria", 1, 0, "creation", None), ("later", 2, 0, "creation", None)]
+    assert sorted((r.name, r.at, r.i, r.transition_type, r.state["description"]) for r in got if r.summary is not None) == [
+        ("ana maria", 1, 1, "contradiction", "y"), ("ana maria", 1, 1, "update", "again"),
+    ]
+    assert [(r.source, r.target, r.at, r.type) for r in memory.linked(found["relationships"], found["entities"]).collect()] == [("later", "ana maria", 2, "uses")]
+
+
+def test_no_characters_count_as_none(spark):
+    c = spark.createDataFrame([(1, "d", 1, None), (2, "d", 2, 30), (3, "d", 3, 80), (4, "d", 4, None), (5, None, 1, 5)], "k long, day string, o long, n long")
+    assert {(r.k, r.batch) for r in batching.daily_batches(c, "k", "day", "o", "n", 100).collect()} == {(1, "d-1"), (2, "d-1"), (3, "d-2"), (4, "d-2"), (5, None)}

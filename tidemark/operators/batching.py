@@ -16,12 +16,12 @@ def daily_totals(conversations: DataFrame, day: str, chars: str) -> DataFrame:
 def daily_batches(conversations: DataFrame, key: str, day: str, order: str, chars: str, max_chars: int = 80_000) -> DataFrame:
     """Each conversation with its batch: the day, or day-1, day-2 … where a day has more than *max_chars*.
 
-    Greedy: a batch closes before the conversation that would take it over the limit.
+    No characters (null) count as 0.  Greedy: a batch closes before the conversation that would take it over the limit.
     The resetting sum is sequential, so each day's (key, chars) rows stream once, sorted,
     through Python; texts do not.
     """
 
-    narrow = conversations.select(F.col(key).alias("k"), F.col(day).cast("string").alias("d"), F.col(order).alias("o"), F.col(chars).cast("long").alias("c"))
+    narrow = conversations.select(F.col(key).alias("k"), F.col(day).cast("string").alias("d"), F.col(order).alias("o"), F.coalesce(F.col(chars).cast("long"), F.lit(0)).alias("c"))
     sized = narrow.withColumn("total", F.sum("c").over(Window.partitionBy("d")))
     kind = narrow.schema["k"].dataType
     ddl = f"{key} {kind.simpleString()}, batch string"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_name
+
 
 def applied(resolved: DataFrame, batch_us: int) -> DataFrame:
     """New transitions of resolved mentions: entity_id, us, transition_type, summary.
@@ -17,6 +19,42 @@ def applied(resolved: DataFrame, batch_us: int) -> DataFrame:
     return resolved.select(entity.alias("entity_id"), F.lit(batch_us).alias("us"), kind.alias("transition_type"), "summary")
 
 
+def births(entities: DataFrame) -> DataFrame:
+    """name (normalised), born (at, i): the first mention of every name that is not empty, of entities (at, i, name)."""
+    named = entities.select(normalize_name("name").alias("name"), F.struct("at", "i").alias("place")).filter("name <> ''")
+    return named.groupBy("name").agg(F.min("place").alias("born"))
+
+
+def upserted(entities: DataFrame, changes: DataFrame) -> DataFrame:
+    """Transitions of whole extractions, any number at once: name, at, i, transition_type, state, summary.
+
+    *entities*: at, i, name, state; *changes*: at, i, entity_name, to_state, what_changed, is_contradiction;
+    ``at`` orders the extractions and ``i`` the rows of one.  The first mention of a name creates it, later
+    ones update it.  A change applies from the extraction on that creates its name, whose entities come first;
+    one of an unknown name goes.  Mentions and changes that are told twice apply twice.
+    """
+    told = entities.select(
+        normalize_name("name").alias("name"), "at", "i", F.lit(False).alias("is_change"), F.lit(False).alias("against"), "state", F.lit("Updated from session").alias("summary"),
+    )
+    changed = changes.select(
+        normalize_name("entity_name").alias("name"), "at", "i", F.lit(True).alias("is_change"), F.coalesce("is_contradiction", F.lit(False)).alias("against"),
+        F.create_map(F.lit("description"), F.coalesce("to_state", F.lit(""))).alias("state"), F.coalesce("what_changed", F.lit("state changed")).alias("summary"),
+    )
+    first = ~F.col("is_change") & (F.struct("at", "i") == F.col("born"))
+    kind = F.when(first, "creation").when(F.col("against"), "contradiction").otherwise("update")
+    known = told.unionByName(changed).join(births(entities), "name").filter(F.col("at") >= F.col("born.at"))
+    return known.select("name", "at", "i", kind.alias("transition_type"), "state", F.when(~first, F.col("summary")).alias("summary"))
+
+
+def linked(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """source, target (normalised), at, type, description: relations (at, source, target, type, description) of which both ends are known by then."""
+    known = births(entities).select("name", F.col("born.at").alias("born"))
+    at = lambda end: known.select(F.col("name").alias(end), F.col("born").alias(f"{end}_born"))
+    r = relations.select(normalize_name("source").alias("source"), normalize_name("target").alias("target"), "at", "type", "description")
+    met = r.join(at("source"), "source").join(at("target"), "target")
+    return met.filter("at >= source_born and at >= target_born").select("source", "target", "at", "type", "description")
+
+
 def with_aliases(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     """Entities with the distinct mentioned names (entity_id, name) that differ from their own added to the aliases."""
     seen = mentions.select("entity_id", F.col("name").alias("alias")).distinct()

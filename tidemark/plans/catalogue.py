@@ -543,7 +543,19 @@ def k_hop(spark, sf):
     return graph.within_hops(views.edges(spark, sf), seeds, 3)
 
 
-@query("scored_paths")
+@query("scored_paths", f"""
+WITH {EDGES}, k AS (SELECT *, least(node, other) || ' ' || greatest(node, other) AS edge, CAST(CASE type WHEN 'located_in' THEN 1 ELSE 0.3 END AS DOUBLE) AS factor FROM b),
+s AS (SELECT ['s1'] AS nodes, CAST([] AS VARCHAR[]) AS types, CAST(1 AS DOUBLE) AS score UNION ALL SELECT ['c5'], CAST([] AS VARCHAR[]), CAST(0.9 AS DOUBLE)),
+h1 AS (
+  SELECT edge, list_append(nodes, other) AS nodes, list_append(types, type) AS types, score * CAST(0.8 AS DOUBLE) * factor AS score FROM s JOIN k ON node = nodes[-1]),
+p1 AS (SELECT * FROM h1 QUALIFY row_number() OVER (PARTITION BY edge ORDER BY score DESC, nodes, types) = 1),
+h2 AS (
+  SELECT k.edge, list_append(nodes, other) AS nodes, list_append(types, type) AS types, score * CAST(0.8 AS DOUBLE) * factor AS score FROM p1 JOIN k ON node = nodes[-1]
+  WHERE k.edge NOT IN (SELECT edge FROM p1)),
+p2 AS (SELECT * FROM h2 QUALIFY row_number() OVER (PARTITION BY edge ORDER BY score DESC, nodes, types) = 1),
+p AS (SELECT nodes, types, score FROM s UNION ALL SELECT nodes, types, score FROM p1 UNION ALL SELECT nodes, types, score FROM p2)
+SELECT array_to_string(nodes, ' ') AS path, array_to_string(types, ' ') AS types, score FROM p
+""")
 def scored_paths(spark, sf):
     seeds = spark.createDataFrame([("s1", 1.0), ("c5", 0.9)], "node string, score double")
     return graph.scored_paths(views.edges(spark, sf), seeds, 2, ("located_in",)).select(F.array_join("nodes", " ").alias("path"), F.array_join("types", " ").alias("types"), "score")
@@ -785,7 +797,19 @@ def _daily(spark, sf):
     return c.withColumn("day", times.from_epoch(F.col("created_us") / 1e6).cast("date"))
 
 
-@query("daily_batches")
+@query("daily_batches", """
+WITH RECURSIVE c AS (
+  SELECT conv_id, CAST(TIMESTAMP '2024-01-01' + to_hours(conv_id) AS DATE) AS d, coalesce(sum(length(text)), 0) AS n
+  FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY conv_id) AS r, sum(n) OVER (PARTITION BY d) AS total FROM c),
+g AS (
+  SELECT conv_id, d, r, total, n AS held, 1 AS sub FROM o WHERE r = 1
+  UNION ALL
+  SELECT o.conv_id, o.d, o.r, o.total, CASE WHEN g.held > 0 AND g.held + o.n > 20000 AND o.total > 20000 THEN o.n ELSE g.held + o.n END,
+         g.sub + CASE WHEN g.held > 0 AND g.held + o.n > 20000 AND o.total > 20000 THEN 1 ELSE 0 END
+  FROM g JOIN o ON o.d = g.d AND o.r = g.r + 1)
+SELECT conv_id, CASE WHEN total <= 20000 THEN CAST(d AS VARCHAR) ELSE CAST(d AS VARCHAR) || '-' || sub END AS batch FROM g
+""")
 def daily_batches(spark, sf):
     return batching.daily_batches(_daily(spark, sf), "conv_id", "day", "created_us", "chars", 20_000)
 
@@ -1026,6 +1050,40 @@ def query_grid(spark, sf):
     return scoring.query_grid(named, [("first", "When did {name} first appear?"), ("trend", "How has {name} changed?")], ["raw", "relative"])
 
 
+# Events as extractions: an error is a change that contradicts what was viewed, the others are mentions; each links both.
+TOLD = f"{T}, m AS (SELECT event_type || ' ' || k AS name, ord FROM t WHERE event_type <> 'error'), born AS (SELECT name, min(ord) AS born FROM m GROUP BY name)"
+
+
+def _told(spark, sf):
+    t = _transitions(spark, sf).select(F.col("ord").alias("at"), F.lit(0).alias("i"), "event_type", F.col("k").cast("string").alias("k"), F.col("value").cast("string").alias("value"))
+    worded = F.concat_ws("-", F.initcap("event_type"), "k")
+    entities = t.filter("event_type <> 'error'").select("at", "i", worded.alias("name"), F.create_map(F.lit("value"), F.col("value")).alias("state"))
+    viewed = F.concat(F.lit("VIEW "), F.col("k"))
+    changes = t.filter("event_type = 'error'").select("at", "i", viewed.alias("entity_name"), F.col("value").alias("to_state"), F.lit("error").alias("what_changed"), F.lit(True).alias("is_contradiction"))
+    relations = t.select("at", worded.alias("source"), viewed.alias("target"), F.lit("related_to").alias("type"), F.lit("").alias("description"))
+    return entities, changes, relations
+
+
+@query("extraction_transitions", f"""
+WITH {TOLD}
+SELECT name, ord AS at, CASE WHEN ord = born THEN 'creation' ELSE 'update' END AS transition_type, CASE WHEN ord > born THEN 'Updated from session' END AS summary FROM m JOIN born USING (name)
+UNION ALL
+SELECT name, ord, 'contradiction', 'error' FROM (SELECT 'view ' || k AS name, ord FROM t WHERE event_type = 'error') c JOIN born USING (name) WHERE ord >= born
+""")
+def extraction_transitions(spark, sf):
+    entities, changes, _ = _told(spark, sf)
+    return memory.upserted(entities, changes).select("name", "at", "transition_type", "summary")
+
+
+@query("extraction_links", f"""
+WITH {TOLD}, r AS (SELECT event_type || ' ' || k AS source, 'view ' || k AS target, ord FROM t)
+SELECT source, target, count(*) AS n FROM r JOIN born a ON a.name = source JOIN born b ON b.name = target WHERE ord >= a.born AND ord >= b.born GROUP BY source, target
+""")
+def extraction_links(spark, sf):
+    entities, _, relations = _told(spark, sf)
+    return memory.linked(relations, entities).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return entity_velocity_topk(spark, sf)
 

@@ -49,29 +49,29 @@ def write_json(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def extraction(raw: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
-    """entities, state_changes and relationships of a model's JSON, with defaults.
+    """entities, state_changes and relationships of a model's JSON, with defaults; ``i`` is the place in its list.
 
     Unknown types become ``concept`` and ``related_to``; a state that is a string becomes its
     description; ``old_state`` and ``new_state`` stand in for ``from_state`` and ``to_state``.
     """
     parsed = raw.select(key, F.from_json(text, schemas.EXTRACTION, {"mode": "PERMISSIVE"}).alias("x"))
-    rows = lambda name: parsed.select(key, F.explode(f"x.{name}").alias("r")).select(key, "r.*")
+    rows = lambda name: parsed.select(key, F.posexplode(f"x.{name}").alias("i", "r")).select(key, "i", "r.*")
     known = lambda c, values, default: F.when(F.lower(c).isin(*values), F.lower(c)).otherwise(default)
     text_of = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b)
     is_object = F.startswith(F.ltrim("state"), F.lit("{"))
     state = F.when(is_object, F.from_json("state", "map<string,string>")).otherwise(F.create_map(F.lit("description"), F.coalesce("state", F.lit(""))))
     return {
         "entities": rows("entities").select(
-            key, F.coalesce("name", F.lit("")).alias("name"), known(F.col("type"), schemas.ENTITY_TYPES, "concept").alias("type"), state.alias("state"),
+            key, "i", F.coalesce("name", F.lit("")).alias("name"), known(F.col("type"), schemas.ENTITY_TYPES, "concept").alias("type"), state.alias("state"),
             F.coalesce("is_new", F.lit(True)).alias("is_new"), "matches_existing", F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
         ),
         "state_changes": rows("state_changes").select(
-            key, F.coalesce("entity_name", F.lit("")).alias("entity_name"), F.coalesce("what_changed", F.lit("")).alias("what_changed"),
+            key, "i", F.coalesce("entity_name", F.lit("")).alias("entity_name"), F.coalesce("what_changed", F.lit("")).alias("what_changed"),
             text_of(F.col("from_state"), F.col("old_state")).alias("from_state"), F.coalesce(text_of(F.col("to_state"), F.col("new_state")), F.lit("")).alias("to_state"),
             F.coalesce("is_contradiction", F.lit(False)).alias("is_contradiction"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
         ),
         "relationships": rows("relationships").select(
-            key, F.coalesce("source", F.lit("")).alias("source"), F.coalesce("target", F.lit("")).alias("target"),
+            key, "i", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("target", F.lit("")).alias("target"),
             known(F.col("type"), schemas.RELATIONSHIP_TYPES, "related_to").alias("type"), F.coalesce("description", F.lit("")).alias("description"),
         ),
     }
