@@ -52,6 +52,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` wrote; nothing may read it afterwards."""
+    spark = df.sparkSession
+    base, jvm = shared_dir(spark), spark.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if jvm.org.apache.hadoop.fs.Path(base).toUri().getPath() in path.toUri().getPath():
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that *df* does not have yet."""
     taken = {c.lower() for c in df.columns}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .centroids import OP12_SQL, op12_drake_clusters
 from .chat import OP5_SQL, op5_chat_formatting
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .media import op2_media_columns
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_drake_clusters": op12_drake_clusters,
 }
 
 #: Those that SQL can express; the tests hold the others against brute force, a round trip or held-out rows.
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op5_chat_formatting": OP5_SQL,
     "op9_warc": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_drake_clusters": OP12_SQL,
 }
