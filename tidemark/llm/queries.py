@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7_byte_bpe
 from .centroids import OP12_SQL, op12_drake_clusters
 from .chat import OP5_SQL, op5_chat_formatting
+from .circulant import OP11_SQL, op11_circulant_minhash
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .media import op2_media_columns
 from .ngram_join import op8_ngram_jaccard_join
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_circulant_minhash": op11_circulant_minhash,
     "op12_drake_clusters": op12_drake_clusters,
 }
 
@@ -33,5 +35,6 @@ ORACLE_SQL = {
     "op5_chat_formatting": OP5_SQL,
     "op9_warc": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_circulant_minhash": OP11_SQL,
     "op12_drake_clusters": OP12_SQL,
 }
