@@ -11,6 +11,7 @@ from .media import op2_media_columns
 from .ngram_join import op8_ngram_jaccard_join
 from .packing import op1_packing
 from .secrets import op6_secret_scans
+from .spelling import OP13_SQL, op13_spelling_variants
 from .toxicity import op4_toxicity
 from .url_filter import op3_url_filters
 from .warc import OP9_SQL, op9_warc
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_circulant_minhash": op11_circulant_minhash,
     "op12_drake_clusters": op12_drake_clusters,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: Those that SQL can express; the tests hold the others against brute force, a round trip or held-out rows.
@@ -37,4 +39,5 @@ ORACLE_SQL = {
     "op10_exact_dedup": OP10_SQL,
     "op11_circulant_minhash": OP11_SQL,
     "op12_drake_clusters": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
