@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +13,34 @@ from .graph import settled
 FACT = ("start", "end", "subject", "role")
 
 
-def overlapping(facts: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+def _cells(start: Column, end: Column, width: int) -> Column:
+    """The cells of a time grid (*width* in the units of the bounds) that a half-open interval touches; none if it is empty."""
+    cell = lambda c: F.floor(c / width).cast("long")
+    return F.when(start < end, F.sequence(cell(start), cell(end - 1))).otherwise(F.array().cast("array<long>"))
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    """Dates as days, so that bounds are whole numbers."""
+    return F.unix_date(column) if df.schema[column].dataType.typeName() == "date" else F.col(column)
+
+
+def overlapping(facts: DataFrame, start: str = "start", end: str = "end", width: int | None = None) -> DataFrame:
     """Pairs of different facts on one object whose half-open intervals overlap, each pair once.
 
-    a_* precedes b_* in the order of (start, end, subject, role).
+    a_* precedes b_* in the order of (start, end, subject, role).  An object is cut into cells of a time
+    grid (*width*: 4 years, or 365 days for dates): a fact stands in all cells that it touches and asks in that of its start, so a pair meets
+    once, in the cell of its later start, and a hot object is spread over its cells.
     """
-    a, b = facts.select(*(F.col(c).alias(f"a_{c}") for c in facts.columns)), facts.select(*(F.col(c).alias(f"b_{c}") for c in facts.columns))
+    width = width or (365 if facts.schema[start].dataType.typeName() == "date" else 4)
+    x, y = _number(facts, start), _number(facts, end)
+    stand = facts.withColumn("_cell", F.explode(_cells(x, y, width)))
+    ask = facts.filter(x < y).withColumn("_cell", F.floor(x / width).cast("long"))
+    a = stand.select(*(F.col(c).alias(f"a_{c}") for c in facts.columns), "_cell")
+    b = ask.select(*(F.col(c).alias(f"b_{c}") for c in facts.columns), "_cell")
     names = dict.fromkeys([start, end, "subject", "role"])
     before = F.struct(*(F.col(f"a_{c}") for c in names)) < F.struct(*(F.col(f"b_{c}").alias(f"a_{c}") for c in names))
-    cross = F.greatest(F.col(f"a_{start}"), F.col(f"b_{start}")) < F.least(F.col(f"a_{end}"), F.col(f"b_{end}"))
-    return a.join(b, (F.col("a_object") == F.col("b_object")) & cross & before)
+    met = F.col(f"b_{start}") < F.col(f"a_{end}")
+    return a.join(b, (F.col("a_object") == F.col("b_object")) & a["_cell"].eqNullSafe(b["_cell"]) & met & before).select(*(f"{p}_{c}" for p in "ab" for c in facts.columns))
 
 
 def overlap_counts(facts: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
@@ -46,12 +65,69 @@ def overlap_counts(facts: DataFrame, start: str = "start", end: str = "end") ->
     return counted.drop("began_before", "ended_by")
 
 
-def capped_overlaps(facts: DataFrame, k: int) -> DataFrame:
-    """For each fact at most *k* facts that overlap it, in the order of (start, end, subject, role)."""
-    both = overlapping(facts)
-    flip = both.select(*(F.col("b" + c[1:] if c[0] == "a" else "a" + c[1:]).alias(c) for c in both.columns))
+def capped_overlaps(facts: DataFrame, k: int, width: int = 4) -> DataFrame:
+    """For each different fact at most *k* facts that overlap it, in the order of (start, end, subject, role).
+
+    No pairs beyond those are made.  Each cell of the time grid is swept once in that order: a fact gets the first
+    *k* that are still open when it starts, and is handed to every open one that has fewer than *k* from this cell.  The
+    best *k* of a fact's cells are its answer.
+    """
+    one = facts.select("object", *FACT).distinct()
+    cells = one.withColumn("cell", F.explode(_cells(F.col("start"), F.col("end"), width)))
+    ordered = cells.repartition("object", "cell").sortWithinPartitions("object", "cell", *FACT)
+    kinds = {c: one.schema[c].dataType.simpleString() for c in ("object", *FACT)}
+    names = ["a_object", *(f"a_{c}" for c in FACT), "b_object", *(f"b_{c}" for c in FACT)]
+    ddl = ", ".join(f"{n} {kinds[n[2:]]}" for n in names)
+
+    def run(batches):
+        now, sweep = None, None
+        for batch in batches:
+            out = []
+            for object_, cell, *fact in zip(*(c.to_pylist() for c in batch.columns)):
+                if (object_, cell) != now:
+                    now, sweep = (object_, cell), Sweep(k)
+                out += [(object_, *a, object_, *b) for a, b in sweep.met(tuple(fact), fact[0] // width == cell)]
+            columns = zip(*out) if out else [[] for _ in names]
+            types = [batch.schema.field(n[2:]).type for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    found = ordered.select("object", "cell", *FACT).mapInArrow(run, ddl)
     w = Window.partitionBy("a_object", *(f"a_{c}" for c in FACT)).orderBy(*(f"b_{c}" for c in FACT))
-    return both.unionByName(flip).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+class Sweep:
+    """Facts (start, end, ...) of one cell in order; at most *k* partners for each before and after it."""
+
+    def __init__(self, k: int):
+        self.k, self.open, self.hungry, self.closed = k, [], [], 0
+
+    def met(self, fact: tuple, starts_here: bool) -> list[tuple[tuple, tuple]]:
+        """(asking fact, its partner) pairs; facts from earlier cells only wait to be met."""
+        pairs = []
+        if starts_here:
+            n = self.closed = 0
+            for other in self.open:
+                if other[1] <= fact[0]:
+                    self.closed += 1
+                    continue
+                pairs.append((fact, other))
+                n += 1
+                if n == self.k:
+                    break
+            if self.closed > 16 and 2 * self.closed > len(self.open):
+                self.open = [x for x in self.open if x[1] > fact[0]]
+            still = []
+            for entry in self.hungry:
+                if entry[0][1] > fact[0]:
+                    pairs.append((entry[0], fact))
+                    entry[1] += 1
+                    if entry[1] < self.k:
+                        still.append(entry)
+            self.hungry = still
+        self.open.append(fact)
+        self.hungry.append([fact, 0])
+        return pairs
 
 
 def holding_in(facts: DataFrame, years: Sequence[int]) -> DataFrame:

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_name
+from ..functions.text import normal_score, normalize_name
+from .resolve import candidate_names
+
+#: The least score by which a correction means a name.
+CORRECTION_LEAST = 0.7
 
 
 def applied(resolved: DataFrame, batch_us: int) -> DataFrame:
@@ -46,6 +50,34 @@ def upserted(entities: DataFrame, changes: DataFrame) -> DataFrame:
     return known.select("name", "at", "i", kind.alias("transition_type"), "state", F.when(~first, F.col("summary")).alias("summary"))
 
 
+def correction_targets(entities: DataFrame, corrections: DataFrame, least: float = CORRECTION_LEAST) -> DataFrame:
+    """at, i, name, score: the best name that each correction (at, i, what) can mean among those known by then.
+
+    An as-of similarity join: names of *entities* (at, i, name) count from the conversation that first tells
+    them, whose entities come before its corrections; the best score of *least* or more wins, then the name born first.
+    """
+    known = births(entities)
+    asked = corrections.select("at", "i", normalize_name("what").alias("na")).filter("na <> ''")
+    names = candidate_names(asked.select(F.col("na").alias("normal")), known.select(F.col("name").alias("normal")), least)
+    scored = names.withColumn("score", normal_score(F.col("na"), F.col("nb"))).filter(F.col("score") >= least)
+    met = asked.join(scored, "na").join(known.withColumnRenamed("name", "nb"), "nb").filter(F.col("born.at") <= F.col("at"))
+    best = F.min(F.struct((-F.col("score")).alias("minus"), "born", "nb")).alias("x")
+    return met.groupBy("at", "i").agg(best).select("at", "i", F.col("x.nb").alias("name"), (-F.col("x.minus")).alias("score"))
+
+
+def remembered(entities: DataFrame, corrections: DataFrame, least: float = CORRECTION_LEAST) -> DataFrame:
+    """Transitions of feedback conversations, all at once: name, at, i, transition_type, state, summary.
+
+    *entities*: at, i, name, state; *corrections*: at, i, what, right, wrong.  Mentions create or update as in
+    :func:`upserted`; a correction contradicts the name that it means, and one that means none goes.
+    """
+    empty = corrections.limit(0).select("at", "i", F.lit("").alias("entity_name"), F.lit("").alias("to_state"), F.lit("").alias("what_changed"), F.lit(False).alias("is_contradiction"))
+    meant = correction_targets(entities, corrections, least).join(corrections, ["at", "i"])
+    state = F.create_map(F.lit("corrected"), F.coalesce("right", F.lit("")), F.lit("was_wrong"), F.coalesce("wrong", F.lit("")))
+    against = meant.select("name", "at", "i", F.lit("contradiction").alias("transition_type"), state.alias("state"), F.concat(F.lit("Correction: "), F.col("what")).alias("summary"))
+    return upserted(entities, empty).unionByName(against)
+
+
 def linked(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """source, target (normalised), at, type, description: relations (at, source, target, type, description) of which both ends are known by then."""
     known = births(entities).select("name", F.col("born.at").alias("born"))

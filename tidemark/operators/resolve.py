@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_score, normalize_name
-from .graph import connected_components
+from .graph import connected_components, settled
 
 STRING_ACCEPT, STRING_MATCH = 0.90, 0.85
 VECTOR_ACCEPT, VECTOR_MAYBE = 0.78, 0.70
@@ -63,7 +63,7 @@ def near_keys(name: str, threshold: float) -> list[str]:
 
 
 def _keys(threshold: float):
-    """Columns of near_keys and of all beginnings that a contained name can have."""
+    """Columns of near_keys, of all short pieces that a name holds, and of those a contained name is looked up by."""
 
     @F.pandas_udf("array<string>")
     def near(names: pd.Series) -> pd.Series:
@@ -73,23 +73,37 @@ def _keys(threshold: float):
     def parts(names: pd.Series) -> pd.Series:
         return names.map(lambda x: sorted({x[i : i + n] for n in range(1, CONTAINED_CHARS + 1) for i in range(len(x) - n + 1)}))
 
-    return near, parts
+    @F.pandas_udf("array<string>")
+    def longest(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: sorted({x[i : i + CONTAINED_CHARS] for i in range(max(1, len(x) - CONTAINED_CHARS + 1))}))
+
+    return near, parts, longest
+
 
+def candidate_names(a: DataFrame, b: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """na, nb: the pairs of normalised names (normal) of *a* and *b* that can match, none left out: near in their letters, or one in the other.
 
-def candidate_names(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """na, nb: the pairs of normalised names (normal) of *a* and *b* that can match, none left out: near in their letters, or one in the other."""
-    near, parts = _keys(threshold)
-    share = threshold / (2 - threshold)
-    x, y = a.select(F.col("normal").alias("na")).distinct(), b.select(F.col("normal").alias("nb")).distinct()
-    by_key = x.withColumn("key", F.explode(near("na"))).join(y.withColumn("key", F.explode(near("nb"))), "key").drop("key")
+    Pairs are of equal *by* columns, which are part of every join key.
+    """
+    near, parts, longest = _keys(threshold)
+    share, on = threshold / (2 - threshold), [*by, "key"]
+    x, y = a.select(*by, F.col("normal").alias("na")).distinct(), b.select(*by, F.col("normal").alias("nb")).distinct()
+    by_key = x.withColumn("key", F.explode(near("na"))).join(y.withColumn("key", F.explode(near("nb"))), on).drop("key")
     by_key = by_key.filter(F.least(F.length("na"), F.length("nb")) >= F.greatest(F.length("na"), F.length("nb")) * F.lit(share - 1e-9))
-    return by_key.unionByName(_contained(x, y, "na", "nb", parts)).unionByName(_contained(y, x, "nb", "na", parts)).distinct()
+    return by_key.unionByName(_contained(x, y, "na", "nb", parts, longest, by)).unionByName(_contained(y, x, "nb", "na", parts, longest, by)).distinct()
+
 
+def _contained(inner: DataFrame, outer: DataFrame, i: str, o: str, parts, longest, by: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs whose *outer* name holds the *inner* one, looked up by that piece of the inner one that the fewest outer names hold.
 
-def _contained(inner: DataFrame, outer: DataFrame, i: str, o: str, parts) -> DataFrame:
-    """The pairs whose *outer* name holds the *inner* one, looked up by the inner one's beginning."""
-    begun = inner.withColumn("key", F.substring(i, 1, CONTAINED_CHARS))
-    return begun.join(outer.withColumn("key", F.explode(parts(o))), "key").filter(F.contains(o, i)).select("na", "nb")
+    A piece has CONTAINED_CHARS characters, or is the whole name where that is shorter; names with one common beginning meet only where their rare parts agree.
+    """
+    on = [*by, "key"]
+    pieces = outer.withColumn("key", F.explode(parts(o)))
+    holders = pieces.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    asked = inner.withColumn("key", F.explode(longest(i))).join(holders, on, "left")
+    rarest = asked.groupBy(*by, i).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("x")).filter("x.n > 0").select(*by, i, "x.key")
+    return rarest.join(pieces, on).filter(F.contains(o, i)).select(*by, "na", "nb")
 
 
 def fuzzy_matches(mentions: DataFrame, entities: DataFrame, threshold: float = STRING_MATCH) -> DataFrame:
@@ -147,9 +161,9 @@ def duplicate_pairs(entities: DataFrame, threshold: float = STRING_MATCH) -> Dat
     known = entities.select("entity_id", "type", normalize_name("name").alias("normal")).filter("normal <> ''")
     heads = known.groupBy("type", "normal").agg(F.min("entity_id").alias("head"))
     same = known.join(heads, ["type", "normal"]).filter("entity_id <> head").select(F.col("head").alias("a"), F.col("entity_id").alias("b"), F.lit(1.0).alias("score"))
-    names = candidate_names(heads, heads, threshold)
+    names = candidate_names(heads, heads, threshold, ("type",))
     x, y = (heads.select(F.col("normal").alias("n" + p), "type", F.col("head").alias(p)) for p in "ab")
-    pairs = names.join(x, "na").join(y, ["nb", "type"]).filter("a < b").withColumn("score", normal_score(F.col("na"), F.col("nb")))
+    pairs = names.join(x, ["na", "type"]).join(y, ["nb", "type"]).filter("a < b").withColumn("score", normal_score(F.col("na"), F.col("nb")))
     return pairs.filter(F.col("score") >= threshold).select("a", "b", "score").unionByName(same)
 
 
@@ -166,19 +180,53 @@ def duplicate_clusters(entities: DataFrame, threshold: float = STRING_MATCH) ->
 def containment_pairs(names: DataFrame) -> DataFrame:
     """a, b: distinct names (a < b) of which one contains the other, wherever."""
     n = names.select("name", normalize_name("name").alias("normal")).filter("normal <> ''").distinct()
-    parts = _keys(1.0)[1]
+    _, parts, longest = _keys(1.0)
     x, y = (n.select(F.col("name").alias(p), F.col("normal").alias("n" + p)) for p in "ab")
-    held = _contained(x.select("na").distinct(), y.select("nb").distinct(), "na", "nb", parts)
+    held = _contained(x.select("na").distinct(), y.select("nb").distinct(), "na", "nb", parts, longest)
     both = held.join(x, "na").join(y, "nb").filter(F.col("a") != F.col("b"))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def first_leaders(edges: DataFrame) -> DataFrame:
+    """node, leader of every node of a match graph (a, b): taken in their order, a node leads if it matches no earlier leader, else the first one it matches leads it.
+
+    Being led is not handed on: a node that matches only led nodes leads.  In each round the
+    nodes without an earlier open neighbour lead, their neighbours are led, and only edges between open nodes go on;
+    rounds are as many as the longest chain of such decisions.
+    """
+    every = settled(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    nodes = settled(every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node"))).distinct())
+    open_, leaders = every, None
+    while True:
+        new = settled(nodes.join(open_.select(F.col("b").alias("node")), "node", "left_anti"))
+        leaders = new if leaders is None else leaders.unionByName(new)
+        led = open_.join(new.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        nodes = settled(nodes.join(new, "node", "left_anti").join(led, "node", "left_anti"))
+        if nodes.isEmpty():
+            break
+        open_ = settled(open_.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").join(nodes.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"))
+    leaders = settled(leaders)
+    led = every.join(leaders.withColumnRenamed("node", "a"), "a", "left_semi").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))
+    return led.unionByName(leaders.select("node", F.col("node").alias("leader")))
+
+
 def in_batch(mentions: DataFrame, threshold: float = STRING_MATCH) -> DataFrame:
-    """mention_id, representative: mentions (mention_id, mention, type) of one batch and type that match, even by way of others, share the smallest id."""
-    pairs = duplicate_pairs(mentions.select(F.col("mention_id").alias("entity_id"), "type", F.col("mention").alias("name")), threshold)
-    found = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    joined = mentions.select("mention_id").join(found.withColumnRenamed("node", "mention_id"), "mention_id", "left")
-    return joined.select("mention_id", F.coalesce("component", "mention_id").alias("representative"))
+    """mention_id, representative of each mention (mention_id, mention, type[, batch]), in the order of their ids within a batch and type.
+
+    A mention is compared with earlier representatives only, so likeness does not chain; the first one
+    that matches represents it.  Of equal names one stands for all; names without a letter represent themselves.
+    """
+    by = ("batch", "type")
+    rows = mentions if "batch" in mentions.columns else mentions.withColumn("batch", F.lit(0))
+    known = rows.select(*by, "mention_id", normalize_name("mention").alias("normal"))
+    named = known.filter("normal <> ''")
+    heads = settled(named.groupBy(*by, "normal").agg(F.min("mention_id").alias("head")))
+    x, y = (heads.select(*by, F.col("normal").alias("n" + p), F.col("head").alias(p)) for p in "ab")
+    pairs = candidate_names(heads, heads, threshold, by).join(x, [*by, "na"]).join(y, [*by, "nb"]).filter("a < b")
+    edges = pairs.filter(normal_score(F.col("nb"), F.col("na")) >= threshold)  # the later name is held against the earlier one
+    led = first_leaders(edges.select("a", "b")).withColumnRenamed("node", "head")
+    found = named.join(heads, [*by, "normal"]).join(led, "head", "left").select("mention_id", F.coalesce("leader", "head").alias("representative"))
+    return found.unionByName(known.filter("normal is null or normal = ''").select("mention_id", F.col("mention_id").alias("representative")))
 
 
 def report(decisions: DataFrame) -> DataFrame:

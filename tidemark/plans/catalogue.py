@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, times, vectors
-from ..operators import batching, bitemporal, conversations, deals, facts, graph, history, memory, negotiation, process, quality, resolve, retrieve, scoring
+from ..operators import batching, bitemporal, conversations, deals, fact_narrative, facts, graph, history, memory, negotiation, process, quality, resolve, retrieve, scoring, subgraph
 from ..operators import compile as narrate
 from . import views
 from .views import load
@@ -1084,6 +1084,163 @@ def extraction_links(spark, sf):
     return memory.linked(relations, entities).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
+# -- batches, seeds, subgraphs, narratives -----------------------------------------------------------
+
+
+@query("batch_leaders", """
+WITH RECURSIVE c AS (
+  SELECT c_custkey AS id, c_nationkey AS batch, c_mktsegment AS type, CAST(c_acctbal AS DOUBLE) AS bal, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS r FROM customer),
+step AS (
+  SELECT batch, type, r, id, id AS leader, [{'id': id, 'bal': bal}] AS leaders FROM c WHERE r = 1
+  UNION ALL
+  SELECT c.batch, c.type, c.r, c.id, coalesce(near[1].id, c.id), CASE WHEN len(near) = 0 THEN list_append(leaders, {'id': c.id, 'bal': c.bal}) ELSE leaders END
+  FROM (SELECT s.*, c.id AS next, list_filter(s.leaders, lambda l: abs(l.bal - c.bal) < 600) AS near FROM step s JOIN c ON c.batch = s.batch AND c.type = s.type AND c.r = s.r + 1) x JOIN c ON c.id = x.next)
+SELECT id AS mention_id, leader AS representative FROM step
+""")
+def batch_leaders(spark, sf):
+    """Customers of one nation and segment with balances less than 600 apart match; likeness that does not chain decides who leads."""
+    c = load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.col("c_acctbal").cast("double").alias("bal")).withColumn("cell", F.floor(F.col("bal") / 600))
+    a = c.select("c_nationkey", "c_mktsegment", F.col("c_custkey").alias("a"), F.col("bal").alias("a_bal"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    b = c.select("c_nationkey", "c_mktsegment", F.col("c_custkey").alias("b"), F.col("bal").alias("b_bal"), "cell")
+    near = a.join(b, ["c_nationkey", "c_mktsegment", "cell"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("a_bal") - F.col("b_bal")) < 600))
+    led = resolve.first_leaders(near.select("a", "b")).withColumnRenamed("node", "c_custkey")
+    return c.join(led, "c_custkey", "left").select(F.col("c_custkey").alias("mention_id"), F.coalesce("leader", "c_custkey").alias("representative"))
+
+
+@query("capped_overlaps", f"""
+WITH {FACTS},
+d AS (SELECT DISTINCT object, subject, role, datediff('day', DATE '1970-01-01', start_day) AS a, datediff('day', DATE '1970-01-01', end_day) AS z FROM f)
+SELECT x.object, x.subject, x.role, CAST(x.a AS INTEGER) AS "start", CAST(x.z AS INTEGER) AS "end", y.subject AS other, CAST(y.a AS INTEGER) AS other_start,
+  CAST(row_number() OVER (PARTITION BY x.object, x.a, x.z, x.subject, x.role ORDER BY y.a, y.z, y.subject, y.role) AS INTEGER) AS rank
+FROM d x JOIN d y ON x.object = y.object AND greatest(x.a, y.a) < least(x.z, y.z) AND (x.a, x.z, x.subject, x.role) <> (y.a, y.z, y.subject, y.role)
+QUALIFY rank <= 3
+""")
+def capped_overlaps(spark, sf):
+    days = _facts(spark, sf).select("object", "subject", "role", F.unix_date("start_day").alias("start"), F.unix_date("end_day").alias("end"))
+    kept = {"a_object": "object", "a_subject": "subject", "a_role": "role", "a_start": "start", "a_end": "end", "b_subject": "other", "b_start": "other_start"}
+    return facts.capped_overlaps(days, 3, 60).select(*(F.col(c).alias(n) for c, n in kept.items()), "rank")
+
+
+ASKING = """q AS (
+  SELECT c_custkey AS query_id, CASE (c_custkey // 20) % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'transitive' ELSE 'neighborhood' END AS pattern,
+    CASE WHEN (c_custkey // 20) % 2 = 0 THEN ['located_in'] ELSE CAST([] AS VARCHAR[]) END AS wanted FROM customer WHERE c_custkey % 20 = 0)"""
+
+
+@query("subgraph_retrieval", f"""
+WITH {EDGES}, {ASKING}, k AS (SELECT *, least(node, other) || ' ' || greatest(node, other) AS edge FROM b),
+s AS (
+  SELECT query_id, ['c' || query_id] AS nodes, CAST([] AS VARCHAR[]) AS types, CAST(1 AS DOUBLE) AS score FROM q
+  UNION ALL SELECT query_id, ['s' || (query_id // 20 % 10 + 1)], CAST([] AS VARCHAR[]), CAST(0.9 AS DOUBLE) FROM q),
+h1 AS (
+  SELECT s.query_id, edge, list_append(nodes, other) AS nodes, [type] AS types, score * CAST(0.8 AS DOUBLE) * CAST(CASE WHEN len(wanted) = 0 OR list_contains(wanted, type) THEN 1 ELSE 0.3 END AS DOUBLE) AS score
+  FROM s JOIN q USING (query_id) JOIN k ON node = nodes[-1] WHERE pattern <> 'direct'),
+o1 AS (SELECT * FROM h1 QUALIFY row_number() OVER (PARTITION BY query_id, edge ORDER BY score DESC, nodes, types) = 1),
+p1 AS MATERIALIZED (SELECT * FROM o1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, nodes, types) <= 48),
+h2 AS (
+  SELECT p1.query_id, k.edge, list_append(nodes, other) AS nodes, list_append(types, type) AS types, score * CAST(0.8 AS DOUBLE) * CAST(CASE WHEN len(wanted) = 0 OR list_contains(wanted, type) THEN 1 ELSE 0.3 END AS DOUBLE) AS score
+  FROM p1 JOIN q USING (query_id) JOIN k ON node = nodes[-1] WHERE (pattern <> 'transitive' OR types[-1] = type)),
+f2 AS (SELECT h2.* FROM h2 ANTI JOIN p1 USING (query_id, edge)),
+o2 AS (SELECT * FROM f2 QUALIFY row_number() OVER (PARTITION BY query_id, edge ORDER BY score DESC, nodes, types) = 1),
+n1 AS (SELECT query_id, count(*) AS n FROM p1 GROUP BY query_id),
+p2 AS (SELECT o2.* EXCLUDE (edge) FROM o2 JOIN n1 USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, nodes, types) + n + 2 <= 50),
+p AS (SELECT * FROM s UNION ALL SELECT query_id, nodes, types, score FROM p1 UNION ALL SELECT * FROM p2),
+x AS (SELECT query_id, unnest(nodes) AS node, unnest(range(len(nodes))) AS i, score FROM p),
+g AS (SELECT query_id, node, max(score) AS score, min(i) AS hop FROM x GROUP BY query_id, node)
+SELECT query_id, node, score, CASE WHEN hop = 0 THEN 'seed' ELSE 'hop_' || hop END AS source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS INTEGER) AS rank
+FROM g QUALIFY rank <= 15
+""")
+def subgraph_retrieval(spark, sf):
+    """Every twentieth customer asks, with a rule of its own, from itself and a supplier; one plan answers all."""
+    turn = F.expr("c_custkey div 20")
+    asked = load(spark, sf, "customer").filter("c_custkey % 20 = 0")
+    pattern = F.element_at(F.array(F.lit("direct"), F.lit("transitive"), F.lit("neighborhood")), (turn % 3 + 1).cast("int"))
+    wanted = F.when(turn % 2 == 0, F.array(F.lit("located_in"))).otherwise(F.array().cast("array<string>"))
+    queries = asked.select(F.col("c_custkey").alias("query_id"), pattern.alias("pattern"), wanted.alias("wanted"))
+    own = asked.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.lit(1.0).alias("score"))
+    other = asked.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("s"), (turn % 10 + 1).cast("string")).alias("node"), F.lit(0.9).alias("score"))
+    return subgraph.retrieved(subgraph.explored(views.edges(spark, sf), own.unionByName(other), queries))
+
+
+@query("seed_entities", f"""
+WITH e AS (SELECT vec_id AS entity_id, CAST(label AS VARCHAR) AS type, embedding, coalesce(n, 0) / (coalesce(n, 0) + 10.0::DOUBLE) AS importance
+  FROM embeddings LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) ON user_id = vec_id),
+q AS (SELECT entity_id AS query_id, embedding AS v, CASE WHEN entity_id % 40 = 0 THEN [type] ELSE CAST([] AS VARCHAR[]) END AS types FROM e WHERE entity_id % 20 = 0),
+named AS (SELECT query_id, query_id AS entity_id, CAST(1 AS DOUBLE) AS score, 'named' AS source FROM q JOIN customer ON c_custkey = query_id),
+hits AS (
+  SELECT q.query_id, e.entity_id, {COSINE.format(a="q.v", b="e.embedding")} AS score, 'embedding' AS source FROM q JOIN e ON len(types) = 0 OR list_contains(types, e.type)),
+f AS MATERIALIZED (SELECT * FROM named UNION ALL SELECT hits.* FROM hits ANTI JOIN named USING (query_id, entity_id) WHERE score >= 0.7),
+poor AS (SELECT q.query_id, types[1] AS type FROM q LEFT JOIN f USING (query_id) WHERE len(types) > 0 GROUP BY ALL HAVING count(f.entity_id) < 5),
+firsts AS (SELECT entity_id, type, importance FROM e QUALIFY row_number() OVER (PARTITION BY type ORDER BY importance DESC, entity_id) <= 10),
+fill AS (SELECT query_id, entity_id, importance * 0.5::DOUBLE AS score, 'type_match' AS source FROM poor JOIN firsts USING (type) ANTI JOIN f USING (query_id, entity_id))
+SELECT query_id, entity_id, score, source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS INTEGER) AS rank
+FROM (SELECT * FROM f UNION ALL SELECT * FROM fill) QUALIFY rank <= 10
+""")
+def seed_entities(spark, sf):
+    """Every twentieth vector asks, the customer of its number by name; half of the queries keep to the type of their vector."""
+    counts = load(spark, sf, "events").groupBy(F.col("user_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    vecs = load(spark, sf, "embeddings").select(F.col("vec_id").alias("entity_id"), F.col("label").cast("string").alias("type"), F.col("embedding").alias("vector"))
+    names = load(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"), F.array().cast("array<string>").alias("aliases"))
+    known = vecs.join(counts, "entity_id", "left").join(names, "entity_id", "left").withColumn("importance", n / (n + 10.0))
+    asked = known.filter("entity_id % 20 = 0").withColumnRenamed("entity_id", "query_id")
+    queries = asked.select("query_id", F.when(F.col("query_id") % 40 == 0, F.array("type")).otherwise(F.array().cast("array<string>")).alias("types"))
+    mentions = asked.filter("name is not null").select("query_id", F.lit(0).alias("position"), F.upper("name").alias("mention"))
+    hits = subgraph.within(asked.select(F.col("query_id").alias("id"), "vector"), vecs.select(F.col("entity_id").alias("id"), "vector"))
+    return subgraph.with_fallbacks(queries, subgraph.named_seeds(mentions, known), hits, known)
+
+
+@query("feedback_memory")
+def feedback_memory(spark, sf):
+    """User turns name what they begin with; assistant turns correct what theirs begin with, if that was known by then."""
+    told = load(spark, sf, "conversations").select("role", F.col("conv_id").alias("at"), F.col("turn").alias("i"), F.substring("text", 1, 14).alias("name"), F.substring("text", 15, 20).alias("info"))
+    entities = told.filter("role = 'user'").select("at", "i", "name", F.create_map(F.lit("description"), F.coalesce("info", F.lit(""))).alias("state"))
+    corrections = told.filter("role = 'assistant'").select("at", "i", F.col("name").alias("what"), F.col("info").alias("right"), F.lit("").alias("wrong")).dropDuplicates(["at", "i"])
+    return memory.remembered(entities, corrections).select("name", "at", "i", "transition_type", "summary")
+
+
+DURATION = "CASE WHEN {d} = 0 THEN 'less than a year' WHEN {d} = 1 THEN '1 year' WHEN {d} <= 2 THEN {d} || ' years (brief)' WHEN {d} <= 5 THEN {d} || ' years' WHEN {d} <= 10 THEN {d} || ' years (extended)' ELSE {d} || ' years (long-standing)' END"
+
+
+@query("fact_narratives", f"""
+WITH {FACTS},
+d AS MATERIALIZED (SELECT DISTINCT CAST(floor(sqrt(object)) AS INTEGER) AS prompt, subject, role, object, "start", "end" FROM f),
+n AS MATERIALIZED (SELECT prompt, count(*) AS n, min("start") AS low, max("end") AS high FROM d GROUP BY prompt),
+own AS MATERIALIZED (
+  SELECT *, row_number() OVER w AS i, "start" - lag("end") OVER w AS gap, row_number() OVER r AS ri, lead("start") OVER r AS n_start, lead("end") OVER r AS n_end, lead(subject) OVER r AS n_subject
+  FROM d WINDOW w AS (PARTITION BY prompt, object ORDER BY "start", "end", subject, role), r AS (PARTITION BY prompt, object, role ORDER BY "start", "end", subject)),
+met AS (
+  SELECT a.prompt, a.object, a.i, b.subject, b.role, greatest(a."start", b."start") AS s, least(a."end", b."end") AS e,
+    row_number() OVER (PARTITION BY a.prompt, a.object, a.i ORDER BY b.i) AS rank
+  FROM own a JOIN own b ON a.prompt = b.prompt AND a.object = b.object AND a.i <> b.i AND greatest(a."start", b."start") < least(a."end", b."end")),
+ordered AS (SELECT d.*, row_number() OVER w AS i, d."start" - lag(d."start") OVER w AS since FROM d JOIN n USING (prompt) WHERE n <= 150 WINDOW w AS (PARTITION BY prompt ORDER BY d."start", d."end", subject, role, object)),
+x AS (
+  SELECT prompt, 0 AS s, -1 AS o, '' AS k, 0 AS a, 0 AS b, 'TEMPORAL CONTEXT (' || low || '–' || high || ', spanning ' || (high - low) || ' years)' AS line FROM n
+  UNION ALL SELECT prompt, 0, -1, '', 1, 0, '' FROM n
+  UNION ALL SELECT prompt, 1, -1, '', 0, 0, '═══ ENTITY TIMELINES ═══' FROM n UNION ALL SELECT prompt, 1, -1, '', 1, 0, '' FROM n
+  UNION ALL SELECT DISTINCT prompt, 1, object, '', 0, 0, '▸ Timeline for E' || object || ':' FROM d
+  UNION ALL SELECT prompt, 1, object, '1', i, 0, '  [' || "start" || '–' || "end" || '] ' || subject || ' as ' || role || ' — ' || {DURATION.format(d='("end" - "start")')}
+    || CASE WHEN gap > 0 THEN ' (' || gap || 'yr gap)' WHEN gap = 0 THEN ' (immediately following)' WHEN gap < 0 THEN ' (began ' || -gap || 'yr before prev ended)' ELSE '' END FROM own
+  UNION ALL SELECT prompt, 1, object, '1', i, rank, '    ↔ concurrent with ' || subject || ' as ' || role || ' (' || s || '–' || e || ')' FROM met JOIN n USING (prompt) WHERE rank <= CASE WHEN n > 150 THEN 1 ELSE 3 END
+  UNION ALL SELECT prompt, 1, object, '2', 0, 0, '  Summary: ' || string_agg(role || ': ' || h, '; ' ORDER BY role) FROM (SELECT prompt, object, role, string_agg(CAST(subject AS VARCHAR), ', ' ORDER BY "start", "end", subject) AS h FROM d GROUP BY ALL) GROUP BY prompt, object
+  UNION ALL SELECT DISTINCT prompt, 1, object, '3', 0, 0, '' FROM d
+  UNION ALL SELECT prompt, 2, -1, '', 0, 0, '═══ TEMPORAL ORDERING (all facts by start time) ═══' FROM n WHERE n <= 150 UNION ALL SELECT prompt, 2, -1, '', 1, 0, '' FROM n WHERE n <= 150 UNION ALL SELECT prompt, 2, -1, '3', 0, 0, '' FROM n WHERE n <= 150
+  UNION ALL SELECT prompt, 2, -1, '2', i, 0, '  ' || i || '. [' || "start" || '→' || "end" || '] ' || subject || ' was ' || role || ' of E' || object || ' (' || {DURATION.format(d='("end" - "start")')} || ')'
+    || CASE WHEN since = 0 THEN ' — same start as previous' WHEN since > 0 THEN ' — starts ' || since || 'yr after #' || (i - 1) ELSE '' END FROM ordered
+  UNION ALL SELECT prompt, 3, -1, '', 0, 0, '═══ KEY TEMPORAL RELATIONSHIPS ═══' FROM n UNION ALL SELECT prompt, 3, -1, '', 1, 0, '' FROM n
+  UNION ALL SELECT prompt, 3, object, role, 0, 0, '  E' || object || '/' || role || ': first=' || min_by(subject, ri) || ' (' || min_by("start", ri) || '), last=' || max_by(subject, ri) || ' (' || max_by("start", ri) || '), ' || count(*) || ' total holders' FROM own GROUP BY prompt, object, role HAVING count(*) > 1
+  UNION ALL SELECT prompt, 3, object, role, ri, 0, '    ' || subject || ' (' || "start" || '–' || "end" || ') ' || CASE WHEN n_start = "end" THEN 'immediately succeeded by' WHEN n_start > "end" THEN 'succeeded ' || (n_start - "end") || 'yr later by' ELSE 'overlapped (' || ("end" - n_start) || 'yr) then succeeded by' END
+    || ' ' || n_subject || ' (' || n_start || '–' || n_end || ')' FROM own WHERE n_subject IS NOT NULL
+  UNION ALL SELECT prompt, 4, -1, '', 0, 0, '' FROM n),
+y AS (SELECT prompt, row_number() OVER w AS position, line, sum(len(line) + 1) OVER w - len(line) - 1 AS off, sum(len(line) + 1) OVER (PARTITION BY prompt) AS total FROM x WINDOW w AS (PARTITION BY prompt ORDER BY s, o, k, a, b))
+SELECT prompt, position, line[:CAST(20000 - off AS BIGINT)] AS line FROM y WHERE off <= 20000
+UNION ALL SELECT prompt, max(position) + 1, '... (truncated for length)' FROM y WHERE off <= 20000 AND total - 1 > 20000 GROUP BY prompt
+""")
+def fact_narratives(spark, sf):
+    """A narrative for each group of parts (by the root of their number), of at most 20,000 characters."""
+    f = _facts(spark, sf).withColumn("prompt", F.floor(F.sqrt("object")).cast("int")).withColumn("object", F.concat(F.lit("E"), F.col("object").cast("string")))
+    return fact_narrative.narrated(f, F.substring("object", 2, 20).cast("long"), 20_000)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return entity_velocity_topk(spark, sf)
 
