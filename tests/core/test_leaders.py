@@ -171,8 +171,8 @@ def test_the_feedback_query_equals_the_loop(spark):
 
     sf = "/root/testdata/sf0.001"
     turns = [r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect() if r.text is not None]
-    entities = [(r.conv_id, r.turn, r.text[:14], r.text[14:34]) for r in turns if r.role == "user"]
-    corrections = {(r.conv_id, r.turn): (r.conv_id, r.turn, r.text[:14], r.text[14:34], "") for r in turns if r.role == "assistant"}
+    entities = [(r.conv_id, r.turn, r.text.split(" ")[0], "") for r in turns if r.role == "user"]
+    corrections = {(r.conv_id, r.turn): (r.conv_id, r.turn, r.text.split(" ")[0], "", "") for r in turns if r.role == "assistant"}
     got = sorted((r.name, r["at"], r.i, r.transition_type) for r in catalogue.QUERIES["feedback_memory"](spark, sf).collect())
     assert got == sorted(r[:4] for r in looped(entities, corrections.values()))
     assert any(r[3] == "contradiction" for r in got)

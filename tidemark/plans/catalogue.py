@@ -1191,13 +1191,24 @@ def seed_entities(spark, sf):
 
 @query("feedback_memory")
 def feedback_memory(spark, sf):
-    """User turns name what they begin with; assistant turns correct what theirs begin with, if that was known by then."""
-    told = load(spark, sf, "conversations").select("role", F.col("conv_id").alias("at"), F.col("turn").alias("i"), F.substring("text", 1, 14).alias("name"), F.substring("text", 15, 20).alias("info"))
+    """User turns name their first word; assistant turns correct theirs, if that or the like was known by then."""
+    told = load(spark, sf, "conversations").select("role", F.col("conv_id").alias("at"), F.col("turn").alias("i"), F.substring_index("text", " ", 1).alias("name"), F.substring("text", 1, 30).alias("info"))
     entities = told.filter("role = 'user'").select("at", "i", "name", F.create_map(F.lit("description"), F.coalesce("info", F.lit(""))).alias("state"))
     corrections = told.filter("role = 'assistant'").select("at", "i", F.col("name").alias("what"), F.col("info").alias("right"), F.lit("").alias("wrong")).dropDuplicates(["at", "i"])
     return memory.remembered(entities, corrections).select("name", "at", "i", "transition_type", "summary")
 
 
+@query("context_topk", f"""
+WITH q AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, {COSINE.format(a="q.v", b="e.embedding")} AS similarity FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id)
+SELECT query_id, item_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 8
+""")
+def context_topk(spark, sf):
+    """Each query searches its own context only: the vectors of its label."""
+    v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("context"))
+    return retrieve.nearest_in_context(v.filter("id % 20 = 0"), v, 8)
+
+
 DURATION = "CASE WHEN {d} = 0 THEN 'less than a year' WHEN {d} = 1 THEN '1 year' WHEN {d} <= 2 THEN {d} || ' years (brief)' WHEN {d} <= 5 THEN {d} || ' years' WHEN {d} <= 10 THEN {d} || ' years (extended)' ELSE {d} || ' years (long-standing)' END"
 
 

@@ -87,6 +87,27 @@ def with_missing_embedded(entities: DataFrame, known: DataFrame, text: str, prov
     return known.select("entity_id", "vector").unionByName(embedded(missing, text, provider).select("entity_id", "vector"))
 
 
+def embedded_by_content(rows: DataFrame, text: str, provider: EmbeddingProvider, model: str, cache: str, max_chars: int = 8000) -> DataFrame:
+    """*rows* with ``vector``, from a stored table of vectors by (model, digest of the text); what it lacks is embedded now and added to it.
+
+    Only distinct texts that this model has not seen go to the provider, whatever the rows that hold them.  Vectors
+    of other models are never read (the table is partitioned by model), so a changed model is built anew.  Texts are cut to
+    what the provider takes before they are told apart; null is empty.  A row that a retried write adds again is read once.
+    """
+    spark = rows.sparkSession
+    cut = F.substring(F.coalesce(F.col(text), F.lit("")), 1, max_chars)
+    keyed = rows.withColumn("_digest", F.sha2(cut.cast("binary"), 256))
+    folder = f"{cache}/model={model}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    empty = spark.createDataFrame([], "digest string, vector array<float>")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    known = spark.read.schema(empty.schema).parquet(folder) if there else empty
+    texts = keyed.groupBy(F.col("_digest").alias("digest")).agg(F.first(cut).alias("text"))
+    embedded(texts.join(known, "digest", "left_anti"), "text", provider, max_chars).select("digest", "vector").write.mode("append").parquet(folder)
+    now = spark.read.schema(empty.schema).parquet(folder).dropDuplicates(["digest"]).withColumnRenamed("digest", "_digest")
+    return keyed.join(now, "_digest").drop("_digest")
+
+
 # Industries by keyword, in the order of precedence.
 INDUSTRIES = (
     ("energy", "Energy & Utilities"), ("grid", "Energy & Utilities"), ("solar", "Energy & Utilities"),

@@ -17,7 +17,7 @@ EDGES = (
 FACTS = "subject string, role string, object string, start int, end int"
 STAGE_VISITS = "prospect_id string, seq int, stage string, entered timestamp, exited timestamp, days double"
 EXTRACTION = (
-    "entities array<struct<name:string,type:string,state:string,is_new:boolean,matches_existing:string,confidence:double>>, "
+    "entities array<struct<name:string,type:string,state:string,is_new:boolean,matches_existing:string,confidence:double,date:string>>, "
     "state_changes array<struct<entity_name:string,what_changed:string,from_state:string,old_state:string,to_state:string,new_state:string,"
     "is_contradiction:boolean,confidence:double>>, "
     "relationships array<struct<source:string,target:string,type:string,description:string>>, "
@@ -26,6 +26,8 @@ EXTRACTION = (
 
 # The vocabularies of the data model.
 ENTITY_TYPES = ("person", "project", "tool", "organization", "belief", "decision", "concept", "period", "event")
+#: Told types that stand for a belief; other unknown ones are concepts.
+BELIEF_TYPES = ("preference",)
 TRANSITION_TYPES = ("creation", "update", "contradiction", "resolution", "archival")
 RELATIONSHIP_TYPES = (
     "uses", "works_on", "collaborates_with", "related_to", "part_of", "caused_by", "during", "replaces", "integrates_with",

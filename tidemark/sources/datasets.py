@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,25 +96,64 @@ def rag_chunks(turns: DataFrame, by: str = "turn", prefix: int = 200) -> DataFra
     return turns.select("question_id", "session", F.col("turn_idx").alias("chunk_idx"), F.concat(F.coalesce(asked, F.lit("")), line).alias("chunk"))
 
 
-def note_text(node: Column) -> Column:
-    """The text of a rich-text note in JSON: depth first, a line per block (any depth, so a small UDF)."""
-
-    @F.udf("string", useArrow=True)
-    def flatten(raw):
-        import json
+BLOCKS = frozenset(("paragraph", "heading", "list_item", "blockquote", "code_block"))
+_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.DOTALL)
+
+
+def _nested(raw: str):
+    """JSON that is nested deeper than the parser of the language goes: open lists and objects stand on a stack."""
+    top: list = []
+    stack, key = [top], None
+    for m in _TOKENS.finditer(raw):
+        token, here = m[0], stack[-1]
+        if token in ",:":
+            continue
+        if token in "}]":
+            stack.pop()
+            continue
+        if isinstance(here, dict) and key is None:
+            key = json.loads(token)
+            continue
+        value = {} if token == "{" else [] if token == "[" else json.loads(token)
+        if isinstance(here, dict):
+            here[key], key = value, None
+        else:
+            here.append(value)
+        if token in "{[":
+            stack.append(value)
+    if len(stack) != 1 or len(top) != 1:
+        raise ValueError("not one whole value")
+    return top[0]
+
+
+def flattened_note(raw: str | None) -> str | None:
+    """The text of a note's tree, depth first, with a line break after each block; null if it is no JSON."""
+    try:
+        try:
+            doc = json.loads(raw)
+        except RecursionError:
+            doc = _nested(raw)
+    except (TypeError, ValueError, IndexError):
+        return None
+    out, todo = [], [doc.get("doc", doc) if isinstance(doc, dict) else None]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):  # the end of a block
+            out.append(node)
+        elif isinstance(node, dict):
+            out.append(node["text"] if isinstance(node.get("text"), str) else "")
+            if node.get("type") in BLOCKS:
+                todo.append("\n")
+            content = node.get("content")
+            todo += [n for n in reversed(content if isinstance(content, list) else ()) if isinstance(n, dict)]
+    return "".join(out).strip()
 
-        blocks = {"paragraph", "heading", "list_item", "blockquote", "code_block"}
 
-        def walk(n):
-            if isinstance(n, dict):
-                inner = "".join(map(walk, n.get("content") or ()))
-                return (n.get("text") or "") + inner + ("\n" if n.get("type") in blocks else "")
-            return ""
+def note_text(node: Column) -> Column:
+    """The text of rich-text notes in JSON of any depth, in Arrow batches."""
 
-        try:
-            doc = json.loads(raw)
-        except (TypeError, ValueError):
-            return None
-        return walk(doc.get("doc", doc) if isinstance(doc, dict) else {}).strip()
+    @F.pandas_udf("string")
+    def flatten(raw: pd.Series) -> pd.Series:
+        return raw.map(flattened_note)
 
     return flatten(node)

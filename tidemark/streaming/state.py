@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -56,13 +56,57 @@ def stalled(visits: DataFrame, stall_seconds: int) -> DataFrame:
 
 
 def isolated(write: Callable[[DataFrame, int], None], dead_letters: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: a batch that fails goes to the dead letters with its reason, and the stream goes on."""
+    """A ``foreachBatch`` function: a batch that fails goes to the dead letters with its reason, and the stream goes on.
+
+    The letters of a batch have a folder of their own, so a batch that is tried again replaces them.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         try:
             write(batch, number)
         except Exception as e:  # noqa: BLE001  the stream must outlive any batch
             reason = f"{type(e).__name__}: {e}"[:2000]
-            batch.withColumn("_batch", F.lit(number)).withColumn("_reason", F.lit(reason)).write.mode("append").parquet(dead_letters)
+            batch.withColumn("_reason", F.lit(reason)).write.mode("overwrite").parquet(f"{dead_letters}/_batch={number}")
+
+    return each
+
+
+def _done(spark: SparkSession, path: str) -> bool:
+    """Whether a write to *path* has committed."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def once(make: Callable[[DataFrame, int], DataFrame], sink: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes what *make* gives for a batch, once, however often the batch is delivered.
+
+    Each batch has a folder of its own below *sink* (``_batch``), written whole; its commit mark is the ledger.  A
+    batch that is there is skipped, one that broke off midway is written anew.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        path = f"{sink}/_batch={number}"
+        if not _done(batch.sparkSession, path):
+            make(batch, number).write.mode("overwrite").parquet(path)
 
     return each
+
+
+def resumed(rows: DataFrame, batch: str, make: Callable[[DataFrame, int], DataFrame], sink: str, skip: int = 0, limit: int | None = None, dead_letters: str | None = None) -> list:
+    """Work off a table batch by batch, in the order of the column *batch*; returns the batches that were written now.
+
+    Batches that an earlier run has finished are skipped, so a run that broke off goes on where it stopped; *skip* and
+    *limit* leave out the first and the later ones.  With *dead_letters* a failing batch goes there and the next one follows.
+    Only batch numbers come to the driver.
+    """
+    spark, written = rows.sparkSession, []
+    numbers = [r[0] for r in rows.select(batch).distinct().orderBy(batch).collect()][skip:]
+    write = once(make, sink)
+    each = isolated(write, dead_letters) if dead_letters else write
+    for number in numbers if limit is None else numbers[:limit]:
+        if _done(spark, f"{sink}/_batch={number}"):
+            continue
+        each(rows.filter(F.col(batch) == number), number)
+        if _done(spark, f"{sink}/_batch={number}"):
+            written.append(number)
+    return written
