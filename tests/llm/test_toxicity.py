@@ -69,11 +69,18 @@ def test_marks_have_to_be_paired():
     assert weight("an ' idiot thing") == weight("‹ idiot «") == weight("» idiot") == 4
     for t in ('a "stupid idiot", so', "«vrai idiot»", "„so ein idiot“", "“idiot.”", '" idiot "', "›idiot‹", "'an idiot today'", '("idiot")'):
         assert weight(t) == m.QUOTED * 4, t
-    far = '"' + "other " * m.QUOTE_WORDS + 'idiot"'
-    assert weight(far) == 4
+    for n in (17, 40, 200, 5000):  # quotations of any length
+        assert weight('"' + "other " * n + 'idiot" and so on') == m.QUOTED * 4
+        assert weight('"' + "other " * n + '" idiot') == 4
     assert weight("x" + '"' * 30_000 + " idiot") == 4
 
 
+def test_words_of_any_length_are_terms():
+    assert m._terms("Git, git «sot» x idiotic") == {"git", "sot", "x", "idiotic", "idio*", "idiot*", "idioti*"}
+    lexicon = m.FuzzyLexicon({"git": 3.0, "x": 2.0}, {})
+    assert [h[:3] for h in m.hits("you git, x gits", lexicon)] == [(1, "git", 0), (2, "x", 0)]
+
+
 def test_only_words_within_reach_are_read_and_no_hit_is_lost():
     rng = random.Random(2)
     terms = ["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 30))) for _ in range(60)]

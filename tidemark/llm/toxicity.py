@@ -47,8 +47,6 @@ FALSE_TERMS = 0.05
 STEM_CHARS = (4, 5, 6)
 WINDOW = 6
 QUOTED, ADDRESSED = 0.15, 1.3
-#: A quotation has so many words at most; a longer stretch between two marks is none.
-QUOTE_WORDS = 40
 #: Longest term whose spellings with deletions are listed.
 LISTED = 24
 #: Bounds of what a worker remembers; beyond them it starts anew.
@@ -282,8 +280,8 @@ def learn_all(texts: Iterable[str], lexicon: FuzzyLexicon) -> None:
     lexicon.learn(set().union(*(set(t.lower().split()) for t in texts)))
 
 
-def quoted(tokens: list[str], most: int = QUOTE_WORDS) -> set[int]:
-    """The places of the tokens between paired quotation marks.
+def quoted(tokens: list[str]) -> set[int]:
+    """The places of the tokens between paired quotation marks, however far apart.
 
     A mark before the letters of a token opens, one after them closes what it fits and
     was opened last; a token of marks alone does what it can.  A mark without its partner does nothing.
@@ -300,9 +298,7 @@ def quoted(tokens: list[str], most: int = QUOTE_WORDS) -> set[int]:
                 continue  # inside the word
             partners = [m for m in opened if c in CLOSING[m]] if k >= last else ()
             if partners:
-                at = opened.pop(max(partners, key=opened.get))
-                if i - at < most:
-                    out.update(range(at, i + 1))
+                out.update(range(opened.pop(max(partners, key=opened.get)), i + 1))
             elif c in CLOSING and k < first:
                 opened[c] = i
     return out
@@ -421,7 +417,7 @@ def _telling(counts: DataFrame, sizes: list[int], parts: tuple[int, ...]) -> lis
 
 
 def _terms(text: str) -> set[str]:
-    words = {w for t in set(text.lower().split()) if len(w := plain(t)) >= STEM_CHARS[0]}
+    words = {w for t in set(text.lower().split()) if (w := plain(t))}
     return words | {w[:n] + "*" for w in words for n in STEM_CHARS if len(w) > n}
 
 
