@@ -78,3 +78,28 @@ def test_query_against_brute_force(spark):
         assert r.base_sha256 == hashlib.sha256(m.joined(spans).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in spans) for k in m.BASE_KINDS)
         assert r.spans == m.joined(m.find_secrets(texts[r.doc_id]))
+
+
+def test_long_runs_take_linear_time_and_lose_no_token():
+    import time
+
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln"
+    began = time.perf_counter()
+    for text in ("eyJ" * 1_000_000, "eyJ" * 500_000 + ".eyJ" * 100_000, "token " * 200_000, "eyJa.eyJ" * 200_000, "akia" * 300_000, "ghp_" * 300_000):
+        m.find_secrets(text)
+    assert time.perf_counter() - began < 30
+    for before in ("eyJ", "eyJeyJ.", "eyJ.eyJ.", "eyJx.eyJ ", "eyJaeyJ", "eyJa.b.eyJ-", ""):
+        text = before + " " + jwt + before + jwt
+        want, free = [], 0
+        for i in range(len(text)):  # every start after the last match, with nothing left out
+            if i >= free and (x := m.JWT.match(text, i)):
+                free = x.end()
+                want += [x.span()] * bool(m.jwt_header(x[0]))
+        assert [s[1:] for s in m.find_secrets(text) if s[0] == "jwt"] == want
+
+
+def test_very_long_and_odd_texts_are_redacted_in_their_columns(spark):
+    long_ = "word " * 300_000
+    df = docs_frame(spark, [(1, long_ + "password: hunter2hunter2 " + long_), (2, None), (3, "")], ("span", "kind"))
+    out = {r.doc_id: r for r in m.redact(df).collect()}
+    assert out[1].text == long_ + "[assign] " + long_ and out[1].n_chars == len(out[1].text) and out[1].kind == "x" and out[2].text is None and out[3].text == ""

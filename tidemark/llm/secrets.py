@@ -18,13 +18,14 @@ import binascii
 import json
 import re
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, text_or_empty
+from .common import map_rows, slices, table, text_or_empty
 
 # The base patterns, and public token formats.
 ASSIGN = re.compile(
@@ -35,6 +36,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 HUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----\s([A-Za-z0-9+/=\s]+)-----END \1-----")
 CARD = re.compile(r"(?:card|visa|mastercard|amex)(?:\x20?(?:no|number|nr))?\.?\x20*[:=#]?\x20*((?:[0-9][ -]?){12,18}[0-9])(?![0-9])", re.I | re.A)
@@ -132,10 +134,14 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         pattern, group, holds = RULES[kind]
         free = 0
         for start in sorted(at):
-            if start >= free and (m := pattern.match(text, start)):
+            if start < free:
+                continue
+            if m := pattern.match(text, start):
                 free = m.end()
                 if holds(m):
                     found.append((kind, *m.span(group)))
+            elif kind == "jwt":  # what follows its run of characters fails every later start in the run, too
+                free = JWT_RUN.match(text, start).end()
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -171,8 +177,16 @@ def redact(docs: DataFrame) -> DataFrame:
 
     A null text stays null; texts without secrets, and all other columns, stay as they are.
     """
-    hidden = F.udf(lambda t: None if t is None else redacted(t), "string", useArrow=True)
-    out = docs.withColumn("text", hidden("text"))
+    at = docs.columns.index("text")
+
+    def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 4_000_000):
+                texts = [None if t is None else redacted(t) for t in part.column(at).to_pylist()]
+                columns = [*part.columns[:at], pa.array(texts, part.schema.field(at).type), *part.columns[at + 1 :]]
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    out = docs.mapInArrow(hide, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
