@@ -4,12 +4,12 @@ r"""URL filters: rules first, then words of the address.
 the visible text of all pages; a Viterbi search splits each run of letters into its
 likeliest words.  Each distinct run is split once: its substrings are joined with
 the word counts, so the counts are never sent around as a whole.  *Classifier.*
-Multinomial naive Bayes over the words of host and path, with add-one smoothing.
+Multinomial naive Bayes over the words of host and path and over where both meet (:func:`combined`), with add-one smoothing.
 
 *Labels.* The rules label the addresses that they cover.  Beyond them an address with a
 seed word is labelled block, any other is weak evidence for allow; seed words are left out
-of the features, so what is learnt there are the words beside them.  In a score a seed word
-counts ``SEED_ODDS``.
+of the features, so what is learnt there are the words beside them.  An address with a seed word and
+without a rule is blocked, whatever its score.
 *Folds.* The hosts fall into ``FOLDS`` folds and an address is scored by the labels of
 the other folds, never by its own host's; :func:`evaluation` compares such scores with
 the rules.
@@ -43,11 +43,10 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: Words that mark an address as unwanted, and what one adds to the log-odds of block.
+#: Words that mark an address as unwanted.
 SEEDS = frozenset("adult bet bets betting casino cialis escort gambling jackpot loan loans lottery malware payday phishing pills poker porn roulette scam sex slots spam viagra warez xxx".split())
-SEED_ODDS = 6.0
 FOLDS = 5
-#: The longest word of the model; a longer stretch of letters is split or unknown.
+#: Stretches of so many letters are proposed as they stand; longer words are found by their first WORD_CHARS letters.  An unknown stretch is no longer.
 WORD_CHARS = 20
 #: What an unknown word costs besides the total, and for each letter.
 UNKNOWN, UNKNOWN_LETTER = math.log(10), 2.5
@@ -80,19 +79,23 @@ def matching_rule(rules: Sequence[tuple[str, str]] = RULES) -> Column:
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """word, n: the words of two to WORD_CHARS letters in the visible text of all pages."""
+    """word, n: the words of two letters or more in the visible text of all pages."""
     visible = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(visible), "[^a-z]+")).alias("word"))
-    return words.filter(F.length("word").between(2, WORD_CHARS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.filter(F.length("word") > 1).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_split(run: str, known: dict[tuple[int, int], float], total: float) -> list[str]:
     """Viterbi: the cheapest split of each prefix; *known* has the cost of the words at (start, end)."""
     unknown = math.log(max(total, 1)) + UNKNOWN
     best: list[tuple[float, int]] = [(0.0, 0)]
+    longer: dict[int, list[int]] = {}
+    for start, end in known:
+        if end - start > WORD_CHARS:
+            longer.setdefault(end, []).append(start)
     for end in range(1, len(run) + 1):
         options = []
-        for start in range(max(0, end - WORD_CHARS), end):
+        for start in (*range(max(0, end - WORD_CHARS), end), *longer.get(end, ())):
             cost = known.get((start, end))
             options.append((best[start][0] + (unknown + UNKNOWN_LETTER * (end - start) if cost is None else cost), start))
         best.append(min(options))
@@ -131,6 +134,10 @@ def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
     parts = materialize(substrings(runs), "url-substrings")
     cost = F.log(F.lit(float(max(total, 1))) / F.col("n"))
     found = skew_join(parts, counts, "word").select("id", "start", (F.col("start") + F.length("word")).alias("end"), cost.alias("cost"))
+    long_words = counts.filter(F.length("word") > WORD_CHARS).select(F.substring("word", 1, WORD_CHARS).alias("word"), F.col("word").alias("whole"), "n")
+    begun = parts.filter(F.length("word") == WORD_CHARS).join(long_words.hint("merge"), "word").join(runs.hint("merge"), "id")
+    begun = begun.filter(F.col("run").substr(F.col("start") + 1, F.length("whole")) == F.col("whole"))
+    found = found.unionByName(begun.select("id", "start", (F.col("start") + F.length("whole")).alias("end"), cost.alias("cost")))
     known = found.groupBy("id").agg(F.collect_list(F.struct("start", "end", "cost")).alias("known"))  # at most WORD_CHARS a letter
     rows = runs.join(known, "id", "left")
 
@@ -167,11 +174,23 @@ def with_tokens(addresses: DataFrame, counts: DataFrame) -> DataFrame:
 # -- classifier --------------------------------------------------------------------------
 
 
+def combined(tokens: Column) -> Column:
+    """Where a host stands and what is asked there, as features of their own: its last word with the first word of the path, and its first word with both.
+
+    A rule joins host and path, which no sum over single words can follow.
+    """
+    of = lambda field: F.filter(tokens, lambda t: F.startswith(t, F.lit(field)))
+    first, last, path = F.try_element_at(of("h:"), F.lit(1)), F.try_element_at(of("h:"), F.lit(-1)), F.try_element_at(of("p:"), F.lit(1))
+    name = lambda *parts: F.concat(F.lit("x:"), *(F.substring(p, 3, 1 << 30) if isinstance(p, Column) else F.lit(p) for p in parts))
+    return F.filter(F.array(name(last, "/", path), name(first, "..", last, "/", path)), lambda t: t.isNotNull())
+
+
 def labelled(tokens: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds=SEEDS) -> DataFrame:
-    """*tokens* with n_seeds, features (tokens that are no seed words), fold (of the host) and label: by the rules, else block for a seed word, else allow."""
+    """*tokens* with n_seeds, features (tokens that are no seed words, and :func:`combined` ones of those), fold (of the host) and label: by the rules, else block for a seed word, else allow."""
     marks = F.array(*(F.lit(f"{f}:{w}") for f in "hp" for w in sorted(seeds))).cast("array<string>")
     out = tokens.withColumn("n_seeds", F.size(F.filter("tokens", lambda t: F.array_contains(marks, t))))
     out = out.withColumn("features", F.filter("tokens", lambda t: ~F.array_contains(marks, t)))
+    out = out.withColumn("features", F.concat("features", combined(F.col("features"))))
     label = F.coalesce(matching_rule(rules)["verdict"], F.when(F.col("n_seeds") > 0, "block").otherwise("allow"))
     return out.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")).withColumn("label", label)
 
@@ -213,7 +232,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds=SEED
     keys = keys.select("row", F.concat(F.col("fold").cast("string"), F.lit(":"), "token").alias("key"))
     sums = skew_join(keys, materialize(weights, "url-weights"), "key").groupBy("row").agg(F.sum("weight").alias("odds"))
     prior = F.element_at(F.array(*map(F.lit, priors)), F.col("fold") + 1)
-    score = prior + F.coalesce("odds", F.lit(0.0)) + F.col("n_seeds") * SEED_ODDS
+    score = prior + F.coalesce("odds", F.lit(0.0))
     return (
         marked.join(sums, "row", "left")
         .withColumn("score", F.round(score, 9))
@@ -223,7 +242,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds=SEED
             "host",
             "path",
             F.col("matched.rule").alias("rule"),
-            F.coalesce("matched.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"),
+            F.coalesce("matched.verdict", F.when((F.col("n_seeds") > 0) | (F.col("score") > 0), "block").otherwise("allow")).alias("verdict"),
             "score",
             "tokens",
             "n_seeds",
