@@ -176,3 +176,39 @@ def test_the_feedback_query_equals_the_loop(spark):
     got = sorted((r.name, r["at"], r.i, r.transition_type) for r in catalogue.QUERIES["feedback_memory"](spark, sf).collect())
     assert got == sorted(r[:4] for r in looped(entities, corrections.values()))
     assert any(r[3] == "contradiction" for r in got)
+
+
+def test_the_ablation_counts_what_names_would_merge(spark):
+    names = misspelt(60, 11) + ["same name"] * 3 + [""]
+    rows = [(i, "pq"[i % 2], n, ["x", "y"][: i % 3], i % 4 == 0 or None) for i, n in enumerate(names)]
+    root = {i: i for i, *_ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, ti, a, *_ in rows:
+        for j, tj, b, *_ in rows[:i]:
+            if ti == tj and normal(a) and normal(b) and score(normal(b), normal(a)) >= 0.85:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    duplicates, n, aliases = sum(find(i) != i for i in root), len(rows), sum(i % 3 for i in root)
+    got = resolve.ablation(spark.createDataFrame(rows, "entity_id int, type string, name string, aliases array<string>, web_verified boolean")).first()
+    aliased = sum(i % 3 > 0 for i in root)
+    assert tuple(got) == (n, n + aliases, duplicates, n - duplicates, (2 * n - duplicates) // 2, duplicates / n, aliased, aliases, aliases / aliased, sum(i % 4 == 0 for i in root) / n)
+    assert duplicates > 10
+    empty = resolve.ablation(spark.createDataFrame([], "entity_id int, type string, name string, aliases array<string>, web_verified boolean")).first()
+    assert empty.entities == empty.duplicates == empty.duplication_rate == 0
+
+
+def test_gold_alternatives_and_entity_texts(spark):
+    from tidemark.functions import scores
+    from tidemark.operators.compile import entity_text
+
+    rows = [("yes", '{"score": 0.8}'), ("  ", '{"score": 0.8}'), (None, '{"score": 1}'), ("no", "broken")]
+    df = spark.createDataFrame(rows, "h string, a string")
+    assert [r[0] for r in df.select(scores.judged_answer(F.col("h"), F.col("a"))).collect()] == [1.0, 0.0, 0.0, 0.0]
+    assert spark.range(1).select(scores.gold_text(F.array(F.lit("a"), F.lit("b")))).first()[0] == "a | b"
+    states = [({"description": "d", "x": "1"},), ({"description": "", "b": "2", "a": "1", "_is_event": "true", "c": ""},), (None,), ({},), ({"description": "z" * 900},)]
+    texts = [r[0] for r in spark.createDataFrame(states, "s map<string,string>").select(entity_text(F.lit("Ann"), F.lit("person"), F.col("s"))).collect()]
+    assert texts == ["Ann (person): d", "Ann (person): a: 1; b: 2", "Ann (person): ", "Ann (person): ", ("Ann (person): " + "z" * 900)[:500]]

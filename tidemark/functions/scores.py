@@ -66,6 +66,17 @@ def judged_overall(answer: Column) -> Column:
     return F.coalesce(F.get_json_object(json_body(answer), "$.overall").try_cast("double"), F.lit(0.5))
 
 
+def gold_text(gold: Column) -> Column:
+    """A list of accepted answers as one text of alternatives."""
+    return F.array_join(gold, " | ")
+
+
+def judged_answer(hypothesis: Column, answer: Column) -> Column:
+    """:func:`judged_json` of a judge's *answer*; 0 where there is no hypothesis to judge."""
+    given = F.trim(F.coalesce(hypothesis, F.lit(""))) != ""
+    return F.when(given, judged_json(answer)).otherwise(0.0)
+
+
 def topic(fact: Column) -> Column:
     """job, interests, family or background, by the first list of words that has one in the fact."""
     return F.when(_has_any(fact, "work", "job", "career"), "job").when(_has_any(fact, "hobby", "like", "enjoy", "love"), "interests").when(

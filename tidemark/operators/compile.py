@@ -56,3 +56,14 @@ def temporal_groups(entities: DataFrame, reference: Column) -> DataFrame:
     from .bitemporal import temporal_status
 
     return entities.withColumn("status", temporal_status(F.col("valid_from"), F.col("valid_to"), reference))
+
+
+def entity_text(name: Column, kind: Column, state: Column, most: int = 500) -> Column:
+    """What stands for an entity when it is embedded: "name (type): description", cut to *most* characters.
+
+    Without a description the other values of its state, by key, stand in for it.
+    """
+    filled = F.filter(F.array_sort(F.map_entries(state)), lambda e: ~e["key"].isin("description", "_is_event") & (F.coalesce(e["value"], F.lit("")) != ""))
+    listed = F.array_join(F.transform(filled, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+    told = F.coalesce(F.nullif(F.try_element_at(state, F.lit("description")), F.lit("")), listed, F.lit(""))
+    return F.substring(F.concat(F.coalesce(name, F.lit("")), F.lit(" ("), F.coalesce(kind, F.lit("")), F.lit("): "), told), 1, most)

@@ -233,3 +233,23 @@ def report(decisions: DataFrame) -> DataFrame:
     """method, n, share: the decisions of the cascade by the tier that made them."""
     per = decisions.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
     return per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("_all")))).select("method", "n", (F.col("n") / F.col("_all")).alias("share"))  # one row
+
+
+def ablation(entities: DataFrame, threshold: float = STRING_MATCH) -> DataFrame:
+    """One row: what resolution has saved and what it has missed, of entities (entity_id, type, name, aliases, web_verified).
+
+    entities, mentions (with an alias for each merged one), duplicates (of entities of one type by their names, beyond the first of a
+    cluster), after_names (entities without those), halfway, duplication_rate, aliased, aliases, aliases_per_aliased, web_rate.
+    """
+    n_aliases = F.size(F.coalesce("aliases", F.array().cast("array<string>")))
+    counts = entities.agg(
+        F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum(n_aliases), F.lit(0)).alias("aliases"), F.count_if(n_aliases > 0).alias("aliased"), F.count_if(F.coalesce("web_verified", F.lit(False))).alias("web")
+    )
+    missed = duplicate_clusters(entities, threshold).agg(F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("duplicates"))
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    both = counts.crossJoin(missed)  # one row each
+    after = F.col("entities") - F.col("duplicates")
+    return both.select(
+        "entities", (F.col("entities") + F.col("aliases")).alias("mentions"), "duplicates", after.alias("after_names"), F.floor((after + F.col("entities")) / 2).alias("halfway"),
+        share("duplicates", "entities").alias("duplication_rate"), "aliased", "aliases", share("aliases", "aliased").alias("aliases_per_aliased"), share("web", "entities").alias("web_rate"),
+    )

@@ -431,15 +431,18 @@ def relevance_tiers(spark, sf):
     return facts.relevant_facts(named, ids).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("question_classes", """
-SELECT question, kind FROM (VALUES
-  ('At the start of 1990, who led?', 'compound_time'), ('Who was it in 1990?', 'point_in_time'), ('When did it cease?', 'end_time'),
-  ('When did it begin?', 'start_time'), ('Who came earlier?', 'ordering'), ('How long did it take?', 'duration'),
-  ('How many were there?', 'count'), ('Give the sequence.', 'timeline'), ('Who is it?', 'general')) q(question, kind)
+@query("question_classes", r"""
+WITH q AS (SELECT item_id, lower(text) AS q FROM benchmark)
+SELECT item_id, CASE
+  WHEN (regexp_matches(q, 'at the') AND regexp_matches(q, 'time of')) OR regexp_matches(q, 'at the start|at the end') THEN 'compound_time'
+  WHEN regexp_matches(q, 'in \d{4}|during \d{4}') THEN 'point_in_time' WHEN regexp_matches(q, 'stop|end|cease|no longer|finish') THEN 'end_time'
+  WHEN regexp_matches(q, 'start|begin|first time|initially') THEN 'start_time' WHEN regexp_matches(q, 'first|last|before|after|earlier|later') THEN 'ordering'
+  WHEN regexp_matches(q, 'how long|duration|years|span|period') THEN 'duration' WHEN regexp_matches(q, 'how many|count|number of') THEN 'count'
+  WHEN regexp_matches(q, 'timeline|sequence|order') THEN 'timeline' ELSE 'general' END AS kind
+FROM q
 """)
 def question_classes(spark, sf):
-    asked = ["At the start of 1990, who led?", "Who was it in 1990?", "When did it cease?", "When did it begin?", "Who came earlier?", "How long did it take?", "How many were there?", "Give the sequence.", "Who is it?"]
-    return spark.createDataFrame([(q,) for q in asked], "question string").select("question", facts.question_class(F.col("question")).alias("kind"))
+    return load(spark, sf, "benchmark").select("item_id", facts.question_class(F.col("text")).alias("kind"))
 
 
 # -- vectors -----------------------------------------------------------------------------------
@@ -1189,6 +1192,15 @@ def seed_entities(spark, sf):
     return subgraph.with_fallbacks(queries, subgraph.named_seeds(mentions, known), hits, known)
 
 
+@query("resolution_ablation")
+def resolution_ablation(spark, sf):
+    """Parts as entities of their size, their brand an alias of every third; what names alone would still merge."""
+    p = load(spark, sf, "part")
+    alias = F.when(F.col("p_partkey") % 3 == 0, F.array("p_brand"))
+    known = p.select(F.col("p_partkey").alias("entity_id"), F.col("p_size").cast("string").alias("type"), F.col("p_name").alias("name"), alias.alias("aliases"), (F.col("p_partkey") % 5 == 0).alias("web_verified"))
+    return resolve.ablation(known)
+
+
 @query("feedback_memory")
 def feedback_memory(spark, sf):
     """User turns name their first word; assistant turns correct theirs, if that or the like was known by then."""
