@@ -38,3 +38,16 @@ def test_slices_cut_by_text_and_keep_every_row():
 def test_fresh_names_do_not_clash(spark):
     df = spark.createDataFrame([(1, 2)], "Key int, key_ int")
     assert m.fresh(df, "key") == "key__"
+
+
+def test_only_a_written_table_of_the_shared_folder_is_discarded(spark, tmp_path):
+    from pathlib import Path
+
+    written = m.materialize(spark.range(9), "discard-test")
+    folder = Path(written.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists()
+    m.discard(written)
+    assert not folder.exists()
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    m.discard(spark.read.parquet(str(tmp_path / "own")))
+    assert (tmp_path / "own").exists()
