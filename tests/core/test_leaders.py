@@ -212,3 +212,13 @@ def test_gold_alternatives_and_entity_texts(spark):
     states = [({"description": "d", "x": "1"},), ({"description": "", "b": "2", "a": "1", "_is_event": "true", "c": ""},), (None,), ({},), ({"description": "z" * 900},)]
     texts = [r[0] for r in spark.createDataFrame(states, "s map<string,string>").select(entity_text(F.lit("Ann"), F.lit("person"), F.col("s"))).collect()]
     assert texts == ["Ann (person): d", "Ann (person): a: 1; b: 2", "Ann (person): ", "Ann (person): ", ("Ann (person): " + "z" * 900)[:500]]
+
+
+def test_shortest_prompts_under_a_budget(spark):
+    from tidemark.operators import scoring
+
+    rows = [(i, "ab"[i % 2], "p" * (i % 7), "q" * (i % 5)) for i in range(40)]
+    got = scoring.shortest_first(spark.createDataFrame(rows, "id int, kind string, prompt string, question string"), "kind", "prompt", "id", 4, "question", 6)
+    for kind in "ab":
+        want = sorted((len(p), i) for i, k, p, q in rows if k == kind and len(p + chr(10) + q) < 6)[:4]
+        assert [r.id for r in got.filter(F.col("kind") == kind).orderBy("position").collect()] == [i for _, i in want]

@@ -54,10 +54,12 @@ def advantages(rollouts: DataFrame, group: str, reward: str, baseline: str = "me
     return rollouts.join(per, group).withColumn("advantage", F.col(reward) - base).drop("_mean", "_min")
 
 
-def shortest_first(rows: DataFrame, kind: str, text: str, key: str, n: int) -> DataFrame:
-    """The *n* shortest texts of each kind (a sampling operator)."""
+def shortest_first(rows: DataFrame, kind: str, text: str, key: str, n: int, question: str | None = None, budget: int | None = None) -> DataFrame:
+    """The *n* shortest texts of each kind (a sampling operator), of those that stay below *budget* characters with a line break and their *question*."""
     w = Window.partitionBy(kind).orderBy(F.length(text), key)
-    return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
+    size = F.length(text) + (1 + F.length(F.coalesce(question, F.lit(""))) if question else F.lit(0))
+    fitting = rows if budget is None else rows.filter(size < budget)
+    return fitting.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
 
 
 def policy_loss(rollouts: DataFrame, group: str, reward: str, log_probs: str, baseline: str = "mean") -> DataFrame:
