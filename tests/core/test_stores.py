@@ -61,13 +61,13 @@ def test_a_note_of_any_depth_keeps_its_order():
 
 def test_events_keep_their_dates_and_types_are_mapped(spark):
     told = [
-        ("MoMA visit", "event", {"date": "2023-05-20", "description": "saw it"}, None), ("Move", "Event", "helped", "2023-05-19"), ("Move 2", "event", {"x": "1"}, "2023-05-18"),
+        ("Opera night", "event", {"date": "2023-05-20", "description": "saw it"}, None), ("Move", "Event", "helped", "2023-05-19"), ("Move 2", "event", {"x": "1"}, "2023-05-18"),
         ("tea", "preference", "green", "2023-01-01"), ("home", "place", "here", None), ("Ann", "person", "friend", None), ("odd", None, "?", None),
     ]
     raw = json.dumps({"entities": [{"name": n, "type": t, "state": s, "date": d} for n, t, s, d in told]})
     rows = world_model.extraction(spark.createDataFrame([(1, raw)], "at long, text string"), "at", "text", mark_events=True)["entities"].orderBy("i").collect()
     assert [(r.name, r.type, dict(r.state)) for r in rows] == [
-        ("MoMA visit", "event", {"date": "2023-05-20", "description": "saw it", "_is_event": "true"}),
+        ("Opera night", "event", {"date": "2023-05-20", "description": "saw it", "_is_event": "true"}),
         ("Move", "event", {"description": "helped", "_is_event": "true", "date": "2023-05-19"}),
         ("Move 2", "event", {"x": "1", "_is_event": "true", "date": "2023-05-18"}),
         ("tea", "belief", {"description": "green"}), ("home", "concept", {"description": "here"}), ("Ann", "person", {"description": "friend"}), ("odd", "concept", {"description": "?"}),
