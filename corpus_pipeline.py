@@ -16,7 +16,7 @@ from tidemark.llm.packing import default_tokenizer, pack
 from tidemark.llm.secrets import redact
 from tidemark.llm.toxicity import drop_toxic
 
-#: Workers have run four stages before they pack, so they remember less (bytes) than in a run of their own; the pieces are the same.
+#: Workers have run four stages before they pack, so they remember less (bytes) than in a run of their own, and nothing beyond a task; the pieces are the same.
 REMEMBERED = 40_000_000
 
 
@@ -42,7 +42,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: the pieces of all documents, by sequence and offset."""
-    return pack(docs, default_tokenizer(), remembered=REMEMBERED)
+    return pack(docs, default_tokenizer(), remembered=REMEMBERED, keep=False)
 
 
 STAGES = [

@@ -87,6 +87,12 @@ def test_a_third_of_copies_spreads_over_ranges(spark):
     assert sum(r.length for r in without) == sum(r.length for r in df.collect())
 
 
+def test_a_memory_that_ends_with_its_task_changes_no_piece(spark):
+    rows = AWKWARD + [(100 + i, " ".join(words(300, i))) for i in range(40)]
+    pieces = [sorted(map(tuple, m.pack(docs_frame(spark, rows), PATH, remembered=size, keep=keep).collect()), key=str) for size, keep in ((m.REMEMBERED, True), (5000, False))]
+    assert pieces[0] == pieces[1]
+
+
 def test_hilbert_keys_walk_the_grid_by_single_steps():
     side, bits = 8, 3
     grid = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)])

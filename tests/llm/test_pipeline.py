@@ -49,8 +49,8 @@ def test_run_equals_brute_force(spark):
 
 
 def test_stages_keep_the_columns_and_take_awkward_rows(spark):
-    for rows in (AWKWARD, []):
-        df = docs_frame(spark, rows)
+    for rows, extra in ((AWKWARD, ()), (AWKWARD, ("key", "score", "digest", "rid", "block", "range")), ([], ())):
+        df = docs_frame(spark, rows, extra)
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, df, SF)
             assert out.columns == df.columns and out.schema == df.schema

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -135,3 +136,11 @@ def slices(batch: pa.RecordBatch, max_chars: int) -> Iterator[pa.RecordBatch]:
             start, held = i, 0
         held += n
     yield batch.slice(start)
+
+
+def give_back() -> None:
+    """Return memory that a worker has freed to its machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

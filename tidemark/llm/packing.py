@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_or_empty
+from .common import give_back, slices, table, text_or_empty
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -225,6 +225,12 @@ def encoder_of(path: str, remembered: int = REMEMBERED) -> WordEncoder:
     return _encoders[path]
 
 
+def forget(path: str) -> None:
+    """Drop the worker's encoder and return what is free: workers outlive tasks, and take turns at them."""
+    _encoders.pop(path, None)
+    give_back()
+
+
 # -- sequences -------------------------------------------------------------------------------
 
 
@@ -278,10 +284,10 @@ PIECES = pa.schema(
 PIECES_DDL = ", ".join(f"{n} long" for n in PIECES.names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max_chars: int = 4_000_000, remembered: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max_chars: int = 4_000_000, remembered: int = REMEMBERED, keep: bool = True) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A worker keeps the ids of strings in twice *remembered* bytes; less memory costs time and changes nothing else.
+    A worker keeps the ids of strings in twice *remembered* bytes, with *keep* from task to task; less memory costs time and changes nothing else.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,6 +305,9 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max
                     rows += packer.add(doc_id, encoder.encode(text) + end)
                 if rows:
                     yield out(rows)
+        if not keep:
+            del encoder
+            forget(tokenizer_path)
         if rows := list(packer.finish()):
             yield out(rows)
 
