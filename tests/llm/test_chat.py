@@ -83,3 +83,15 @@ def test_plan_is_native_and_empty_table(spark, capsys):
     assert df.collect() == []
     m.read_back(m.windows(frame(spark, chats()))).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_very_long_turns_and_conversations_with_clashing_columns(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "<|\\" * 500_000), (1, 2, "assistant", "é" * 2_000_000)]
+    rows += [(2, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(20_000)]
+    df = frame(spark, rows)
+    for name in ("formatted", "n_new", "tokens", "start"):
+        df = df.withColumn(name, F.lit("x"))
+    got = {r.conv_id: r for r in m.read_back(m.windows(df)).collect()}
+    for c, turns in ordered(rows).items():
+        assert got[c].turns == "".join(f"{r}\n{x}\n" for r, x in turns)
+        assert got[c].loss == "".join(x for r, x in turns if r == "assistant")
