@@ -35,6 +35,11 @@ def test_slices_cut_by_text_and_keep_every_row():
     assert list(m.slices(batch.slice(0, 0), 100)) == []
 
 
+def test_slices_count_binary_columns():
+    batch = pa.RecordBatch.from_pydict({"i": [0, 1, 2], "b": [b"x" * 90, None, b"y" * 90]})
+    assert [p.column("i").to_pylist() for p in m.slices(batch, 100)] == [[0, 1], [2]]
+
+
 def test_fresh_names_do_not_clash(spark):
     df = spark.createDataFrame([(1, 2)], "Key int, key_ int")
     assert m.fresh(df, "key") == "key__"

@@ -98,3 +98,10 @@ def test_query_equals_plain_python(spark):
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-64:]))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
         assert r.feature == m.cosine_hash(np.frombuffer(payload, np.uint8).reshape(-1, 64)).hex()
+
+
+def test_very_long_texts_come_back(spark):
+    texts = {1: "é" * 3_000_000, 2: "ab\n" * 2_000_000, 3: "short"}
+    for r in m.read_png(m.encode_png(docs_frame(spark, list(texts.items())))).collect():
+        p = m.payload_of(texts[r.doc_id])
+        assert (r.n_bytes, r.payload_sha256, r.error) == (len(texts[r.doc_id].encode()), hashlib.sha256(p).hexdigest(), None)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tidemark"
 #: A key is hot with over 1/HOT_SHARE of the rows: fewer than HOT_SHARE keys.
 HOT_SHARE = 1000
+#: Columns whose bytes :func:`slices` counts.
+SIZED = (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,12 +119,12 @@ def map_rows(
 
 
 def slices(batch: pa.RecordBatch, max_chars: int) -> Iterator[pa.RecordBatch]:
-    """Cut a record batch where its string columns reach *max_chars* bytes."""
+    """Cut a record batch where its string and binary columns reach *max_chars* bytes."""
     import pyarrow.compute as pc
 
     sizes = None
     for column in batch.columns:
-        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        if any(of(column.type) for of in SIZED):
             n = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
             sizes = n if sizes is None else sizes + n
     if sizes is None or int(sizes.sum()) <= max_chars:
