@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from tidemark.llm import warc as m
 from tidemark.llm.common import scratch_path
@@ -128,3 +129,27 @@ def test_salvage_keeps_what_a_broken_member_gave():
 def test_empty_table(spark):
     folder = scratch_path(spark, "warc-test")
     assert m.write_archives(m.with_record_types(frame(spark, [])), folder).collect() == []
+
+
+def test_very_long_html_comes_back(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdefgh é<>", k=3_000_000))
+    folder = scratch_path(spark, "warc-long")
+    rows = [(1, "http://a/", long), (2, "http://b/", long), (3, "http://c/", "x")]
+    manifest = m.write_archives(m.with_record_types(frame(spark, rows)), folder)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in m.read_archives(spark, folder, manifest).collect()}
+    size = len(long.encode())
+    assert got == {1: (size, "revisit", 2), 2: (size, "response", None), 3: (1, "response", None)}
+
+
+def test_archives_are_written_where_spark_reads(spark, tmp_path):
+    assert m.qualified(spark, str(tmp_path)) == f"file://{tmp_path}"
+    assert m.qualified(spark, f"file:{tmp_path}") == f"file://{tmp_path}"
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    before = hadoop.get("fs.defaultFS")
+    hadoop.set("fs.defaultFS", "viewfs://shared/")
+    hadoop.set("fs.viewfs.mounttable.shared.link./archives", tmp_path.as_uri())
+    try:
+        assert m.qualified(spark, "/archives/warc") == "viewfs://shared/archives/warc"
+    finally:
+        hadoop.set("fs.defaultFS", before)

@@ -250,7 +250,15 @@ def salvage(data: bytes) -> Iterator[dict]:
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri)
+
+
+def qualified(spark, folder: str) -> str:
+    """*folder* with the scheme and authority that Spark takes it to have, so that tasks write where Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = store.makeQualified(path).toUri().toString()
+    return found if "://" in found else found.replace(":/", ":///", 1)
 
 
 def write_archives(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -258,6 +266,7 @@ def write_archives(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES
 
     An attempt that is lost leaves files that no manifest row names.
     """
+    folder = qualified(records.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _filesystem(folder)
