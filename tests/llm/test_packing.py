@@ -31,6 +31,12 @@ def test_words_encoded_apart_equal_the_whole_text():
         same(x)
 
 
+@settings(max_examples=2000, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=20))
+def test_latin_words_that_the_model_reads_have_the_ids_of_the_library(text):
+    same(text)
+
+
 @settings(max_examples=2000, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=30))
 def test_any_text_has_the_ids_of_the_library(text):

@@ -166,13 +166,24 @@ class Memory:
             self.old, self.young, self.held = self.young, {}, 0
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter of each byte in byte-level vocabularies: printable bytes are their own, the others count on from 256."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class WordEncoder:
     """The ids of the word-level BPE file, each distinct string between white space encoded once per worker.
 
     White space always ends a word and gives no ids, so a text's ids are those of
     its parts between white space, one after the other.  Latin parts are split into
-    words here, which more parts share; what holds other letters or might hold a
-    control string goes to the tokenizer as it is.
+    words here, which more parts share: a word is lower case, composed and one match
+    of the pattern, so the file's model reads its bytes without the steps before.
+    What holds other letters or might hold a control string goes to the whole tokenizer.
     """
 
     # Fixed value: the file's own splitting pattern (white space is dropped).
@@ -184,16 +195,27 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.find = regex.compile(self.PATTERN).findall
         self.separators = regex.compile(r"[\x1c-\x1f]").search  # white space to str.split() only
         self.spaces = regex.compile(r"\s+").split
         self.memory = Memory()
 
+    @staticmethod
+    def plain(part: str) -> bool:
+        """Composed Latin letters, which lower-case one by one, and no control string."""
+        return "<|" not in part and max(part, default="") < "\u0250" and "İ" not in part
+
     def words(self, part: str) -> list[str]:
         """Strings whose ids, one after the other, are those of *part*."""
-        if "<|" in part or max(part, default="") >= "\u0250" or "İ" in part:
-            return [part]
-        return self.find(part.lower())  # composed Latin letters, which lower-case one by one
+        return self.find(part.lower()) if self.plain(part) else [part]
+
+    def word_ids(self, word: str) -> bytes:
+        """The ids of one of :meth:`words`."""
+        if not self.plain(word):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -205,8 +227,7 @@ class WordEncoder:
         if new:
             words = {p: self.words(p) for p in new}  # a word is a part of its own, so one memory serves both
             ids, unknown = self.memory.recalled({w for ws in words.values() for w in ws})
-            order = list(unknown)
-            ids |= {w: array("I", e.ids).tobytes() for w, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False))}
+            ids |= {w: self.word_ids(w) for w in unknown}
             found |= {p: b"".join([ids[w] for w in ws]) for p, ws in words.items()}
             self.memory.learn(ids)
             self.memory.learn(found)
