@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tests.core.test_leaders import misspelt, normal, score
 from tidemark.operators import subgraph
@@ -52,6 +53,21 @@ def test_fifty_queries_equal_a_loop(spark):
         assert {i: sorted(v) for i, v in got.items()} == {i: v for i, v in want.items() if v}
 
 
+@pytest.mark.parametrize("most", [3, 6])
+def test_a_hub_adds_only_the_neighbours_that_can_count(spark, most):
+    rng = random.Random(most)
+    edges = [(f"n{i % 30}", "hub", "xy"[i % 2]) for i in range(90)] + [("hub", f"n{i}", "z") for i in range(9)] + graph_of(most, 12, 40) + [("hub", "hub", "x")]
+    queries = [(i, ["transitive", "neighborhood"][i % 2], [[], ["x"]][i // 2 % 2]) for i in range(12)]
+    seeds = [(i, f"n{rng.randrange(12)}", 1.0) for i, *_ in queries] + [(i, "hub", 0.9) for i, *_ in queries if i % 3 == 0]
+    e, s = spark.createDataFrame(edges, "src string, dst string, type string"), spark.createDataFrame(seeds, "query_id int, node string, score double")
+    got = {}
+    for r in subgraph.explored(e, s, spark.createDataFrame(queries, "query_id int, pattern string, wanted array<string>"), hops=3, max_paths=most).collect():
+        got.setdefault(r.query_id, []).append((r.nodes, r.types, round(r.score, 9), r.hop))
+    assert {i: sorted(v) for i, v in got.items()} == {i: looped(edges, [(n, x) for q, n, x in seeds if q == i], p, w, 3, most) for i, p, w in queries}
+    sides = subgraph.first_neighbours(subgraph.both_ways(e), s.filter("node = 'hub'"), most).collect()
+    assert sorted((r.type, r.other) for r in sides) == sorted((t, o) for t in "xyz" for o in sorted({b for a, b, k in edges + [(y, x, k) for x, y, k in edges] if a == "hub" and k == t})[:most])
+
+
 def test_retrieved_nodes_have_their_best_path_and_source(spark):
     paths = spark.createDataFrame([(1, ["a"], 1.0), (1, ["a", "b"], 0.8), (1, ["a", "b", "c"], 0.2), (2, ["c"], 0.5)], "query_id int, nodes array<string>, score double")
     names = spark.createDataFrame([("a", "Ann")], "node string, name string")

@@ -139,9 +139,12 @@ def explored(edges: DataFrame, seeds: DataFrame, queries: DataFrame, hops: int =
     others score 0.3; empty or null: all).  0.8 a hop.  Within a query each undirected edge is used once, by the
     first path in the order of (hop, score descending, nodes, types), and of those the first *max_paths* count, seeds included.
     All queries advance together; edges meet the frontier on the node, so a hub's edges move once a hop and not once a query.
+    A path grows only by the first *max_paths* neighbours of its end in each type: those are alike but for the last node, so of
+    each later one as many edges that are taken or come before it are at hand, and it can't count.
     """
     rules = queries.select("query_id", F.coalesce("pattern", F.lit("direct")).alias("pattern"), F.coalesce("wanted", F.array().cast("array<string>")).alias("wanted"))
     order = [F.desc("score"), "nodes", "types"]
+    kind = edges.schema["src"].dataType.simpleString()
 
     def best(df: DataFrame, taken: DataFrame | None) -> DataFrame:
         if max_paths is None:
@@ -151,17 +154,18 @@ def explored(edges: DataFrame, seeds: DataFrame, queries: DataFrame, hops: int =
             numbered = numbered.join(taken, "query_id", "left").withColumn("r", F.col("r") + F.coalesce("taken", F.lit(0))).drop("taken")
         return numbered.filter(F.col("r") <= max_paths).drop("r")
 
-    start = seeds.select("query_id", F.array("node").alias("nodes"), F.array().cast("array<string>").alias("types"), "score", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("edge"))
+    start = seeds.select("query_id", F.array("node").alias("nodes"), F.array().cast("array<string>").alias("types"), "score", F.lit(0).alias("hop"), F.lit(None).cast(f"struct<a:{kind},b:{kind}>").alias("edge"))
     paths = settled(best(start, None))
     sides = both_ways(edges)
     for h in range(1, hops + 1):
         frontier = paths.filter(F.col("hop") == h - 1).drop("hop", "edge").join(rules.filter("pattern <> 'direct'"), "query_id")
-        grown = frontier.withColumn("node", F.element_at("nodes", -1)).join(sides, "node")
+        ends = frontier.withColumn("node", F.element_at("nodes", -1))
+        grown = ends.join(sides if max_paths is None else first_neighbours(sides, ends, max_paths), "node")
         grown = grown.filter((F.col("pattern") != "transitive") | (F.size("types") == 0) | (F.col("type") == F.try_element_at("types", F.lit(-1))))
         factor = F.when((F.size("wanted") == 0) | F.array_contains("wanted", F.col("type")), 1.0).otherwise(0.3)
         grown = grown.select(
             "query_id", F.concat("nodes", F.array("other")).alias("nodes"), F.concat("types", F.array("type")).alias("types"),
-            (F.col("score") * 0.8 * factor).alias("score"), F.lit(h).alias("hop"), F.concat_ws(" ", F.least("node", "other"), F.greatest("node", "other")).alias("edge"),
+            (F.col("score") * 0.8 * factor).alias("score"), F.lit(h).alias("hop"), F.struct(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).alias("edge"),
         )
         if h > 1:
             grown = grown.join(paths.filter("edge is not null").select("query_id", "edge"), ["query_id", "edge"], "left_anti").select(paths.columns)
@@ -172,6 +176,13 @@ def explored(edges: DataFrame, seeds: DataFrame, queries: DataFrame, hops: int =
     return paths.select("query_id", "nodes", "types", "score", "hop")
 
 
+def first_neighbours(sides: DataFrame, ends: DataFrame, n: int) -> DataFrame:
+    """node, other, type: of the sides that start at one of *ends* (node), the first *n* different neighbours by node and type."""
+    near = sides.join(ends.select("node").distinct(), "node", "left_semi")
+    w = Window.partitionBy("node", "type").orderBy("other")
+    return near.withColumn("r", F.dense_rank().over(w)).filter(F.col("r") <= n).select("node", "other", "type").distinct()
+
+
 def retrieved(paths: DataFrame, top: int = 15, names: DataFrame | None = None) -> DataFrame:
     """query_id, node, score, source (seed, or hop_ and the number of its nearest path), rank[, name]: each query's *top* nodes by the best path through them."""
     at = paths.select("query_id", "score", F.posexplode("nodes").alias("i", "node"))
