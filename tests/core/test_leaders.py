@@ -178,6 +178,29 @@ def test_the_feedback_query_equals_the_loop(spark):
     assert any(r[3] == "contradiction" for r in got)
 
 
+@pytest.mark.parametrize("least,block,share", [(0.7, 7, 1000), (0.3, 1000, 1000), (0.85, 16, 25)])
+def test_improving_names_are_those_that_beat_all_before(spark, least, block, share):
+    asked = sorted({normal(x) for x in misspelt(60, 21)} | {"", "é", "a" * 300, "naïve été"})
+    names = [*dict.fromkeys(normal(x) for x in misspelt(90, 22) + ["été naïve", "a" * 299 + "b", "e", "at"] if normal(x))]
+    a = spark.createDataFrame([(n,) for n in asked + asked[:5]], "normal string")
+    b = spark.createDataFrame([(n, i // 2) for i, n in enumerate(names)], "normal string, born int")
+    got = resolve.improving_names(a.filter("normal <> ''"), b, "born", least, block, share).collect()
+    assert all(r.score == score(r.na, r.nb) >= least for r in got)
+    order = sorted((i // 2, n) for i, n in enumerate(names))
+    for na in filter(None, asked):
+        for until in (4, len(names)):
+            want = min(((-s, i, n) for i, n in order if i < until and (s := score(na, n)) >= least), default=None)
+            assert min(((-r.score, r.born, r.nb) for r in got if r.na == na and r.born < until), default=None) == want
+    if share >= len(names):
+        best, want = {}, set()
+        for na in filter(None, asked):
+            for i, n in order:
+                if (s := score(na, n)) >= least and s > best.get(na, 0):
+                    best[na] = s
+                    want.add((na, n))
+        assert {(r.na, r.nb) for r in got} == want and len(got) == len(want)
+
+
 def test_the_ablation_counts_what_names_would_merge(spark):
     names = misspelt(60, 11) + ["same name"] * 3 + [""]
     rows = [(i, "pq"[i % 2], n, ["x", "y"][: i % 3], i % 4 == 0 or None) for i, n in enumerate(names)]

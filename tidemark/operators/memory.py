@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_score, normalize_name
-from .resolve import candidate_names
+from .resolve import improving_names
 
 #: The least score by which a correction means a name.
 CORRECTION_LEAST = 0.7
@@ -55,14 +55,17 @@ def correction_targets(entities: DataFrame, corrections: DataFrame, least: float
 
     An as-of similarity join: names of *entities* (at, i, name) count from the conversation that first tells
     them, whose entities come before its corrections; the best score of *least* or more wins, then the name born first.
+    A name that is known itself scores 1, as no other can; only the rest is searched.
     """
     known = births(entities)
     asked = corrections.select("at", "i", normalize_name("what").alias("na")).filter("na <> ''")
-    names = candidate_names(asked.select(F.col("na").alias("normal")), known.select(F.col("name").alias("normal")), least)
-    scored = names.withColumn("score", normal_score(F.col("na"), F.col("nb"))).filter(F.col("score") >= least)
-    met = asked.join(scored, "na").join(known.withColumnRenamed("name", "nb"), "nb").filter(F.col("born.at") <= F.col("at"))
+    told = asked.join(known.select(F.col("name").alias("na"), "born"), "na", "left").withColumn("is_known", F.coalesce(F.col("born.at") <= F.col("at"), F.lit(False)))
+    rest = told.filter("not is_known").select("at", "i", "na")
+    scored = improving_names(rest.select(F.col("na").alias("normal")), known.select(F.col("name").alias("normal"), "born"), "born", least)
+    met = rest.join(scored, "na").filter(F.col("born.at") <= F.col("at")).select("at", "i", "score", "born", "nb")
+    every = met.unionByName(told.filter("is_known").select("at", "i", F.lit(1.0).alias("score"), "born", F.col("na").alias("nb")))
     best = F.min(F.struct((-F.col("score")).alias("minus"), "born", "nb")).alias("x")
-    return met.groupBy("at", "i").agg(best).select("at", "i", F.col("x.nb").alias("name"), (-F.col("x.minus")).alias("score"))
+    return every.groupBy("at", "i").agg(best).select("at", "i", F.col("x.nb").alias("name"), (-F.col("x.minus")).alias("score"))
 
 
 def remembered(entities: DataFrame, corrections: DataFrame, least: float = CORRECTION_LEAST) -> DataFrame:
