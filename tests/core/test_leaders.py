@@ -135,6 +135,21 @@ def test_a_hot_object_is_spread_and_makes_no_pairs_beyond_the_cap(spark):
     assert facts.capped_overlaps(df, 3).groupBy("a_subject").count().filter("count = 3").count() == 4000
 
 
+@pytest.mark.parametrize("hot", [10, 40, 10**6])
+@pytest.mark.parametrize("k,width", [(1, 4), (3, 2), (50, 5)])
+def test_hot_and_other_objects_have_the_same_overlaps(spark, monkeypatch, hot, k, width):
+    monkeypatch.setattr(facts, "HOT_FACTS", hot)
+    rows = intervals(k + width) + [("s", "r", 9, 5 * i, 5 * i + 7) for i in range(8)]
+    df = spark.createDataFrame(rows + rows[:9], SCHEMA)
+    got = sorted((r["rank"], *((r[f"{p}_subject"], r[f"{p}_role"], r[f"{p}_object"], r[f"{p}_start"], r[f"{p}_end"]) for p in "ab")) for r in facts.capped_overlaps(df, k, width).collect())
+    assert got == sorted((i, a, b) for a in set(rows) if a[3] < a[4] for i, b in enumerate(sorted({b for b in rows if meet(a, b)}, key=ordered)[:k], 1))
+
+
+def test_an_object_of_ordinary_size_is_swept_without_a_shuffle_of_pairs(spark):
+    df = facts.capped_overlaps(spark.createDataFrame(intervals(1), SCHEMA), 3)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
 # -- feedback -------------------------------------------------------------------------------
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .graph import settled
 
 FACT = ("start", "end", "subject", "role")
+#: Facts of one object that a task takes as one; objects with more are spread over cells or running counts.
+HOT_FACTS = 100_000
 
 
 def _cells(start: Column, end: Column, width: int) -> Column:
@@ -65,54 +67,76 @@ def overlap_counts(facts: DataFrame, start: str = "start", end: str = "end") ->
     return counted.drop("began_before", "ended_by")
 
 
+def hot_objects(facts: DataFrame) -> DataFrame:
+    """object: those with over HOT_FACTS facts, so at most one for so many rows."""
+    return settled(facts.groupBy("object").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_FACTS).select("object"))
+
+
 def capped_overlaps(facts: DataFrame, k: int, width: int = 4) -> DataFrame:
     """For each different fact at most *k* facts that overlap it, in the order of (start, end, subject, role).
 
-    No pairs beyond those are made.  Each cell of the time grid is swept once in that order: a fact gets the first
-    *k* that are still open when it starts, and is handed to every open one that has fewer than *k* from this cell.  The
-    best *k* of a fact's cells are its answer.
+    No pairs beyond those are made.  An object is swept once in that order: a fact gets the first
+    *k* that are still open when it starts, and is handed to every open one that has fewer than *k* so far.  An object of over
+    HOT_FACTS facts is swept by the cells of the time grid; the best *k* of a fact's cells are its answer.
     """
-    one = facts.select("object", *FACT).distinct()
-    cells = one.withColumn("cell", F.explode(_cells(F.col("start"), F.col("end"), width)))
-    ordered = cells.repartition("object", "cell").sortWithinPartitions("object", "cell", *FACT)
-    kinds = {c: one.schema[c].dataType.simpleString() for c in ("object", *FACT)}
+    one = facts.select("object", *FACT).filter(F.col("start") < F.col("end"))
+    hot = hot_objects(one)
+    if hot.isEmpty():
+        return _swept(one, k)
+    whole = _swept(one.join(F.broadcast(hot), "object", "left_anti"), k)
+    cells = one.join(F.broadcast(hot), "object", "left_semi").distinct().withColumn("cell", F.explode(_cells(F.col("start"), F.col("end"), width)))
+    w = Window.partitionBy("a_object", *(f"a_{c}" for c in FACT)).orderBy(*(f"b_{c}" for c in FACT))
+    by_cells = _swept(cells, k, width).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return whole.unionByName(by_cells)
+
+
+def _swept(facts: DataFrame, k: int, width: int | None = None) -> DataFrame:
+    """a_*, b_* and rank of the sweeps of whole objects; with a *width*, of each cell, then ranks count within one only."""
+    by = ["object"] if width is None else ["object", "cell"]
+    ordered = facts.repartition(*by).sortWithinPartitions(*by, *FACT).select(*by, *FACT)
+    kinds = {c: facts.schema[c].dataType.simpleString() for c in ("object", *FACT)}
     names = ["a_object", *(f"a_{c}" for c in FACT), "b_object", *(f"b_{c}" for c in FACT)]
     ddl = ", ".join(f"{n} {kinds[n[2:]]}" for n in names)
 
     def run(batches):
-        now, sweep = None, None
+        now, last, sweep = None, None, None
         for batch in batches:
-            out = []
-            for object_, cell, *fact in zip(*(c.to_pylist() for c in batch.columns)):
-                if (object_, cell) != now:
-                    now, sweep = (object_, cell), Sweep(k)
-                out += [(object_, *a, object_, *b) for a, b in sweep.met(tuple(fact), fact[0] // width == cell)]
-            columns = zip(*out) if out else [[] for _ in names]
-            types = [batch.schema.field(n[2:]).type for n in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    found = ordered.select("object", "cell", *FACT).mapInArrow(run, ddl)
-    w = Window.partitionBy("a_object", *(f"a_{c}" for c in FACT)).orderBy(*(f"b_{c}" for c in FACT))
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            objects, out = [], []
+            types = [*(batch.schema.field(n[2:]).type for n in names), pa.int32()]
+            keys = zip(*(batch.column(i).to_pylist() for i in range(len(by))))
+            for key, fact in zip(keys, zip(*(batch.column(c).to_pylist() for c in FACT))):
+                if key != now or sweep is None:
+                    now, last, sweep = key, None, Sweep(k)
+                if fact == last:
+                    continue
+                last = fact
+                found = sweep.met(fact, width is None or fact[0] // width == key[1])
+                out += found
+                objects += [key[0]] * len(found)
+            a, b, ranks = zip(*out) if out else ((), (), ())
+            columns = [objects, *(zip(*a) if a else [()] * 4), objects, *(zip(*b) if b else [()] * 4), ranks]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*names, "rank"])
+
+    return ordered.mapInArrow(run, f"{ddl}, rank int")
 
 
 class Sweep:
-    """Facts (start, end, ...) of one cell in order; at most *k* partners for each before and after it."""
+    """Facts (start, end, ...) of one object or cell in order; at most *k* partners for each, the earlier ones first."""
 
     def __init__(self, k: int):
         self.k, self.open, self.hungry, self.closed = k, [], [], 0
 
-    def met(self, fact: tuple, starts_here: bool) -> list[tuple[tuple, tuple]]:
-        """(asking fact, its partner) pairs; facts from earlier cells only wait to be met."""
-        pairs = []
+    def met(self, fact: tuple, starts_here: bool) -> list[tuple[tuple, tuple, int]]:
+        """(asking fact, its partner, its rank here); facts from earlier cells only wait to be met."""
+        pairs, n = [], 0
         if starts_here:
-            n = self.closed = 0
+            self.closed = 0
             for other in self.open:
                 if other[1] <= fact[0]:
                     self.closed += 1
                     continue
-                pairs.append((fact, other))
                 n += 1
+                pairs.append((fact, other, n))
                 if n == self.k:
                     break
             if self.closed > 16 and 2 * self.closed > len(self.open):
@@ -120,13 +144,14 @@ class Sweep:
             still = []
             for entry in self.hungry:
                 if entry[0][1] > fact[0]:
-                    pairs.append((entry[0], fact))
                     entry[1] += 1
+                    pairs.append((entry[0], fact, entry[1]))
                     if entry[1] < self.k:
                         still.append(entry)
             self.hungry = still
         self.open.append(fact)
-        self.hungry.append([fact, 0])
+        if n < self.k:
+            self.hungry.append([fact, n])
         return pairs
 
 
