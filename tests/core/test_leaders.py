@@ -169,6 +169,18 @@ def test_an_object_of_ordinary_size_is_swept_without_a_shuffle_of_pairs(spark):
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
 
 
+@pytest.mark.parametrize("years", [(), (7,), (3, 12, 20)])
+def test_first_sentences_are_those_of_all(spark, years):
+    rows = intervals(5) + [("s1", "r", 1, 9, 10), ("s1", "r", 1, 100, 1000), ("s1", "r", 1, -3, 19), (None, "r", 1, 1, 5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = facts.derived_sentences(df, years).groupBy("subject", "role", "object", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("sentence").alias("sentence"))
+    got = facts.first_sentences(df, years)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and plan.index("Generate") < plan.index("Exchange ")
+    by = lambda df: sorted(map(str, df.collect()))
+    assert got.columns == want.columns and by(got) == by(want)
+
+
 # -- feedback -------------------------------------------------------------------------------
 
 

@@ -212,12 +212,12 @@ def era(year: Column, first: Column, last: Column) -> Column:
     return F.when(year - first < size, "early").when(year - first < 2 * size, "middle").otherwise("later")
 
 
-def derived_sentences(facts: DataFrame, years: tuple[int, ...] = ()) -> DataFrame:
-    """The facts with a sentence each for start, end, duration, both boundary years and the given years between."""
+def _sentences(years: Sequence[int]) -> list[tuple[str, Column]]:
+    """The kinds and sentences of a fact; null where one does not apply."""
     s, r, o = (F.col(c).cast("string") for c in ("subject", "role", "object"))
     a, b = F.col("start").cast("string"), F.col("end").cast("string")
     was = lambda y: F.concat(F.lit("In "), y, F.lit(", "), s, F.lit(" was the "), r, F.lit(" of "), o, F.lit("."))
-    kinds = [
+    return [
         ("start", F.concat(s, F.lit(" started being the "), r, F.lit(" of "), o, F.lit(" in "), a, F.lit("."))),
         ("stop", F.concat(s, F.lit(" stopped being the "), r, F.lit(" of "), o, F.lit(" in "), b, F.lit("."))),
         ("duration", F.concat(s, F.lit(" was the "), r, F.lit(" of "), o, F.lit(" for "), (F.col("end") - F.col("start")).cast("string"), F.lit(" years ("), a, F.lit("-"), b, F.lit(")."))),
@@ -225,10 +225,32 @@ def derived_sentences(facts: DataFrame, years: tuple[int, ...] = ()) -> DataFram
         ("boundary", F.when(F.col("end") != F.col("start"), was(b))),
         *(("year", F.when((F.col("start") < y) & (F.lit(y) < F.col("end")), was(F.lit(str(y))))) for y in sorted(set(years))),
     ]
-    rows = F.array(*(F.struct(F.lit(k).alias("kind"), x.alias("sentence")) for k, x in kinds))
+
+
+def derived_sentences(facts: DataFrame, years: tuple[int, ...] = ()) -> DataFrame:
+    """The facts with a sentence each for start, end, duration, both boundary years and the given years between."""
+    rows = F.array(*(F.struct(F.lit(k).alias("kind"), x.alias("sentence")) for k, x in _sentences(years)))
     return facts.withColumn("x", F.explode(rows)).filter("x.sentence is not null").select(*facts.columns, "x.kind", "x.sentence")
 
 
+def first_sentences(facts: DataFrame, years: tuple[int, ...] = ()) -> DataFrame:
+    """subject, role, object, kind, n, sentence: how many :func:`derived_sentences` of each kind, and the first of them.
+
+    Equal facts are counted first, and sentences are worded after the shuffles, so neither they nor a row for each are moved.
+    """
+    key = ["subject", "role", "object"]
+    counted = facts.groupBy(*key, "start", "end").agg(F.count(F.lit(1)).alias("m")).repartition(*key)
+    kinds: dict[str, list[Column]] = {}
+    for kind, sentence in _sentences(years):
+        kinds.setdefault(kind, []).append(sentence)
+    per = [x for k, xs in kinds.items() for x in (
+        F.sum(F.col("m") * sum((F.when(x.isNotNull(), 1).otherwise(0) for x in xs), F.lit(0))).alias(f"n_{k}"),
+        F.min(F.least(*xs) if len(xs) > 1 else xs[0]).alias(f"s_{k}"),
+    )]
+    rows = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"n_{k}").alias("n"), F.col(f"s_{k}").alias("sentence")) for k in kinds))
+    return counted.groupBy(*key).agg(*per).select(*key, F.explode(rows).alias("x")).filter("x.n > 0").select(*key, "x.*")
+
+
 def question_class(question: Column) -> Column:
     """compound_time, point_in_time, end_time, start_time, ordering, duration, count, timeline or general: the first that fits."""
     q = F.lower(question)
