@@ -65,3 +65,14 @@ def test_narratives_equal_a_loop_over_prompts(spark):
         for p in range(6):
             assert "\n".join(got[p]) == told([r[1:] for r in rows if r[0] == p], 30, budget), (p, budget)
     assert m.narrated(df.limit(0), number).collect() == []
+
+
+def test_objects_beyond_the_budget_are_left_out_early(spark):
+    rows = [(p, f"Ann {i % 5}", "chair", f"E{i % 60}", 1950 + i % 9, 1952 + i % 11) for p in range(3) for i in range([4, 300, 900][p])]
+    df = spark.createDataFrame(rows, "prompt int, subject string, role string, object string, start int, end int")
+    number = F.substring("object", 2, 20).cast("long")
+    kept, every = (m.lines(df, number, budget=b).groupBy("prompt").count().collect() for b in (900, None))
+    kept, every = ({r.prompt: r["count"] for r in x} for x in (kept, every))
+    assert kept[0] == every[0] and kept[1] < every[1] / 3 and kept[2] < every[2] / 3
+    by = lambda d: sorted(map(tuple, d.collect()))
+    assert by(m.narrated(df, number, 900)) == by(m.assembled(m.lines(df, number), 900))

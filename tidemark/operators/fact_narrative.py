@@ -26,17 +26,29 @@ def _text(*parts) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def lines(facts: DataFrame, number: Column, compact_over: int = COMPACT_OVER, full_overlaps: int = FULL_OVERLAPS, compact_overlaps: int = COMPACT_OVERLAPS) -> DataFrame:
+def lines(facts: DataFrame, number: Column, compact_over: int = COMPACT_OVER, full_overlaps: int = FULL_OVERLAPS, compact_overlaps: int = COMPACT_OVERLAPS, budget: int | None = None) -> DataFrame:
     """prompt, place, line of the whole narrative, in no order; identical facts of a prompt count once.
 
+    With a *budget*, objects go whose timeline begins beyond that many characters by the facts' own lines before it; all that follows is beyond it, too.
+
     *facts*: prompt, subject, role, object, start, end (years); *number* orders the objects.  A prompt with
     over *compact_over* facts is compact: fewer overlaps, no order of all facts.
     """
     per = Window.partitionBy("prompt")
+    start, end, subject, role, obj, no = (F.col(c) for c in ("start", "end", "subject", "role", "object", "no"))
+    told = _text("  [", start, "–", end, "] ", subject, " as ", role, " — ", duration_words(end - start))
     f = facts.select("prompt", "subject", "role", "object", "start", "end").distinct().withColumn("no", number.cast("long"))
-    stats = f.groupBy("prompt").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("low"), F.max("end").alias("high"))
+    sizes = f.groupBy("prompt", "no", "object").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("low"), F.max("end").alias("high"), F.coalesce(F.sum(F.length(told) + 1), F.lit(0)).alias("c"))
+    if budget is not None:
+        sizes = settled(sizes)
+    stats = sizes.groupBy("prompt").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    if budget is not None:
+        stats = settled(stats)
+        before = Window.partitionBy("prompt").orderBy("no", "object").rowsBetween(Window.unboundedPreceding, -1)
+        reached = sizes.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).filter(F.col("before") <= budget).select(F.col("prompt").alias("_prompt"), F.col("object").alias("_object"))
+        f = facts.join(reached, facts["prompt"].eqNullSafe(F.col("_prompt")) & facts["object"].eqNullSafe(F.col("_object")), "left_semi")
+        f = f.select("prompt", "subject", "role", "object", "start", "end").distinct().withColumn("no", number.cast("long"))
     f = settled(f.join(stats.select("prompt", "n"), "prompt").withColumn("compact", F.col("n") > compact_over).drop("n"))
-    start, end, subject, role, obj, no = (F.col(c) for c in ("start", "end", "subject", "role", "object", "no"))
     span = F.col("high") - F.col("low")
     always = F.array(
         F.struct(_place(0, -1, "", 0), _text("TEMPORAL CONTEXT (", F.col("low"), "–", F.col("high"), ", spanning ", span, " years)").alias("line")),
@@ -56,7 +68,7 @@ def lines(facts: DataFrame, number: Column, compact_over: int = COMPACT_OVER, fu
     gap = start - F.lag("end").over(own)
     relation = F.when(gap > 0, _text(" (", gap, "yr gap)")).when(gap == 0, " (immediately following)").when(gap < 0, _text(" (began ", -gap, "yr before prev ended)")).otherwise("")
     placed = settled(f.withColumn("i", F.row_number().over(own)).withColumn("relation", relation))
-    timeline = placed.select("prompt", _place(1, no, obj, 1, F.col("i")), _text("  [", start, "–", end, "] ", subject, " as ", role, " — ", duration_words(end - start), F.col("relation")).alias("line"))
+    timeline = placed.select("prompt", _place(1, no, obj, 1, F.col("i")), _text(told, F.col("relation")).alias("line"))
     heads = f.select("prompt", "no", "object").distinct().select("prompt", F.explode(F.array(
         F.struct(_place(1, no, obj, 0), _text("▸ Timeline for ", obj, ":").alias("line")), F.struct(_place(1, no, obj, 3), F.lit("").alias("line")),
     )).alias("x")).select("prompt", "x.*")
@@ -116,4 +128,4 @@ def assembled(placed: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def narrated(facts: DataFrame, number: Column, budget: int = BUDGET, **modes: int) -> DataFrame:
     """prompt, position, line of the narratives of all prompts."""
-    return assembled(lines(facts, number, **modes), budget)
+    return assembled(lines(facts, number, budget=budget, **modes), budget)
