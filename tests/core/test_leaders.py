@@ -169,6 +169,24 @@ def test_an_object_of_ordinary_size_is_swept_without_a_shuffle_of_pairs(spark):
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
 
 
+@pytest.mark.parametrize("hot,batch", [(10, 10000), (40, 3), (10**6, 1), (10**6, 7)])
+def test_hot_and_other_objects_have_the_same_counts(spark, monkeypatch, hot, batch):
+    monkeypatch.setattr(facts, "HOT_FACTS", hot)
+    rows = intervals(8) + [("s", "r", 9 + i // 8, 5 * i, 5 * i + 7) for i in range(40)]
+    want = sorted((*r, sum(o[2] == r[2] and max(o[3], r[3]) < min(o[4], r[4]) for o in rows) - 1) for r in rows if r[3] < r[4])
+    df = spark.createDataFrame(rows + [("s", "r", None, 1, 2)], SCHEMA)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for kind in ("int", "double", "decimal(9,2)"):
+            some = df.withColumn("start", F.col("start").cast(kind)).withColumn("end", F.col("end").cast(kind))
+            got = facts.overlap_counts(some)
+            assert sorted((r.subject, r.role, r.object, int(r.start), int(r.end), r.overlaps) for r in got.collect()) == want
+            if hot > len(rows) and kind == "int":
+                assert facts.overlap_counts(some)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("years", [(), (7,), (3, 12, 20)])
 def test_first_sentences_are_those_of_all(spark, years):
     rows = intervals(5) + [("s1", "r", 1, 9, 10), ("s1", "r", 1, 100, 1000), ("s1", "r", 1, -3, 19), (None, "r", 1, 1, 5)]
