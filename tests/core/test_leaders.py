@@ -187,6 +187,15 @@ def test_hot_and_other_objects_have_the_same_counts(spark, monkeypatch, hot, bat
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_held_counts_are_those_of_the_rows(spark):
+    df = spark.createDataFrame(intervals(3) + [("s1", "z", None, 1, 5), ("s1", None, 2, 1, 5), ("s2", "y", 1, 900, 901)], SCHEMA)
+    want = facts.holding_in(df, (3, 12, 20)).groupBy("year", "role").agg(F.count(F.lit(1)).alias("n_facts"), F.count_distinct("object").alias("n_objects"))
+    got = facts.held_counts(df, (20, 3, 12, 3))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Exchange ")  # facts are not made a row for each year
+    assert got.schema.simpleString() == want.schema.simpleString() and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 @pytest.mark.parametrize("years", [(), (7,), (3, 12, 20)])
 def test_first_sentences_are_those_of_all(spark, years):
     rows = intervals(5) + [("s1", "r", 1, 9, 10), ("s1", "r", 1, 100, 1000), ("s1", "r", 1, -3, 19), (None, "r", 1, 1, 5)]

@@ -218,6 +218,21 @@ def holding_in(facts: DataFrame, years: Sequence[int]) -> DataFrame:
     return facts.withColumn("year", F.explode(F.filter(asked, lambda y: y.between(F.col("start"), F.col("end")))))
 
 
+def held_counts(facts: DataFrame, years: Sequence[int]) -> DataFrame:
+    """year, role, n_facts, n_objects (different ones): the rows of :func:`holding_in` counted by year and role.
+
+    Objects meet once with a count for each year, not once a year, which the maps of the tasks would have to hold apart.
+    """
+    asked = sorted(set(years))
+    held = [F.lit(y).between(F.col("start"), F.col("end")) for y in asked]
+    some = facts.filter(F.exists(F.array(*(F.lit(y) for y in asked)).cast("array<int>"), lambda y: y.between(F.col("start"), F.col("end"))))
+    per = some.groupBy("object", "role").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(h).alias(f"n{i}") for i, h in enumerate(held)))
+    of = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = per.groupBy("role").agg(F.count(F.lit(1)).alias("n"), *(F.struct(of(f"n{i}").alias("n_facts"), F.count_if((F.col(f"n{i}") > 0) & F.col("object").isNotNull()).alias("n_objects")).alias(f"y{i}") for i in range(len(asked))))
+    rows = F.array(*(F.struct(F.lit(y).alias("year"), F.col(f"y{i}.n_facts"), F.col(f"y{i}.n_objects")) for i, y in enumerate(asked)))
+    return sums.select("role", F.explode(rows).alias("x")).filter("x.n_facts > 0").select("x.year", "role", "x.n_facts", "x.n_objects")
+
+
 def in_order(facts: DataFrame) -> DataFrame:
     """Each fact with its number (from 1) in the order of (start, end, subject, role, object) and the years since the previous one's start.
 
