@@ -119,3 +119,14 @@ def test_seeds_fall_back_by_query(spark):
                     seeds.setdefault(i, (entities[i][4] * 0.5, "type_match"))
         want = sorted(((i, round(s, 9), src) for i, (s, src) in seeds.items()), key=lambda x: (-x[1], x[0]))[:10]
         assert sorted(got.get(q, []), key=lambda x: (-x[1], x[0])) == want
+
+
+def test_seeds_do_not_send_entities_through_the_driver(spark):
+    queries = spark.createDataFrame([(i, ["p"]) for i in range(9)], "query_id int, types array<string>")
+    entities = spark.createDataFrame([(i, "p", i / 9) for i in range(9)], "entity_id int, type string, importance double")
+    named = spark.createDataFrame([(i, i, 1.0, "named") for i in range(9)], "query_id int, entity_id int, score double, source string")
+    hits = spark.createDataFrame([(i, 8 - i, 0.9) for i in range(9)], "query_id int, item_id int, similarity double")
+    out = subgraph.with_fallbacks(queries, named, hits, entities)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("SortMergeJoin") >= 2

@@ -108,23 +108,23 @@ def with_fallbacks(queries: DataFrame, named: DataFrame, vector_hits: DataFrame,
     """query_id, entity_id, score, source, rank: the *quota* best seeds of each query (query_id, types).
 
     Named seeds come first, then vector hits (query_id, item_id, similarity), of the query's types where it names
-    any.  Only a query with types and fewer than half its quota found so far is filled up: with the first
+    any.  What grows with the queries or entities is joined by shuffles, as broadcasts pass the driver.  Only a query with types and fewer than half its quota found so far is filled up: with the first
     *quota* entities (by importance, then id) of each of its types, at half their importance.  *entities*: entity_id, type,
     importance.  The first source of an entity holds.
     """
     typed = queries.select("query_id", F.coalesce("types", F.array().cast("array<string>")).alias("types"))
-    hits = vector_hits.select("query_id", F.col("item_id").alias("entity_id"), F.col("similarity").alias("score")).join(typed, "query_id")
-    hits = hits.join(entities.select("entity_id", "type"), "entity_id").filter((F.size("types") == 0) | F.array_contains("types", F.col("type")))
-    hits = hits.select("query_id", "entity_id", "score").join(named.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti")
+    hits = vector_hits.select("query_id", F.col("item_id").alias("entity_id"), F.col("similarity").alias("score")).join(typed.hint("merge"), "query_id")
+    hits = hits.join(entities.select("entity_id", "type").hint("merge"), "entity_id").filter((F.size("types") == 0) | F.array_contains("types", F.col("type")))
+    hits = hits.select("query_id", "entity_id", "score").join(named.select("query_id", "entity_id").hint("merge"), ["query_id", "entity_id"], "left_anti")
     found = settled(named.select("query_id", "entity_id", "score", "source").unionByName(hits.withColumn("source", F.lit("embedding"))))
 
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    poor = typed.join(counts, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < quota // 2)
+    poor = typed.join(counts.hint("merge"), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < quota // 2)
     top = Window.partitionBy("type").orderBy(F.desc("importance"), "entity_id")
     asked = entities.join(poor.select(F.explode("types").alias("type")).distinct(), "type", "left_semi")
     firsts = asked.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= quota)
     fill = poor.select("query_id", F.explode(F.array_distinct("types")).alias("type")).join(firsts, "type")
-    fill = fill.join(found.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti").select("query_id", "entity_id", (F.col("importance") * 0.5).alias("score"), F.lit("type_match").alias("source"))
+    fill = fill.join(found.select("query_id", "entity_id").hint("merge"), ["query_id", "entity_id"], "left_anti").select("query_id", "entity_id", (F.col("importance") * 0.5).alias("score"), F.lit("type_match").alias("source"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
     return found.unionByName(fill).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= quota)
 
